@@ -5,23 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremor.llm import ngram_join, repeats
+from tremor.llm import archive, ngram_join, repeats, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_warc_archive(spark, sf_dir):
+    return archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_groups(_documents(spark, sf_dir))
 
 
+def op7_hilbert_shards(spark, sf_dir):
+    placed = sharding.shard_documents(_documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op9_repeated_bytes(spark, sf_dir):
     return repeats.remove_repeats(_documents(spark, sf_dir)).drop("spans")
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"),
+        F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_ngram_jaccard_join, op9_repeated_bytes)
+    f.__name__: f for f in (op2_warc_archive, op6_ngram_jaccard_join, op7_hilbert_shards, op9_repeated_bytes, op10_toxicity)
+}
+ORACLES: dict[str, str] = {
+    "op2_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > head THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id > head THEN head END AS refers_to FROM f""",
 }
-ORACLES: dict[str, str] = {}
