@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import archive, ngram_join, repeats, sharding, toxicity
+from tremor.llm import archive, ngram_join, pii, repeats, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op2_warc_archive(spark, sf_dir):
     return archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_information_theoretic_pii(spark, sf_dir):
+    found = pii.find_pii(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(k) for k in pii.KINDS), F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.spans_text(F.concat("base", "added")).alias("spans"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_groups(_documents(spark, sf_dir))
 
@@ -40,7 +48,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_archive, op6_ngram_jaccard_join, op7_hilbert_shards, op9_repeated_bytes, op10_toxicity)
+    f.__name__: f for f in (op2_warc_archive, op3_information_theoretic_pii, op6_ngram_jaccard_join, op7_hilbert_shards, op9_repeated_bytes, op10_toxicity)
 }
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
