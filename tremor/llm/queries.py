@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import archive, ngram_join, pii, repeats, sharding, toxicity
+from tremor.llm import archive, decontaminate, line_dedup, ngram_join, packing, pii, quality, repeats, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    removed = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), (r["start"] + r["size"]).cast("string"))), ",")
+    return out.select("doc_id", "n_units_removed", "n_chars_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), removed.alias("removed"))
+
+
 def op2_warc_archive(spark, sf_dir):
     return archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -26,8 +32,16 @@ def op3_information_theoretic_pii(spark, sf_dir):
         pii.spans_text(F.concat("base", "added")).alias("spans"))
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.find_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join.jaccard_groups(_documents(spark, sf_dir))
+    return ngram_join.jaccard_groups(_documents(spark, sf_dir)).drop("links")
 
 
 def op7_hilbert_shards(spark, sf_dir):
@@ -35,6 +49,10 @@ def op7_hilbert_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op8_line_frequency_quality(spark, sf_dir):
+    return quality.quality(_documents(spark, sf_dir))
+
+
 def op9_repeated_bytes(spark, sf_dir):
     return repeats.remove_repeats(_documents(spark, sf_dir)).drop("spans")
 
@@ -48,9 +66,58 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_archive, op3_information_theoretic_pii, op6_ngram_jaccard_join, op7_hilbert_shards, op9_repeated_bytes, op10_toxicity)
+    f.__name__: f for f in (
+        op1_line_dedup, op2_warc_archive, op3_information_theoretic_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join,
+        op7_hilbert_shards, op8_line_frequency_quality, op9_repeated_bytes, op10_toxicity)
 }
+#: Words of documents as the operators see them, A-Z lower-cased.
+_WORDS = r"""
+        low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM low)"""
+
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS start FROM u),
+        n AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM p),
+        r AS (SELECT *, words >= 8 AND row_number() OVER (PARTITION BY norm, words >= 8 ORDER BY doc_id, start) > 1 AS gone FROM n),
+        g AS (SELECT doc_id, count(*) FILTER (gone) AS n, coalesce(sum(length(line)) FILTER (gone), 0) AS chars,
+                string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept,
+                string_agg(concat(start, ':', start + length(line)), ',' ORDER BY k) FILTER (gone) AS removed FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_units_removed, CAST(coalesce(chars, 0) AS BIGINT) AS n_chars_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(removed, '') AS removed
+        FROM documents LEFT JOIN g USING (doc_id)""",
+    "op4_benchmark_decontamination": f"""
+        WITH {_WORDS},
+        d AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM words, unnest(range(1, len(w) - 3)) AS t(i)),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+        q AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS t(i)),
+        n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING 100 * count(*) >= 80 * n_item""",
+    "op8_line_frequency_quality": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS s FROM t, unnest(range(1, len(w) - 3)) AS r(i)),
+        y AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM x) WHERE n > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM y, range(0, 5) AS o(k) GROUP BY doc_id),
+        l AS (SELECT doc_id, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM t)),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE words > 0 GROUP BY doc_id),
+        m AS (SELECT doc_id, host, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, sum(words) AS words FROM l WHERE words > 0 GROUP BY ALL),
+        h AS (SELECT host, count(*) AS docs FROM t GROUP BY host),
+        often AS (SELECT host, norm FROM m JOIN h USING (host) GROUP BY host, norm, docs HAVING count(*) > 200 AND count(*) > 0.005 * docs),
+        lost AS (SELECT doc_id, sum(words) AS lost FROM m JOIN often USING (host, norm) GROUP BY doc_id),
+        s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words
+              FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+          NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= 0.5 * n_words AS kept FROM s""",
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE {_WORDS},
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id, n""",
     "op2_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
