@@ -29,8 +29,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.limit(1).count()
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+FILTER_BITS = 1 << 25
+
+
+def likely_in(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys may be in ``wanted``: all that are, and a few more. For use before a join that moves long texts.
+
+    A bitmap of key hashes, as (word, bits) rows, is broadcast: 2**25 bits, so 524,288 rows or 8 MB at most, whatever the input.
+    The more keys are wanted, the less it holds back.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    bits = (wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(_p & 63 as int)))").alias("_bits")))
+    marked = df.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6))
+    return marked.join(F.broadcast(bits), "_word").where("getbit(_bits, cast(_p & 63 as int)) = 1").select(df.columns)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

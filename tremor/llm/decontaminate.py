@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremor.llm.common import fresh
 from tremor.llm.wordhash import Words, chunks
 
 WORDS = 5
@@ -119,5 +120,6 @@ def _searcher(block, words: int, percent: int):
 def decontaminate(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``documents`` without those that hold an item of ``benchmark``."""
     bad = find_items(documents, benchmark, words, percent).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    marked = documents.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_d"]) & (marked["_row"] == bad["_r"]), "left_anti").drop("_row")
+    row = fresh(documents, "_row")
+    marked = documents.withColumn(row, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_d"]) & (marked[row] == bad["_r"]), "left_anti").drop(row)

@@ -11,7 +11,9 @@ pack side by side. Only lengths are moved, never texts.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,15 +26,14 @@ TOKENS_PER_GROUP = 1 << 21
 SCHEMA = "doc_id long, mark long, piece long, start long, length long, bin string, place long, capacity long"
 
 
-def open_size(length: int, smaller: int, capacities: tuple[int, ...]) -> int:
-    """Capacity for a new bin: least expected padding for each token held. ``smaller``: tokens in pieces still to come."""
+def open_size(length: int, pending: Callable[[int], int], capacities: tuple[int, ...]) -> int:
+    """Capacity for a new bin: least expected padding for each token held. ``pending(r)``: tokens in the pieces still to come that fit into r."""
     best, cost = capacities[-1], float("inf")
     for c in capacities:
         if c >= length:
-            held = length + min(smaller, c - length)
-            waste = (c - held) / held
-            if waste < cost - 1e-12 or waste <= cost and c < best:
-                best, cost = c, waste
+            held = length + min(pending(c - length), c - length)
+            if (c - held) / held < cost - 1e-12:
+                best, cost = c, (c - held) / held
     return best
 
 
@@ -40,15 +41,17 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int]
     """(bin of each piece, place in the bin, final capacity of each bin); ``lengths`` must not rise."""
     room: list[tuple[int, int]] = []  # (free tokens, bin), sorted
     bins, places, used, cap = [], [], [], []
-    todo = sum(lengths)
+    rising = lengths[::-1]
+    total = [0, *accumulate(rising)]
+    left = len(lengths)
     for n in lengths:
-        todo -= n
+        left -= 1
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
             b = len(cap)
-            cap.append(open_size(n, todo, capacities))
+            cap.append(open_size(n, lambda r: total[min(bisect_right(rising, r), left)], capacities))
             used.append(0)
             free = cap[b]
         bins.append(b)
