@@ -11,10 +11,10 @@ from tremor.operators.spatialjoin import segments, small
 
 
 def start_blocks(extent: DataFrame, size: float) -> DataFrame:
-    """Grid of blocks (level, bx, by, left, bottom, size) that covers the extent (x_min, x_max, y_min, y_max)."""
+    """Grid of blocks (level, kx, ky, left, bottom, size) that covers the extent (x_min, x_max, y_min, y_max)."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
-    cells = extent.select(F.explode(span("x_min", "x_max")).alias("bx"), "y_min", "y_max").select("bx", F.explode(span("y_min", "y_max")).alias("by"))
-    return cells.select(F.lit(0).alias("level"), "bx", "by", (F.col("bx") * size).alias("left"), (F.col("by") * size).alias("bottom"), F.lit(float(size)).alias("size"))
+    cells = extent.select(F.explode(span("x_min", "x_max")).alias("kx"), "y_min", "y_max").select("kx", F.explode(span("y_min", "y_max")).alias("ky"))
+    return cells.select(F.lit(0).alias("level"), "kx", "ky", (F.col("kx") * size).alias("left"), (F.col("ky") * size).alias("bottom"), F.lit(float(size)).alias("size"))
 
 
 def corner_distance(blocks: DataFrame, trace: DataFrame) -> DataFrame:
@@ -37,25 +37,25 @@ def quadtree(extent: DataFrame, trace: DataFrame, start: float = 20000, least: f
         done = d.where(~split).drop("distance")
         leaves = done if leaves is None else leaves.unionByName(done)
         half = F.col("size") / 2
-        todo = d.where(split).select(F.col("level") + 1, F.explode(F.array(*(F.struct((2 * F.col("bx") + i).alias("bx"), (2 * F.col("by") + j).alias("by"), (F.col("left") + i * half).alias("left"), (F.col("bottom") + j * half).alias("bottom")) for i in (0, 1) for j in (0, 1)))).alias("b"), half.alias("size"))
+        todo = d.where(split).select(F.col("level") + 1, F.explode(F.array(*(F.struct((2 * F.col("kx") + i).alias("kx"), (2 * F.col("ky") + j).alias("ky"), (F.col("left") + i * half).alias("left"), (F.col("bottom") + j * half).alias("bottom")) for i in (0, 1) for j in (0, 1)))).alias("b"), half.alias("size"))
         todo = todo.select(F.col("(level + 1)").alias("level"), "b.*", "size")
     return todo if leaves is None else leaves.unionByName(todo)
 
 
 def assign(px: DataFrame, blocks: DataFrame, start: float, levels: int) -> DataFrame:
     """Pixels with their leaf block, half-open: an equi-join on the block key of each level."""
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / (start / 2**k)).cast("long").alias("bx"), F.floor(F.col("y") / (start / 2**k)).cast("long").alias("by")) for k in range(levels + 1))))
-    return px.withColumn("_k", keys).select("*", "_k.*").drop("_k").join(small(blocks), ["level", "bx", "by"])
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / (start / 2**k)).cast("long").alias("kx"), F.floor(F.col("y") / (start / 2**k)).cast("long").alias("ky")) for k in range(levels + 1))))
+    return px.withColumn("_k", keys).select("*", "_k.*").drop("_k").join(small(blocks), ["level", "kx", "ky"])
 
 
 def block_means(assigned: DataFrame, columns: list[str]) -> DataFrame:
-    return assigned.groupBy("level", "bx", "by", "size").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in columns))
+    return assigned.groupBy("level", "kx", "ky", "size").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in columns))
 
 
 def block_los(assigned: DataFrame) -> DataFrame:
     """Means with the error of the mean (spread of vel where no error is given) and the mean look direction at unit length."""
     err = F.when(F.max(F.abs("err")) > 0, F.sqrt(F.sum(F.col("err") ** 2)) / F.count("*")).otherwise(F.stddev_pop("vel"))
-    out = assigned.groupBy("level", "bx", "by", "size").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("vel").alias("vel"), err.alias("err"), *(F.avg(c).alias(c) for c in ("los_e", "los_n", "los_u")))
+    out = assigned.groupBy("level", "kx", "ky", "size").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("vel").alias("vel"), err.alias("err"), *(F.avg(c).alias(c) for c in ("los_e", "los_n", "los_u")))
     r = F.sqrt(F.col("los_e") ** 2 + F.col("los_n") ** 2 + F.col("los_u") ** 2)
     return out.withColumns({c: F.col(c) / r for c in ("los_e", "los_n", "los_u")})
 
