@@ -35,5 +35,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["g9_robust_stack"](spark, sf_dir)
 
 
-for _part in ("sources", "geometry", "fields"):
+for _part in ("sources", "geometry", "fields", "profiles"):
     import_module(f"tremor.plans.{_part}")
