@@ -10,7 +10,7 @@ from tremor.operators import coords
 from tremor.operators import covariance as cv
 from tremor.operators import downsample as ds
 from tremor.operators import stencil as st
-from tremor.plans.registry import query
+from tremor.plans.base import query
 
 _START, _LEAST, _CHAR, _EXPO = 800.0, 100.0, 60.0, 0.7
 

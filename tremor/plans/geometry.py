@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tremor.functions.frames import rounded
 from tremor.operators import coords
 from tremor.operators import polyline as pl
-from tremor.plans.registry import query
+from tremor.plans.base import query
 from tremor.sources import io
 
 

@@ -13,7 +13,7 @@ from tremor.operators import relocate as rl
 from tremor.operators import stencil as st
 from tremor.operators import swathe as sw
 from tremor.plans.geometry import _SEG
-from tremor.plans.registry import query
+from tremor.plans.base import query
 
 _CLEAN = "c AS (SELECT row, col, x, y, nullif(ew, 0) AS ew, nullif(ns, 0) AS ns FROM fx_pixels)"
 _PROF = "SELECT n_nationkey AS profile_id, CAST(500050 AS DOUBLE) AS x0, CAST(3998600 + 50 * n_nationkey AS DOUBLE) AS y0, CAST(500950 AS DOUBLE) AS x1, CAST(3998600 + 50 * n_nationkey + 40 * (n_nationkey % 5) AS DOUBLE) AS y1, CAST(450 AS DOUBLE) AS fault_x FROM {nation}"
@@ -57,9 +57,9 @@ def g4_populated_span(fx_profile_points: DataFrame) -> DataFrame:
 
 @query(f"""WITH {_PTS}, {_SPAN}, w AS (SELECT e.* FROM e JOIN o USING (profile_id) WHERE xs BETWEEN a AND b), ok AS (SELECT profile_id FROM w GROUP BY profile_id HAVING count(*) >= 10 AND count(*) FILTER (xs < 0) >= 4 AND count(*) FILTER (xs > 0) >= 4),
 z AS (SELECT w.*, min(xs) OVER v AS l, max(xs) OVER v AS u FROM w SEMI JOIN ok USING (profile_id) WINDOW v AS (PARTITION BY profile_id)), y AS (SELECT profile_id, CAST(coalesce(least(floor((xs - l) / ((u - l) / 8)), 7), 0) AS INT) AS bin, avg(par) AS par, avg(nrm) AS nrm FROM z GROUP BY ALL)
-SELECT profile_id, bin, round(par, 6) AS par, round(nrm, 6) AS nrm FROM y WHERE profile_id IN (SELECT profile_id FROM y GROUP BY profile_id HAVING count(*) >= 5)""")
+SELECT profile_id, bin, round(par, 9) AS par, round(nrm, 9) AS nrm FROM y WHERE profile_id IN (SELECT profile_id FROM y GROUP BY profile_id HAVING count(*) >= 5)""")
 def g5_quick_profiles(fx_profile_points: DataFrame) -> DataFrame:
-    return rounded(sw.quick_profiles(fx_profile_points, 8, 10, 4, 5).where("n > 0").select("profile_id", "bin", "par", "nrm"), "par", "nrm")
+    return rounded(sw.quick_profiles(fx_profile_points, 8, 10, 4, 5).where("n > 0").select("profile_id", "bin", "par", "nrm"), "par", "nrm", digits=9)
 
 
 _CENT = "SELECT n_nationkey AS profile_id, CAST(500500 AS DOUBLE) AS cx, CAST(3998650 + 50 * n_nationkey AS DOUBLE) AS cy, CAST(3 * n_nationkey AS DOUBLE) AS strike FROM {nation}"
@@ -186,11 +186,11 @@ def h4_replace_outliers_once(part: DataFrame) -> DataFrame:
     return rounded(rl.replace_outliers_once(_shifts(part), "strand", "i", "shift", 5, 10.0), "shift")
 
 
-@query(f"WITH {_CUBE}, s AS (SELECT DISTINCT profile_id, (profile_id % 9 - 4) / 4.0::DOUBLE AS shift FROM q), t AS (SELECT q.profile_id, q.k, q.k + shift AS pos FROM q JOIN s ON s.profile_id = q.profile_id) SELECT t.profile_id, t.k, round(CASE WHEN pos = floor(pos) THEN a.v ELSE a.v + (b.v - a.v) * (pos - floor(pos)) END, 6) AS v FROM t LEFT JOIN q a ON a.profile_id = t.profile_id AND a.k = floor(pos) LEFT JOIN q b ON b.profile_id = t.profile_id AND b.k = floor(pos) + 1")
+@query(f"WITH {_CUBE}, s AS (SELECT DISTINCT profile_id, (profile_id % 9 - 4) / 4.0::DOUBLE AS shift FROM q), t AS (SELECT q.profile_id, q.k, q.k + shift AS pos FROM q JOIN s ON s.profile_id = q.profile_id) SELECT t.profile_id, t.k, round(CASE WHEN pos = floor(pos) THEN a.v ELSE a.v + (b.v - a.v) * (pos - floor(pos)) END, 11) AS v FROM t LEFT JOIN q a ON a.profile_id = t.profile_id AND a.k = floor(pos) LEFT JOIN q b ON b.profile_id = t.profile_id AND b.k = floor(pos) + 1")
 def h5_apply_shift(fx_pixels: DataFrame) -> DataFrame:
     cube = _cube(fx_pixels)
     shifts = cube.select("profile_id").distinct().withColumn("shift", (F.col("profile_id") % 9 - 4) / 4.0)
-    return rounded(rl.apply_shift(cube, shifts, ["v"]), "v")
+    return rounded(rl.apply_shift(cube, shifts, ["v"]), "v", digits=11)
 
 
 @query(f"WITH {_CUBE}, w AS (SELECT *, quantile_cont(v, 0.5) OVER x AS m, stddev_pop(v) OVER x AS s, CASE WHEN count(*) OVER x - count(v) OVER x < 2 THEN 1 ELSE 0 END AS full_ FROM q WINDOW x AS (PARTITION BY k ORDER BY profile_id ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)), g AS (SELECT *, sum(full_) OVER (PARTITION BY profile_id) >= 80 AS ok FROM w) SELECT profile_id, k, round(CASE WHEN ok THEN m END, 9) AS v_med, round(CASE WHEN ok THEN s END, 6) AS v_std FROM g")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions.frames import rounded
 from tremor.sources import io
-from tremor.plans.registry import query
+from tremor.plans.base import query
 
 
 @query("""SELECT row, col, x, y, round(CASE WHEN NOT isnan(ew) THEN ew END, 9) AS ew, CASE WHEN col % 7 <> 0 THEN round(ns, 9) END AS ns FROM fx_pixels""")
