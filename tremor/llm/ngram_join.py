@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import components, staged
+from tremor.llm.common import components, likely_in, staged
 from tremor.llm.wordhash import Words, chunks, mix
 
 SMALL = 400  # sets up to here take two-token combinations
@@ -92,31 +92,57 @@ def _index(batches, words, percent, frequent):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], names=["key", "node", "size"])
 
 
+BUCKETS = 256
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """Number of shingles in each of BUCKETS hash ranges. The sum of two profiles' smaller entries bounds the intersection."""
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+
+
 def _whole_sets(batches, words):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary())], names=["node", "shingles"])
+        sets = list(_sets(batch, words))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([profile(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "profile", "shingles"])
 
 
-def _compare(batches, percent):
+def _reach(batches, percent, overlap):
+    """Keeps (a, b) whose ``xs`` and ``ys`` have enough in common for the threshold; ``overlap`` gives (both, size x, size y)."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("xs"), batch.column("ys")):
-            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            both, n, m = overlap(x.as_py(), y.as_py())
+            keep.append(100 * both >= percent * (n + m - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def at_most(x: bytes, y: bytes) -> tuple[int, int, int]:
+    p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    return int(np.minimum(p, q).sum()), int(p.sum()), int(q.sum())
+
+
+def exactly(x: bytes, y: bytes) -> tuple[int, int, int]:
+    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    at = np.searchsorted(s, t)
+    return int((s[np.minimum(at, len(s) - 1)] == t).sum()), len(s), len(t)
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets reach the threshold. One text of each node is read."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node").where("doc_id is not null")
-    texts = docs.dropDuplicates(["doc_id"]).join(one, "doc_id").select("node", "text")
-    sets = staged(texts.mapInArrow(lambda it: _whole_sets(it, words), "node long, shingles binary"), "sets")
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys")), "b"))
-    return staged(both.select("a", "b", "xs", "ys").mapInArrow(lambda it: _compare(it, percent), "a long, b long"), "linked")
+    """Those of ``pairs(a, b)`` whose sets reach the threshold. One text of each node is read; only sets that the bound by
+    profiles lets through are moved."""
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+    one = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends(pairs), "node").where("doc_id is not null")
+    one = staged(one, "wanted")
+    texts = likely_in(docs, one, ["doc_id"]).dropDuplicates(["doc_id"]).join(one, "doc_id").select("node", "text")
+    sets = staged(texts.mapInArrow(lambda it: _whole_sets(it, words), "node long, profile binary, shingles binary"), "sets")
+
+    def both(p: DataFrame, s: DataFrame, column: str) -> DataFrame:
+        return (p.join(s.select(F.col("node").alias("a"), F.col(column).alias("xs")), "a")
+                .join(s.select(F.col("node").alias("b"), F.col(column).alias("ys")), "b").select("a", "b", "xs", "ys"))
+
+    near = staged(both(pairs, sets, "profile").mapInArrow(lambda it: _reach(it, percent, at_most), "a long, b long"), "near")
+    return staged(both(near, likely_in(sets, ends(near), ["node"]), "shingles").mapInArrow(lambda it: _reach(it, percent, exactly), "a long, b long"), "linked")
 
 
 def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -136,8 +162,9 @@ def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, freq
            .where(F.col("count") > frequent).orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").toArrow())
     table = np.sort(np.asarray(top.column(0).combine_chunks() if top.num_rows else np.zeros(0, np.int64)).view(np.uint64))
     shared = spark.sparkContext.broadcast(table.tobytes())  # 8 MB at most
-    index = staged(docs.select("text").mapInArrow(lambda it: _index(it, words, percent, shared), "key long, node long, size int"), "index")
-    heads = index.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("key", "head")
+    index = docs.select("text").mapInArrow(lambda it: _index(it, words, percent, shared), "key long, node long, size int")
+    # written, as the join then deals out both sides anew and a frequent key's rows can be split
+    heads = staged(index.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("key", "head"), "heads")
     lists = staged(index.join(heads, "key").groupBy("key", "node").agg(F.first("size").alias("size"), F.first("head").alias("head")), "lists")
     fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
     star = staged(lists.where("node <> head.node and " + fits.format("size", "head.size")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
