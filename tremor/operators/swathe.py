@@ -23,7 +23,7 @@ def extract(px: DataFrame, profiles: DataFrame, half_width: float, cell: float =
 def bin_average(samples: DataFrame, n: int, columns: list[str]) -> DataFrame:
     """Means in ``n`` equal bins between the ends of each profile; the last edge belongs to the last bin; empty bins are NULL."""
     ends = samples.groupBy("profile_id").agg(F.min("xs").alias("lo"), F.max("xs").alias("hi"))
-    at = samples.join(ends, "profile_id").withColumn("bin", F.coalesce(F.least(F.floor((F.col("xs") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / n)), F.lit(n - 1)), F.lit(0)).cast("int"))
+    at = samples.join(ends, "profile_id").withColumn("bin", F.coalesce(F.least(F.floor(F.try_divide(F.col("xs") - F.col("lo"), (F.col("hi") - F.col("lo")) / n)), F.lit(n - 1)), F.lit(0)).cast("int"))
     full = ends.select("profile_id", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
     means = at.groupBy("profile_id", "bin").agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n"))
     return full.join(means, ["profile_id", "bin"], "left").select("profile_id", "bin", (F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / n).alias("x"), *columns, F.coalesce("n", F.lit(0)).alias("n"))
@@ -45,7 +45,7 @@ def populated_span(samples: DataFrame, n: int = 50, share: float = 0.1) -> DataF
     """(profile_id, lo, hi): from the first to the last of ``n`` bins with more than ``share`` of the median count of filled bins."""
     ends = samples.groupBy("profile_id").agg(F.min("xs").alias("a"), F.max("xs").alias("b"))
     width = (F.col("b") - F.col("a")) / n
-    at = samples.join(ends, "profile_id").withColumn("bin", F.coalesce(F.least(F.floor((F.col("xs") - F.col("a")) / width), F.lit(n - 1)), F.lit(0)).cast("int"))
+    at = samples.join(ends, "profile_id").withColumn("bin", F.coalesce(F.least(F.floor(F.try_divide(F.col("xs") - F.col("a"), width)), F.lit(n - 1)), F.lit(0)).cast("int"))
     counts = at.groupBy("profile_id", "a", "b", "bin").agg(F.count("*").alias("n"))
     mid = counts.groupBy("profile_id").agg(F.percentile("n", F.lit(0.5)).alias("mid"))
     return counts.join(mid, "profile_id").where(F.col("n") > share * F.col("mid")).groupBy("profile_id").agg(F.min(F.col("a") + F.col("bin") * width).alias("lo"), F.max(F.col("a") + (F.col("bin") + 1) * width).alias("hi"))
