@@ -104,7 +104,7 @@ def a13_area_lines(fx_triangles: DataFrame) -> DataFrame:
     return io.area_lines(fx_triangles.select("tid", ((F.col("tid") % 97).cast("double") / 7).alias("area")), 20, 500, 2.5)
 
 
-@query("SELECT row, col, round(10.0 * col + 0.5 * row + 500000, 6) AS map_x, round(0.25 * col - 10.0 * row + 4000000, 6) AS map_y FROM fx_pixels")
+@query("SELECT row, col, round(10.0::DOUBLE * col + 0.5::DOUBLE * row + 500000, 6) AS map_x, round(0.25::DOUBLE * col - 10.0::DOUBLE * row + 4000000, 6) AS map_y FROM fx_pixels")
 def a14_profile_points(fx_pixels: DataFrame) -> DataFrame:
     return rounded(io.to_map(fx_pixels.select("row", "col"), 10.0, 0.5, 500000.0, 0.25, -10.0, 4000000.0), "map_x", "map_y")
 
