@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import staged
+from tremor.llm.common import likely_in, staged
 from tremor.llm.wordhash import chunks, mix, powers, prefix_hash
 
 LENGTH = 400
 K = 200
+PLACES = 1 << 20  # more than windows in a block
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -82,26 +83,19 @@ def _runs_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """For the listed blocks of each text: hash of every window, with the block, its place in the block and its weight."""
+    """For the listed blocks of each text: hash of every window, with its place (block id * PLACES + place in the block) and weight."""
     for batch in batches:
         blocks = batch.column("blocks").to_pylist()
         for i, j, data, off in chunks(batch.column("text")):
             h = prefix_hash(data)
-            out = []
             for row in range(i, j):
-                for b in blocks[row]:
-                    start = off[row - i] + b["lo"] + np.arange(b["size"])
-                    out.append((span_hash(h, start, start + length), np.full(len(start), b["block"]), np.arange(len(start), dtype=np.int32), np.full(len(start), b["times"])))
-                    if sum(len(x[0]) for x in out[-1:]) and len(out) >= 2000:
-                        yield _window_batch(out)
-                        out = []
-            if out:
-                yield _window_batch(out)
-
-
-def _window_batch(out: list) -> pa.RecordBatch:
-    window, block, place, times = (np.concatenate(x) for x in zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(block), pa.array(place), pa.array(times)], names=["window", "block", "place", "times"])
+                for part in range(0, len(blocks[row]), 2000):
+                    out = []
+                    for b in blocks[row][part : part + 2000]:
+                        start = off[row - i] + b["lo"] + np.arange(b["size"])
+                        out.append((span_hash(h, start, start + length), b["rid"] * PLACES + np.arange(len(start)), np.full(len(start), b["times"])))
+                    window, place, times = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(place), pa.array(times)], names=["window", "place", "times"])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -143,20 +137,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     runs = docs.select(F.struct("doc_id", "mark").alias("key"), "text").where(F.octet_length("text") >= length)
     runs = staged(runs.mapInArrow(lambda it: _runs_of(it, length, k), "key struct<doc_id:long,mark:long>, lo int, size int, gram long, block long")
                   .select("key.*", "lo", "size", "gram", "block"), "runs")
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("open")).where("n > 1").select("gram", "open")
+    # written, as the joins below then deal out both sides anew and a frequent key's rows can be split
+    grams = staged(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     again = staged(runs.join(grams, "gram"), "again")
-    times = again.groupBy("gram", "block").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "lo", "size")).alias("one"), F.first("open").alias("open"))
-    times = staged(times, "blocks")
+    times = again.groupBy("gram", "block").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "lo", "size")).alias("one"))
+    times = staged(times.withColumn("rid", F.monotonically_increasing_id()), "blocks")
     whole = (again.join(times.where("times > 1").select("gram", "block"), ["gram", "block"])
              .select("doc_id", "mark", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("size") - 1 + length).cast("long").alias("end")))
-    todo = (times.where("open").select("one.*", "block", "times").groupBy("doc_id", "mark")
-            .agg(F.collect_list(F.struct("lo", "size", "block", "times")).alias("blocks")))
-    texts = docs.dropDuplicates(["doc_id", "mark"]).alias("d").join(todo.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.mark = t.mark")).select("d.text", "t.blocks")
-    windows = staged(texts.mapInArrow(lambda it: _windows_of(it, length), "window long, block long, place int, times long"), "windows")
-    met = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    single = times.where("open and times = 1").select("block", "one")
-    places = (windows.where("times = 1").join(met, "window").groupBy("block", "place").agg(F.count("*").alias("n"))
-              .join(single, "block").select("one.doc_id", "one.mark", (F.col("one.lo") + F.col("place")).cast("long").alias("start"), (F.col("one.lo") + F.col("place") + length).cast("long").alias("end")))
+    mixed = times.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    todo = times.join(mixed, "gram").select("one.*", "rid", "times").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "size", "rid", "times")).alias("blocks"))
+    todo = staged(todo, "todo")
+    texts = likely_in(docs, todo, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(todo.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.mark = t.mark")).select("d.text", "t.blocks")
+    windows = staged(texts.mapInArrow(lambda it: _windows_of(it, length), "window long, place long, times long"), "windows")
+    met = staged(windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window"), "met")
+    places = (windows.where("times = 1").select("window", "place").join(met, "window").select(F.expr(f"place div {PLACES}").alias("rid"), (F.col("place") % PLACES).alias("place"))
+              .join(times.where("times = 1").select("rid", "one"), "rid").select("one.doc_id", "one.mark", (F.col("one.lo") + F.col("place")).cast("long").alias("start"), (F.col("one.lo") + F.col("place") + length).cast("long").alias("end")))
     return whole.unionByName(places)
 
 
@@ -169,8 +164,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, k: int = K) -> Da
     An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    spans = staged(repeated_spans(docs, length, k).distinct(), "spans").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    hit = docs.dropDuplicates(["doc_id", "mark"]).alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.mark = s.mark")).select("d.doc_id", "d.mark", "d.text", "s.spans")
+    spans = staged(repeated_spans(docs, length, k).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    hit = likely_in(docs, spans, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.mark = s.mark")).select("d.doc_id", "d.mark", "d.text", "s.spans")
     cut = hit.mapInArrow(_cut, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     base = docs.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return base.alias("b").join(cut.alias("c"), F.expr("b.doc_id <=> c.doc_id and b.mark = c.mark"), "left").select(
