@@ -79,3 +79,16 @@ def test_empty_table_and_extra_columns(spark):
 def test_repeated_rows_and_null_id(spark):
     docs = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "z"], [3, 3, None, None])
     assert {(r.doc_id, r.component_id) for r in jaccard_groups(docs).collect()} == {(3, 3), (None, 3), (None, None)}
+
+
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+
+    from tremor.llm.ngram_join import bitmap
+    rng = np.random.default_rng(2)
+    for n in (1, 6, 200, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        apart = sum(int(v).bit_count() for v in (bitmap(x) ^ bitmap(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
+    assert not bitmap(np.zeros(0, np.uint64)).any()

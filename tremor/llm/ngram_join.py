@@ -8,8 +8,9 @@ makes no long list, unless a document consists of such passages. The frequent cl
 which shingles are in it changes only the work, never the result.
 
 Documents with equal sets are one node. In a key's list each node is compared with the list's first node; then nodes in
-different components are compared with each other, those outside the list's largest component with all. A group of near
-copies so costs work in proportion to its size. Every comparison is of whole sets.
+different components are compared with each other, those outside the list's largest component with all. Before sets are moved, a
+pair must pass a bitmap filter: each of BITS bits says whether a set has a shingle of that hash, so two bitmaps differ in at
+most as many bits as the sets have shingles apart. Every link is decided on whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tremor.llm.wordhash import Words, chunks, mix
 SMALL = 400  # sets up to here take two-token combinations
 FREQUENT = 64
 MOST_FREQUENT = 1 << 20
+BITS = 1024
 
 
 def prefix_size(n: int, percent: int, extra: int) -> int:
@@ -43,12 +45,19 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
         yield from Words(data, off).sets(words)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit words: which hashes modulo BITS the set has."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _nodes(batches, words):
     for batch in batches:
         sets = list(_sets(batch, words))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())],
-            names=["doc_id", "n_shingles", "node"])
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "node", "bits"])
 
 
 def _longs(parts: list, name: str) -> pa.RecordBatch:
@@ -157,7 +166,7 @@ def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, freq
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    nodes = staged(docs.mapInArrow(lambda it: _nodes(it, words), "doc_id long, n_shingles long, node long"), "nodes")
+    nodes = staged(docs.mapInArrow(lambda it: _nodes(it, words), "doc_id long, n_shingles long, node long, bits array<long>"), "nodes")
     top = (docs.select("text").mapInArrow(lambda it: _heads(it, words, percent), "shingle long").groupBy("shingle").count()
            .where(F.col("count") > frequent).orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").toArrow())
     table = np.sort(np.asarray(top.column(0).combine_chunks() if top.num_rows else np.zeros(0, np.int64)).view(np.uint64))
@@ -175,15 +184,20 @@ def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, freq
     rest = staged(rest, "rest")
     parts = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("main"))
-    few = rest.join(main, "key").where("component <> main")
-    x, y = few.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "component"))), rest.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "component")))
-    more = x.join(y, "key").where("x_component <> y_component and " + fits.format("x_size", "y_size")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    main = staged(main, "main")
+    bits = nodes.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits"))
+    open_lists = staged(rest.join(main, "key").join(bits, "node"), "open")
+    far = " + ".join(f"bit_count(x_bits[{k}] ^ y_bits[{k}])" for k in range(BITS // 64))
+    x = open_lists.where("component <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "component", "bits")))
+    y = open_lists.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "component", "bits")))
+    close = f"{100 + percent} * ({far}) <= {100 - percent} * (x_size + y_size)"
+    more = x.join(y, "key").where("x_component <> y_component and " + fits.format("x_size", "y_size") + " and " + close).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     more = staged(more.join(star, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = links.unionByName(linked(more, nodes, docs, words, percent))
         found = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    placed = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    placed = nodes.drop("bits").join(found.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "group", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
