@@ -7,9 +7,11 @@ both are frequent, the pair of them is a key (a two-token combination). So a pas
 makes no long list, unless a document consists of such passages. The frequent class has a bound (``most_frequent``);
 which shingles are in it changes only the work, never the result.
 
-Documents with equal sets are one node. In a key's list each node is compared with the list's first node; then nodes in
-different components are compared with each other, those outside the list's largest component with all. Before sets are moved, a
-pair must pass a bitmap filter: each of BITS bits says whether a set has a shingle of that hash, so two bitmaps differ in at
+Documents with equal sets are one node. In a key's list each node is compared with the list's head; then nodes in
+different components are compared with each other, those outside the list's largest component with all. The head of a list of
+over LONG nodes is its most central one: each node is held against one random node of each of its lists, and the one that is
+close to most of them leads. In a large group of near copies that is the least edited one, so few links are left for
+the second comparison. Any head gives the same groups. Before sets are moved, a pair must pass a bitmap filter: each of BITS bits says whether a set has a shingle of that hash, so two bitmaps differ in at
 most as many bits as the sets have shingles apart. Every link is decided on whole sets.
 """
 
@@ -30,6 +32,7 @@ SMALL = 400  # sets up to here take two-token combinations
 FREQUENT = 64
 MOST_FREQUENT = 1 << 20
 BITS = 1024
+LONG = 16  # lists of more nodes get their most central one as head
 
 
 def prefix_size(n: int, percent: int, extra: int) -> int:
@@ -52,6 +55,12 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def close(x: str, y: str, x_size: str, y_size: str, percent: int) -> str:
+    """SQL: two sets with these bitmaps and sizes may reach the threshold."""
+    far = " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(BITS // 64))
+    return f"{100 + percent} * ({far}) <= {100 - percent} * ({x_size} + {y_size})"
+
+
 def _nodes(batches, words):
     for batch in batches:
         sets = list(_sets(batch, words))
@@ -173,25 +182,31 @@ def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, freq
     shared = spark.sparkContext.broadcast(table.tobytes())  # 8 MB at most
     index = docs.select("text").mapInArrow(lambda it: _index(it, words, percent, shared), "key long, node long, size int")
     # written, as the join then deals out both sides anew and a frequent key's rows can be split
-    heads = staged(index.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("key", "head"), "heads")
-    lists = staged(index.join(heads, "key").groupBy("key", "node").agg(F.first("size").alias("size"), F.first("head").alias("head")), "lists")
+    heads = staged(index.groupBy("key").agg(F.min("node").alias("head"), F.min_by("size", "node").alias("head_size"), F.max("node").alias("last")).where("head <> last").drop("last"), "heads")
+    lists = staged(index.join(heads, "key").groupBy("key", "node").agg(F.first("size").alias("size"), F.first("head").alias("head"), F.first("head_size").alias("head_size")), "lists")
+    bits = nodes.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits"))
+    dealt = F.xxhash64("key", "node")
+    of_long = lists.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", dealt).alias("other"), F.min_by("size", dealt).alias("other_size")).where(F.col("n") > LONG)
+    long = staged(lists.select("key", "node", "size").join(of_long.drop("n"), "key"), "long")
+    tried = long.join(bits.withColumnRenamed("bits", "x_bits"), "node").join(bits.select(F.col("node").alias("other"), F.col("bits").alias("y_bits")), "other")
+    central = tried.groupBy("node").agg(F.count_if(F.expr(close("x_bits", "y_bits", "size", "other_size", percent))).alias("score"))
+    best = long.join(central, "node").groupBy("key").agg(F.max(F.struct("score", "node", "size")).alias("best"))
+    led = lists.join(best, "key", "left").select("key", "node", "size", F.coalesce("best.node", "head").alias("head"), F.coalesce("best.size", "head_size").alias("head_size"))
+    led = staged(led.where("node <> head"), "led")
     fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
-    star = staged(lists.where("node <> head.node and " + fits.format("size", "head.size")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
+    star = staged(led.where(fits.format("size", "head_size")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
     links = linked(star, nodes, docs, words, percent)
     found = components(links)
     # what the stars leave: lists whose other nodes are in several components
-    rest = lists.where("node <> head.node").select("key", "node", "size").join(found.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    rest = led.select("key", "node", "size").join(found.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
     rest = staged(rest, "rest")
     parts = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("main"))
     main = staged(main, "main")
-    bits = nodes.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits"))
     open_lists = staged(rest.join(main, "key").join(bits, "node"), "open")
-    far = " + ".join(f"bit_count(x_bits[{k}] ^ y_bits[{k}])" for k in range(BITS // 64))
-    x = open_lists.where("component <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "component", "bits")))
+    x = open_lists.where("component <> main").select("key", "main", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "component", "bits")))
     y = open_lists.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "component", "bits")))
-    close = f"{100 + percent} * ({far}) <= {100 - percent} * (x_size + y_size)"
-    more = x.join(y, "key").where("x_component <> y_component and " + fits.format("x_size", "y_size") + " and " + close).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    more = x.join(y, "key").where("x_component <> y_component and (y_component = main or x_node < y_node) and " + fits.format("x_size", "y_size") + " and " + close("x_bits", "y_bits", "x_size", "y_size", percent)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     more = staged(more.join(star, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = links.unionByName(linked(more, nodes, docs, words, percent))
