@@ -43,9 +43,11 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
-    for _, _, data, off in chunks(batch.column("text")):
-        yield from Words(data, off).sets(words)
+def _pieces(batches, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Runs of rows of about 2 MB of text with their sets: a task holds one at once, however many keys a batch's rows have."""
+    for batch in batches:
+        for i, j, data, off in chunks(batch.column("text")):
+            yield batch.slice(i, j - i), list(Words(data, off).sets(words))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -62,8 +64,7 @@ def close(x: str, y: str, x_size: str, y_size: str, percent: int) -> str:
 
 
 def _nodes(batches, words):
-    for batch in batches:
-        sets = list(_sets(batch, words))
+    for batch, sets in _pieces(batches, words):
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "node", "bits"])
@@ -75,8 +76,8 @@ def _longs(parts: list, name: str) -> pa.RecordBatch:
 
 def _heads(batches, words, percent):
     """The first shingles by hash, twice the plain prefix: where frequent ones would do harm."""
-    for batch in batches:
-        yield _longs([s[: 2 * prefix_size(len(s), percent, 1)] for s in _sets(batch, words)], "shingle")
+    for _, sets in _pieces(batches, words):
+        yield _longs([s[: 2 * prefix_size(len(s), percent, 1)] for s in sets], "shingle")
 
 
 def keys_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -99,9 +100,9 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 def _index(batches, words, percent, frequent):
     table = np.frombuffer(frequent.value, np.uint64)
-    for batch in batches:
+    for _, sets in _pieces(batches, words):
         key, node, size = [], [], []
-        for s in _sets(batch, words):
+        for s in sets:
             if len(s) * (100 - percent) >= percent:  # smaller sets reach the threshold with equal ones only
                 key.append(keys_of(s, table, percent))
                 node.append(np.full(len(key[-1]), node_of(s)))
@@ -119,8 +120,7 @@ def profile(s: np.ndarray) -> np.ndarray:
 
 
 def _whole_sets(batches, words):
-    for batch in batches:
-        sets = list(_sets(batch, words))
+    for batch, sets in _pieces(batches, words):
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array([profile(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "profile", "shingles"])
 
