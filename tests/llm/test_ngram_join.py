@@ -92,3 +92,19 @@ def test_bitmaps_bound_the_difference():
         apart = sum(int(v).bit_count() for v in (bitmap(x) ^ bitmap(y)).view(np.uint64))
         assert apart <= len(np.setxor1d(x, y))
     assert not bitmap(np.zeros(0, np.uint64)).any()
+
+
+def test_large_group_around_one_text(spark):
+    """Over LONG copies, each edited apart from the others: most link with the base only, some with nothing."""
+    rng = random.Random(5)
+    base = words(rng, 150).split(" ")
+    texts = [" ".join(base)]
+    for edits in [2] * 60 + [5] * 30 + [9] * 30:
+        copy = list(base)
+        for k in rng.sample(range(150), edits):
+            copy[k] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    found = result(jaccard_groups(frame(spark, texts)))
+    assert found == brute(list(enumerate(texts)))
+    assert len({c for _, _, c in found}) > 1
