@@ -77,3 +77,27 @@ def test_edge_rows(spark):
     assert pii.find_pii(frame(spark, [])).collect() == [] and pii.sanitise(frame(spark, [])).collect() == []
     rows = pii.sanitise(frame(spark, ["1.2.3.4 +49 30 1234567, 4111111111111111 ab 1.2.3.4"])).collect()
     assert rows[0].text == "<IP> <PHONE>, <CARD> ab <IP>"
+
+
+def test_terms_reveal_entities_from_afar(spark):
+    """A name far from the address, behind a number; the values differ and share a domain only; near copies count once."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = [f"Ottokar {filler(30)} 17 {filler(30)} o{k}@firm.org {filler(3)}" for k in range(9)] + [f"{filler(12)} Ottokar {filler(12)}"]
+    base = filler(60).split(" ")
+    for k in range(12):
+        copy = [*base, "Zebulon", "writes", "from", f"z{k}@copy.org"]
+        copy[rng.randrange(60)] = "v" + "".join(rng.choice("abcdefgh") for _ in range(6))
+        texts.append(" ".join(copy))
+    texts += [f"{filler(20)} x{k}@y.org" for k in range(10)] + [filler(20) for _ in range(100)]
+    rows = pii.find_pii(frame(spark, texts)).collect()
+    added = {(r.doc_id, texts[r.doc_id][s.start : s.end], s.kind) for r in rows for s in r.added}
+    assert {(i, t) for i, t, _ in added} == {(i, "Ottokar") for i in range(10)}
+
+
+def test_blanking_keeps_places(spark):
+    texts = ["Zoéotto@firm.org a 4111111111111111.1.2 +4111111111111111 naïve", "", "😀 Äbc"]
+    rows = {r.doc_id: r for r in pii.base_spans(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        gone = {k for s in rows[i].base for k in range(s.start, s.end)}
+        assert (rows[i].rest or t) == "".join(" " if k in gone else c for k, c in enumerate(t))

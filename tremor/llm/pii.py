@@ -4,11 +4,12 @@ Base kinds are found by regular expressions and checked by value. The expression
 plain forms match, in linear time and without recursion: possessive repeats, and starts only at the beginning of a run of
 the first class or where the last match ended.
 
-Information-theoretic sanitisation: an entity is a base value; the terms next to it in texts are its context. Over the whole
-corpus, pmi(term, entity) = log2(p(both) / (p(term) p(entity))) tells how much a term reveals of an entity's own information
--log2 p(entity). Their ratio is 1 when every document with the term has the entity next to it. From ``generalise`` on a term is
-replaced by its kind, from ``remove`` on it is removed, wherever it stands next to that entity. Evidence of under ``support``
-different texts is none, else any copied text's words would all seem to reveal.
+Information-theoretic sanitisation: entities are a base value, what it shares with others (e-mail domain, phone or card prefix,
+network) and its kind. Over whole documents, pmi(term, entity) = log2(p(both) / (p(term) p(entity))) tells how much a term
+reveals of an entity's own information -log2 p(entity). Their ratio is 1 when every document with the term has the entity.
+From ``generalise`` on a term is replaced by its kind, from ``remove`` on it is removed, wherever it stands outside of base
+values. Evidence is a significance test: that as many of the entity's texts have the term by chance must be less likely than
+``alpha`` over all pairs tried. Near copies are one text there, else any copied text's words would all seem to reveal.
 
 All work is DataFrame functions: no Python runs on the executors.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import fresh, staged
+from tremor.llm.common import components, fresh, likely_in, staged
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -29,8 +30,9 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": ".", "phone": "+"}  # a text without it has no match
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalise": "<TERM>", "remove": ""}
-CONTEXT = 48  # characters on either side of a value
-SUPPORT = 5
+ALPHA = 0.01
+KEYS, MINIMA = 6, 4  # near copies meet in one of KEYS keys of MINIMA smallest shingle hashes each
+TERM = r"\p{L}{3,}+"
 GENERALISE, REMOVE = 0.8, 0.95
 BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -66,8 +68,7 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def _matches(df: DataFrame, kind: str) -> DataFrame:
-    """Adds ``<kind>``: array of (start, end, value, left, right) of the valid matches in ``text``; left and right are the
-    characters between a match and its neighbours, up to CONTEXT."""
+    """Adds ``<kind>``: array of (start, value) of the valid matches in ``text``."""
     pattern = F.lit(PATTERNS[kind])
     some = F.contains(F.col("text"), F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
     none = F.array().cast("array<string>")
@@ -75,64 +76,107 @@ def _matches(df: DataFrame, kind: str) -> DataFrame:
     df = df.withColumn("_s", F.when(F.size("_m") > 0, F.split("text", PATTERNS[kind], -1)).otherwise(none))
     df = df.withColumn("_at", running_sums(F.transform(F.arrays_zip("_s", "_m"), lambda z: F.length(z["_s"]) + F.coalesce(F.length(z["_m"]), F.lit(0)))))
     found = F.transform(F.col("_m"), lambda m, i: F.struct(
-        (F.element_at("_at", i + 1) + F.length(F.element_at("_s", i + 1))).alias("start"), m.alias("value"),
-        F.right(F.element_at("_s", i + 1), F.lit(CONTEXT)).alias("left"), F.left(F.element_at("_s", i + 2), F.lit(CONTEXT)).alias("right"),
-        (F.length(F.element_at("_s", i + 1)) <= CONTEXT).alias("whole_left"), (F.length(F.element_at("_s", i + 2)) <= CONTEXT).alias("whole_right")))
+        (F.element_at("_at", i + 1) + F.length(F.element_at("_s", i + 1))).alias("start"), m.alias("value")))
     return df.withColumn(kind, F.filter(found, lambda x: valid(kind, x["value"]))).drop("_m", "_s", "_at")
 
 
-def _terms(text: Column, start: Column, whole: Column, last: bool) -> Column:
-    """(term, start, end) of the words of a context; a word that the context's far edge may cut is left out."""
-    words = F.regexp_extract_all(text, F.lit(r"\p{L}{3,}+"), F.lit(0))
-    gaps = F.split(text, r"\p{L}{3,}+", -1)
-    sizes = F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w")), lambda z: F.length(z["g"]) + F.coalesce(F.length(z["w"]), F.lit(0)))
-    at = _sums_in_block(sizes)
-    found = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("term"), (start + F.element_at(at, i + 1) + F.length(F.element_at(gaps, i + 1))).cast("int").alias("start"), F.length(w).alias("size")))
-    edge = start if last else start + F.length(text)
-    return F.filter(found, lambda x: whole | ((x["start"] > edge) if last else (x["start"] + x["size"] < edge)))
+def terms_of(text: Column) -> Column:
+    """Distinct terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def places_of(text: Column) -> Column:
+    """(term, start, size) of all terms."""
+    words, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    at = running_sums(F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w")), lambda z: F.length(z["g"]) + F.coalesce(F.length(z["w"]), F.lit(0))))
+    parts = F.arrays_zip(words.alias("w"), at.alias("at"), gaps.alias("g"))
+    found = F.transform(parts, lambda z: F.struct(F.lower(z["w"]).alias("term"), (z["at"] + F.length(z["g"])).cast("int").alias("start"), F.length(z["w"]).alias("size")))
+    return F.filter(found, lambda x: x["term"].isNotNull())
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, so that places stay."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    joined = F.aggregate(
+        ordered, F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at")),
+        lambda acc, s: F.struct(
+            F.when(s["end"] > acc["at"], F.concat(acc["parts"], F.array(
+                F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"]))))).otherwise(acc["parts"]).alias("parts"),
+            F.greatest(acc["at"], s["end"]).alias("at")),
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined
 
 
 def _spans_of(kind: str) -> Column:
     return F.transform(F.col(kind), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end")))
 
 
-def _contexts_of(kind: str) -> Column:
-    def around(x: Column) -> Column:
-        terms = F.concat(_terms(x["left"], x["start"] - F.length(x["left"]), x["whole_left"], True), _terms(x["right"], x["start"] + F.length(x["value"]), x["whole_right"], False))
-        entity = F.xxhash64(F.lit(kind), F.lower(x["value"]))
-        return F.transform(terms, lambda t: F.struct(entity.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["size"].alias("size")))
+def _entities_of(kind: str) -> Column:
+    """For each value: the value, what it shares with others, and its kind, as hashes."""
+    def levels(x: Column) -> Column:
+        value, digits = F.lower(x["value"]), F.regexp_replace(x["value"], "[^0-9]", "")
+        own = digits if kind in ("card", "phone") else value
+        shared = {"email": F.substring_index(value, "@", -1), "ip": F.substring_index(value, ".", 3), "card": F.left(digits, F.lit(6)), "phone": F.left(digits, F.lit(4))}[kind]
+        return F.array(*(F.xxhash64(F.lit(kind), F.lit(level), v) for level, v in (("value", own), ("shared", shared), ("kind", F.lit("")))))
 
-    return F.transform(F.col(kind), around)
+    return F.flatten(F.transform(F.col(kind), levels))
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark, base, contexts): base spans by kind, then start; contexts (entity, term, start, size) around them."""
+    """(doc_id, mark, base, entities, rest, inside): base spans by kind, then start; distinct entities; for texts with base
+    values the text with them blanked, and the terms that stand in them only."""
     df = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     for kind in KINDS:
         df = _matches(df, kind)
-    base = F.concat(*(_spans_of(k) for k in KINDS))
-    around = F.flatten(F.concat(*(_contexts_of(k) for k in KINDS)))
-    return df.select("doc_id", "mark", base.cast(f"array<{SPAN}>").alias("base"), around.alias("contexts"))
+    df = df.withColumn("base", F.concat(*(_spans_of(k) for k in KINDS)).cast(f"array<{SPAN}>"))
+    df = df.withColumn("entities", F.array_distinct(F.concat(*(_entities_of(k) for k in KINDS))))
+    df = df.withColumn("rest", F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))))
+    inside = F.when(F.size("base") > 0, F.array_except(terms_of(F.col("text")), terms_of(F.col("rest"))))
+    return df.select("doc_id", "mark", "base", "entities", "rest", inside.alias("inside"))
+
+
+def near_groups(texts: DataFrame) -> DataFrame:
+    """(id, component) of those of ``texts(mark, rest)`` that have near copies: shingles of three terms, min-hashed."""
+    words = F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), F.lower)
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(3))))
+    least = lambda k: F.array_min(F.transform("s", lambda h: F.xxhash64(h, F.lit(k))))
+    keys = F.array(*(F.xxhash64(F.lit(k), *(least(k * MINIMA + j) for j in range(MINIMA))) for k in range(KEYS)))
+    keyed = staged(texts.select("mark", words.alias("w")).select("mark", shingles.alias("s")).select("mark", F.explode(keys).alias("key")), "keys")
+    heads = keyed.groupBy("key").agg(F.min("mark").alias("head"), F.max("mark").alias("last")).where("head <> last").select("key", "head")
+    return components(keyed.join(heads, "key").select(F.col("mark").alias("a"), F.col("head").alias("b")))
 
 
-def disclosure(documents: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosure(documents: DataFrame, found: DataFrame, alpha: float = ALPHA, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, ratio) of the terms that reveal an entity by ``generalise`` or more."""
-    total = found.count()
-    near = found.where("size(contexts) > 0").select("mark", F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("c")).select("mark", "c.*")
-    near = staged(near, "near")
-    entities = found.where("size(contexts) > 0").select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.countDistinct("mark").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    total = float(found.count())
+    texts = staged(found.where("size(entities) > 0").groupBy("mark").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("rest").alias("rest")), "texts")
+    groups = near_groups(texts.select("mark", "rest"))
+    texts = texts.join(groups.select(F.col("id").alias("mark"), "component"), "mark", "left").withColumn("group", F.coalesce("component", "mark")).drop("component")
+    per_group = texts.select("group", "copies", F.explode("entities").alias("entity")).groupBy("entity", "group").agg(F.sum("copies").alias("copies"))
+    # one text has every term of its own: two at least are needed to tell chance from a link
+    entities = staged(per_group.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("of")).where("of > 1"), "entities")
+    some = texts.select("mark", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity").groupBy("mark").agg(F.collect_set("entity").alias("some"))
+    near = texts.drop("entities").join(some, "mark").select("group", "copies", "some", F.explode(terms_of(F.col("rest"))).alias("term")).select("group", "copies", "term", F.explode("some").alias("entity"))
+    both = (near.groupBy("entity", "term", "group").agg(F.sum("copies").alias("copies"))
+            .groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where("texts > 1"))
     both = staged(both, "both")
     if not both.limit(1).count():
-        return both.join(entities, "entity").select("entity", "term", F.lit(0.0).alias("ratio"))
+        return both.select("entity", "term", F.lit(0.0).alias("ratio"))
     # every document of the corpus counts for a term's frequency, whether or not an entity is in it
-    terms = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    own = -F.log2(F.col("n_entity") / F.lit(float(total)))
-    return (both.join(terms, "term").join(entities, "entity").withColumn("ratio", F.when(own > 0, pmi / own).otherwise(0.0)).where(F.col("ratio") >= generalise).select("entity", "term", "ratio"))
-
-
-def find_pii(documents: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    each = documents.select(F.explode(terms_of(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    inside = found.where("size(inside) > 0").select(F.explode("inside").alias("term"), F.lit(-1).alias("n"))
+    terms = staged(each.unionByName(inside).groupBy("term").agg(F.sum("n").alias("n_term")).where("n_term > 0"), "terms")
+    tried = float(entities.count()) * terms.count()
+    pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
+    own = -F.log2(F.col("n_entity") / F.lit(total))
+    p, q = F.col("n_term") / F.lit(total), F.col("texts") / F.col("of")
+    # Chernoff: of ``of`` texts, ``texts`` or more have the term by chance with a probability of exp(-unlikely) at most
+    unlikely = F.when(q > p, F.col("of") * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))).otherwise(0.0)
+    return (both.join(terms, "term").join(entities, "entity").where(unlikely >= F.log(F.lit(tried / alpha)))
+            .withColumn("ratio", F.when(own > 0, pmi / own).otherwise(0.0)).where(F.col("ratio") >= generalise).select("entity", "term", "ratio"))
+
+
+def find_pii(documents: DataFrame, alpha: float = ALPHA, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, mark, base, added): one row for each row of ``documents``; spans (kind, start, end) in code points, end exclusive.
 
     ``base`` holds email, ip, card and phone, by kind in this order, then start; ``added`` holds the revealing terms, of kind
@@ -140,13 +184,22 @@ def find_pii(documents: DataFrame, support: int = SUPPORT, generalise: float = G
     spans. Other columns are ignored. An empty table gives an empty result.
     """
     found = staged(base_spans(documents), "base")
-    open_terms = staged(disclosure(documents, found, support, generalise), "disclosure")
-    hits = (found.where("size(contexts) > 0").select("doc_id", "mark", F.explode("contexts").alias("c")).select("doc_id", "mark", "c.*").join(open_terms, ["entity", "term"])
-            .groupBy("doc_id", "mark", "start", "size").agg(F.max("ratio").alias("ratio"))
-            .groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "size", "ratio"))).alias("terms")))
-    added = F.transform("terms", lambda t: F.struct(F.when(t["ratio"] >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"), t["start"].alias("start"), (t["start"] + t["size"]).alias("end")))
-    return (found.drop("contexts").alias("f").join(hits.withColumn("added", added.cast(f"array<{SPAN}>")).drop("terms").alias("h"), F.expr("f.doc_id <=> h.doc_id and f.mark = h.mark"), "left")
-            .select("f.doc_id", "f.mark", "f.base", F.coalesce("h.added", F.array().cast(f"array<{SPAN}>")).alias("added")))
+    open_terms = staged(disclosure(documents, found, alpha, generalise).groupBy("term").agg(F.max("ratio").alias("ratio")), "disclosure")
+    none = F.array().cast(f"array<{SPAN}>")
+    if not open_terms.limit(1).count():
+        return found.select("doc_id", "mark", "base", none.alias("added"))
+    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    hits = likely_in(docs.select("doc_id", "mark", F.explode(terms_of(F.col("text"))).alias("term")), open_terms, ["term"]).join(open_terms, "term")
+    hits = staged(hits.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("ratios")), "hits")
+    same = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.mark = {b}.mark")
+    rests = likely_in(found.where("rest is not null").select("doc_id", "mark", "rest"), hits, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = (likely_in(docs, hits, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(hits.alias("h"), same("d", "h")).select("d.*", "h.ratios").alias("t")
+             .join(rests.alias("r"), same("t", "r"), "left").select("t.doc_id", "t.mark", "t.ratios", F.coalesce("r.rest", "t.text").alias("text")))
+    kind = lambda t: F.when(F.element_at("ratios", t["term"]) >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
+    terms = F.filter(places_of(F.col("text")), lambda t: F.map_contains_key("ratios", t["term"]))
+    added = F.transform(terms, lambda t: F.struct(kind(t).alias("kind"), t["start"].alias("start"), (t["start"] + t["size"]).alias("end"))).cast(f"array<{SPAN}>")
+    added = staged(texts.select("doc_id", "mark", added.alias("added")), "added")
+    return found.alias("f").join(added.alias("h"), same("f", "h"), "left").select("f.doc_id", "f.mark", "f.base", F.coalesce("h.added", none).alias("added"))
 
 
 def spans_text(spans: Column) -> Column:
