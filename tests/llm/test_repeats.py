@@ -53,3 +53,24 @@ def test_repeated_rows_null_ids_extra_columns(spark):
 
 def test_empty(spark):
     assert remove_repeats(frame(spark, [])).collect() == []
+
+
+def test_positions_beyond_the_low_bits(spark, monkeypatch):
+    """A text of many times _LOW bytes: its anchors are those of the same bytes elsewhere."""
+    import numpy as np
+
+    from tremor.llm import repeats
+
+    monkeypatch.setattr(repeats, "_LOW", np.uint64((1 << 9) - 1))
+    data = np.random.default_rng(4).integers(97, 123, 5000).astype(np.uint8)
+    data[4000:4300] = data[100:400]
+    off = np.array([0, 3000, 5000])
+    text, lo, size, gram, block = repeats.anchor_runs(data, off, 40, 20)
+    seen = {}
+    for t, a, n, g in zip(text.tolist(), lo.tolist(), size.tolist(), gram.tolist()):
+        assert n <= 40 - 20 + 1
+        for w in range(a, a + n):
+            assert (t, w) not in seen
+            seen[t, w] = g
+    assert set(seen) == {(t, w) for t in range(2) for w in range(off[t + 1] - off[t] - 39)}
+    assert all(seen[1, 1000 + w] == seen[0, 100 + w] for w in range(300 - 39))

@@ -27,7 +27,7 @@ from tremor.llm.wordhash import chunks, mix, powers, prefix_hash
 
 LENGTH = 400
 K = 200
-PLACES = 1 << 20  # more than windows in a block
+CUT = 1 << 22  # longer texts are taken in parts, which also keeps positions within _LOW
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -49,7 +49,23 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (text, first window in the text, number of windows, anchor hash, block hash)."""
+    """Runs of windows with one anchor: (text, first window in the text, number of windows, anchor hash, block hash).
+
+    Long data is taken in parts that overlap by ``length`` - 1 bytes, so each window is in one part; a border splits a run,
+    which costs work only."""
+    most = max(min(int(_LOW) + 1, CUT), length)
+    if len(data) <= most:
+        return _runs_in(data, off, length, k)
+    parts, step = [_runs_in(data[:0], off[:1], length, k)], most - length + 1
+    for t, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        for at in range(a, b - length + 1, step):
+            part = data[at : min(at + most, b)]
+            _, lo, *rest = _runs_in(part, np.array([0, len(part)]), length, k)
+            parts.append((np.full(len(lo), t), lo + (at - a), *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _runs_in(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < length:
@@ -82,8 +98,9 @@ def _runs_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
                 names=["key", "lo", "size", "gram", "block"])
 
 
-def _windows_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """For the listed blocks of each text: hash of every window, with its place (block id * PLACES + place in the block) and weight."""
+def _windows_of(batches: Iterator[pa.RecordBatch], length: int, places: int) -> Iterator[pa.RecordBatch]:
+    """For the listed blocks of each text: hash of every window, with its place (block id * places + place in the block) and weight.
+    Windows of one anchor are length - k + 1 at most."""
     for batch in batches:
         blocks = batch.column("blocks").to_pylist()
         for i, j, data, off in chunks(batch.column("text")):
@@ -93,7 +110,7 @@ def _windows_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
                     out = []
                     for b in blocks[row][part : part + 2000]:
                         start = off[row - i] + b["lo"] + np.arange(b["size"])
-                        out.append((span_hash(h, start, start + length), b["rid"] * PLACES + np.arange(len(start)), np.full(len(start), b["times"])))
+                        out.append((span_hash(h, start, start + length), b["rid"] * places + np.arange(len(start)), np.full(len(start), b["times"])))
                     window, place, times = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(place), pa.array(times)], names=["window", "place", "times"])
 
@@ -134,6 +151,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     ``docs`` has (doc_id, mark, text); mark is a hash of the text, so rows with one doc_id and different texts stay apart.
     Rows that are alike in both count as two places and share their spans. Spans may overlap.
     """
+    per_block = length - k + 1
     runs = docs.select(F.struct("doc_id", "mark").alias("key"), "text").where(F.octet_length("text") >= length)
     runs = staged(runs.mapInArrow(lambda it: _runs_of(it, length, k), "key struct<doc_id:long,mark:long>, lo int, size int, gram long, block long")
                   .select("key.*", "lo", "size", "gram", "block"), "runs")
@@ -148,9 +166,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     todo = times.join(mixed, "gram").select("one.*", "rid", "times").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "size", "rid", "times")).alias("blocks"))
     todo = staged(todo, "todo")
     texts = likely_in(docs, todo, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(todo.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.mark = t.mark")).select("d.text", "t.blocks")
-    windows = staged(texts.mapInArrow(lambda it: _windows_of(it, length), "window long, place long, times long"), "windows")
+    windows = staged(texts.mapInArrow(lambda it: _windows_of(it, length, per_block), "window long, place long, times long"), "windows")
     met = staged(windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window"), "met")
-    places = (windows.where("times = 1").select("window", "place").join(met, "window").select(F.expr(f"place div {PLACES}").alias("rid"), (F.col("place") % PLACES).alias("place"))
+    places = (windows.where("times = 1").select("window", "place").join(met, "window").select(F.expr(f"place div {per_block}").alias("rid"), (F.col("place") % per_block).alias("place"))
               .join(times.where("times = 1").select("rid", "one"), "rid").select("one.doc_id", "one.mark", (F.col("one.lo") + F.col("place")).cast("long").alias("start"), (F.col("one.lo") + F.col("place") + length).cast("long").alias("end")))
     return whole.unionByName(places)
 
