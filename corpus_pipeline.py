@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import decontaminate, ngram_join, packing, pii, toxicity
-from tremor.llm.common import staged
+from tremor.llm.common import fresh, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the group's smallest doc_id stays. Rows without a doc_id stay if no document with one is in their group."""
-    groups = ngram_join.jaccard_groups(docs, words=5, percent=80)
-    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.dropDuplicates().join(gone, docs["doc_id"].eqNullSafe(gone["_d"]), "left_anti").select(docs.columns)
+    """Of each group the row with the smallest doc_id stays, of several (or if all lack one) that of the least hash."""
+    own = fresh(docs, "_mark")
+    marked = docs.withColumn(own, F.xxhash64(*docs.columns))
+    rows = staged(ngram_join.placed_rows(marked.select("doc_id", F.col(own).alias("mark"), "text"), 5, 80).where("group is not null").select("group", "doc_id", "mark"), "placed")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    least = rows.groupBy("group").agg(F.min(rank).alias("least"), F.max(rank).alias("last")).where("not (least <=> last)").select("group", "least")
+    gone = rows.join(least, "group").where(~rank.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
+    return marked.dropDuplicates().join(gone, marked["doc_id"].eqNullSafe(gone["_d"]) & (marked[own] == gone["_m"]), "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from tests.llm.helpers import SF
+from tests.llm.helpers import SCHEMA, SF
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_pii import brute as personal
 
@@ -53,3 +53,21 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "bin", "place", "capacity"] and out.count() > 50
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    return sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()), key=str)
+
+
+def test_near_copies_without_doc_ids(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
+    alone, other = (None, "unique words that no other text here has at all", "s"), (None, "one more text that is like none", "s")
+    rows = [(3, long, "s"), (None, long, "s"), alone, other, (None, None, "s")]
+    assert kept(spark, rows) == sorted([rows[0], alone, other, rows[4]], key=str)
+    # copies that all lack an id, one of them linked by an edited text only
+    rows = [(None, long, "s"), (None, long + "end", "s"), (None, long, "t"), alone]
+    assert len(kept(spark, rows)) == 2 and alone in kept(spark, rows)
+    # different texts under one doc_id: only the one with a smaller partner goes
+    rows = [(1, long, "s"), (2, long + "end", "s"), (2, "words of the second text under this id", "s")]
+    assert kept(spark, rows) == sorted([rows[0], rows[2]], key=str)

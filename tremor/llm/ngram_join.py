@@ -66,8 +66,8 @@ def close(x: str, y: str, x_size: str, y_size: str, percent: int) -> str:
 def _nodes(batches, words):
     for batch, sets in _pieces(batches, words):
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "bits"])
+            [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+            names=["doc_id", "mark", "n_shingles", "node", "bits"])
 
 
 def _longs(parts: list, name: str) -> pa.RecordBatch:
@@ -150,9 +150,9 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     """Those of ``pairs(a, b)`` whose sets reach the threshold. One text of each node is read; only sets that the bound by
     profiles lets through are moved."""
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    one = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends(pairs), "node").where("doc_id is not null")
+    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("one")).join(ends(pairs), "node").select("node", "one.doc_id", "one.mark")
     one = staged(one, "wanted")
-    texts = likely_in(docs, one, ["doc_id"]).dropDuplicates(["doc_id"]).join(one, "doc_id").select("node", "text")
+    texts = likely_in(docs, one, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(one.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.mark = o.mark")).select("node", "text")
     sets = staged(texts.mapInArrow(lambda it: _whole_sets(it, words), "node long, profile binary, shingles binary"), "sets")
 
     def both(p: DataFrame, s: DataFrame, column: str) -> DataFrame:
@@ -170,12 +170,21 @@ def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, freq
     or null, has no shingle and links with nothing. Words are split at space and 0x09 to 0x0D; A-Z are lower-cased.
     One row for each row of ``documents``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself
     included), links (number of links to other sets that were verified; enough to connect the group, not all of them).
-    Rows with one doc_id should have one text. A null doc_id belongs to the group of its text. Other columns are ignored;
-    an empty table gives an empty result.
+    Different texts under one doc_id are sets of their own. A null doc_id belongs to the group of its text. Other columns are
+    ignored; an empty table gives an empty result.
     """
+    placed = placed_rows(documents.select("doc_id", "text").withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))), words, percent, frequent, most_frequent)
+    least = placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    return placed.join(least, "group", "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def placed_rows(documents: DataFrame, words: int, percent: int, frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """(doc_id, mark, n_shingles, node, group, links) for each row of ``documents``, which has (doc_id, mark, text): mark is a hash
+    that differs where texts do; rows with one group are connected, null is a group of none."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    nodes = staged(docs.mapInArrow(lambda it: _nodes(it, words), "doc_id long, n_shingles long, node long, bits array<long>"), "nodes")
+    docs = documents.select(F.col("doc_id").cast("long"), "mark", F.coalesce("text", F.lit("")).alias("text"))
+    nodes = staged(docs.mapInArrow(lambda it: _nodes(it, words), "doc_id long, mark long, n_shingles long, node long, bits array<long>"), "nodes")
     top = (docs.select("text").mapInArrow(lambda it: _heads(it, words, percent), "shingle long").groupBy("shingle").count()
            .where(F.col("count") > frequent).orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").toArrow())
     table = np.sort(np.asarray(top.column(0).combine_chunks() if top.num_rows else np.zeros(0, np.int64)).view(np.uint64))
@@ -212,7 +221,4 @@ def jaccard_groups(documents: DataFrame, words: int = 4, percent: int = 85, freq
         links = links.unionByName(linked(more, nodes, docs, words, percent))
         found = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    placed = nodes.drop("bits").join(found.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    least = placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "group", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return nodes.drop("bits").join(found.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").withColumn("group", F.coalesce("component", "node"))
