@@ -4,7 +4,7 @@ from collections import Counter
 
 from tests.llm.helpers import SCHEMA, SF, frame, words
 from tremor.llm.lines import normalised
-from tremor.llm.quality import quality
+from tremor.llm.quality import quality, without_boilerplate
 
 
 def split(text):
@@ -55,3 +55,24 @@ def test_repeated_rows_null_ids_empty(spark):
     docs = frame(spark, ["a b c d e f g h i j k"] * 3, [1, 1, None])
     assert result(quality(docs, 2)) == sorted(((i, 11, 11, 0, 0, 0, 11, False, False) for i in (1, 1, None)), key=str)
     assert quality(frame(spark, [])).collect() == []
+
+
+def test_lines_are_removed_from_small_and_large_hosts(spark):
+    """The same share decides whatever the host's size; three documents are no evidence; offsets are those of the text."""
+    rows = []
+    for host, docs in (("small", 40), ("large", 400)):
+        for k in range(docs):
+            own = f"own é line {host} {k}"
+            text = "\n".join([own, *(["Home |  ABOUT us"] if k % 4 == 0 else []), *(["rare line"] if k % 50 == 0 else []), "", *(["home | about us"] if k % 8 == 0 else [])])
+            rows.append((len(rows), text, "en", host, 0))
+    rows += [(900, None, "en", "small", 0), *((901 + k, "same words here", "en", "tiny", 0) for k in range(3))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in without_boilerplate(docs).collect()}
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        gone = [(s.start, s.size) for s in got[i].removed]
+        lines, at, want, left = (text or "").split("\n"), 0, [], []
+        for x in lines:
+            (want.append((at, len(x))) if normalised(x) == "home | about us" else left.append(x))
+            at += len(x) + 1
+        assert gone == want and got[i].text == (None if text is None else "\n".join(left))

@@ -1,8 +1,9 @@
 """Quality rules on texts, and cross-document line frequency by host.
 
 Base rules look at one text. The cross-document rule hashes normalised lines and counts, for each host, the documents in which
-a line occurs. Lines above the limit are boilerplate of the host and are removed; a document that loses more than half of
-its words is depleted and rejected. The limit is the larger of a number and a share of the host's documents.
+a line occurs. Lines above the limit are boilerplate of the host. ``quality`` counts them: a document that would lose more than
+half of its words is depleted and rejected; ``without_boilerplate`` removes them. The limit is the larger of a number and a
+share of the host's documents.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import staged
+from tremor.llm.common import likely_in, staged
 from tremor.llm.lines import count_words, digest
 from tremor.llm.wordhash import Words, chunks
 
 MIN_DOCS = 200
 MIN_SHARE = 0.005
 MAX_LOST = 0.5
+EVIDENCE = 5  # to remove a line: in more documents of the host than this, and in more than SHARE of them
+SHARE = 0.05
 WINDOW = 5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -96,3 +99,50 @@ def quality(documents: DataFrame, min_docs: int = MIN_DOCS, min_share: float = M
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= max_lost * F.col("n_words"))).select(
         "doc_id", *STATS, "lost_words", "base_failed", "kept")
+
+
+def _line_key(line: str) -> int:
+    return int.from_bytes(digest(line)[:8], "little", signed=True)
+
+
+def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [list({_line_key(x) for x in text.split("\n") if count_words(x)}) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], names=["host", "row", "lines"])
+
+
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+    for batch in batches:
+        kept, gone = [], []
+        for text, often in zip(batch.column("text").to_pylist(), batch.column("often").to_pylist()):
+            often, at, left, removed = set(often), 0, [], []
+            for line in text.split("\n"):
+                if count_words(line) and _line_key(line) in often:
+                    removed.append({"start": at, "size": len(line)})
+                else:
+                    left.append(line)
+                at += len(line) + 1
+            kept.append("\n".join(left))
+            gone.append(removed)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(gone, spans)], names=["row", "kept", "removed"])
+
+
+def without_boilerplate(documents: DataFrame, min_docs: int = EVIDENCE, min_share: float = SHARE) -> DataFrame:
+    """One row for each row of ``documents``: doc_id, source, text (without boilerplate lines of its host), removed (start and size of
+    each removed line in the original text, in code points, by start).
+
+    Hosts and lines as in ``quality``; every repeat of a boilerplate line goes. Null texts stay null. Other columns are ignored.
+    """
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").withColumn("host", F.coalesce("source", F.lit("")))
+    docs = docs.withColumn("row", F.xxhash64("host", F.coalesce("text", F.lit(""))))
+    texts = docs.where("text is not null").select("host", "row", "text")
+    lines = staged(texts.mapInArrow(_line_keys, "host string, row long, lines array<long>"), "lines").select("host", "row", F.explode("lines").alias("line"))
+    hosts = docs.groupBy("host").agg(F.count("*").alias("docs"))
+    often = (lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+             .join(hosts, "host").where(F.col("n") > min_share * F.col("docs")).select("host", "line"))
+    hit = staged(lines.join(staged(often, "often"), ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("often")), "hit")
+    cut = likely_in(texts, hit, ["row"]).dropDuplicates(["row"]).join(hit, "row").select("row", "text", "often")
+    cut = staged(cut.mapInArrow(_cut_lines, "row long, kept string, removed array<struct<start:long,size:long>>"), "cut")
+    none = F.array().cast("array<struct<start:long,size:long>>")
+    return docs.join(cut, "row", "left").select("doc_id", "source", F.when(F.col("text").isNotNull(), F.coalesce("kept", "text")).alias("text"), F.coalesce("removed", none).alias("removed"))

@@ -53,6 +53,10 @@ def op8_line_frequency_quality(spark, sf_dir):
     return quality.quality(_documents(spark, sf_dir))
 
 
+def op8_boilerplate_removed(spark, sf_dir):
+    return quality.without_boilerplate(_documents(spark, sf_dir))
+
+
 def op9_repeated_bytes(spark, sf_dir):
     return repeats.remove_repeats(_documents(spark, sf_dir)).drop("spans")
 
@@ -68,7 +72,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_warc_archive, op3_information_theoretic_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join,
-        op7_hilbert_shards, op8_line_frequency_quality, op9_repeated_bytes, op10_toxicity)
+        op7_hilbert_shards, op8_line_frequency_quality, op8_boilerplate_removed, op9_repeated_bytes, op10_toxicity)
 }
 #: Words of documents as the operators see them, A-Z lower-cased.
 _WORDS = r"""
