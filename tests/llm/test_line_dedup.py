@@ -45,3 +45,13 @@ def test_repeated_rows_null_ids_empty(spark):
     got = [(r.doc_id, r.text) for r in dedup_lines(frame(spark, [a, a, a, a], [5, 5, None, 7])).collect()]
     assert sorted(got, key=str) == sorted([(5, a), (5, a), (None, ""), (7, "")], key=str)
     assert dedup_lines(frame(spark, [])).collect() == []
+
+
+def test_every_line(spark):
+    from tremor.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {i: ",".join(f"{a}:{a + n}" for a, n in gone) for i, _, gone in brute([(r.doc_id, r.text) for r in docs.collect()], least=1)}
+    got = {r.doc_id: r.removed for r in QUERIES["op1_every_line"](spark, SF).collect()}
+    assert got == want
+    assert sum(map(len, got.values())) > sum(len(r.removed) for r in QUERIES["op1_line_dedup"](spark, SF).collect())

@@ -14,12 +14,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op1_line_dedup(spark, sf_dir):
-    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
+def _deduped(out: DataFrame) -> DataFrame:
     removed = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), (r["start"] + r["size"]).cast("string"))), ",")
     return out.select("doc_id", "n_units_removed", "n_chars_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), removed.alias("removed"))
 
 
+def op1_line_dedup(spark, sf_dir):
+    return _deduped(line_dedup.dedup_lines(_documents(spark, sf_dir)))
+
+
+def op1_every_line(spark, sf_dir):
+    return _deduped(line_dedup.dedup_lines(_documents(spark, sf_dir), min_words=1))
+
+
 def op2_warc_archive(spark, sf_dir):
     return archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -71,7 +78,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op2_warc_archive, op3_information_theoretic_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join,
+        op1_line_dedup, op1_every_line, op2_warc_archive, op3_information_theoretic_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join,
         op7_hilbert_shards, op8_line_frequency_quality, op8_boilerplate_removed, op9_repeated_bytes, op10_toxicity)
 }
 #: Words of documents as the operators see them, A-Z lower-cased.
