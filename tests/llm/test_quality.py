@@ -11,7 +11,7 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text)
 
 
-def brute(rows, least=200, share=0.005, most=0.5):
+def brute(rows, least=5, share=0.02, most=0.3):
     hosts = Counter(h or "" for _, h, _ in rows)
     lines = Counter((h or "", k) for _, h, t in rows for k in {normalised(x) for x in (t or "").split("\n") if split(x)})
     out = []
@@ -33,7 +33,10 @@ def result(df):
 
 def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert result(quality(docs)) == brute([(r.doc_id, r.source, r.text) for r in docs.collect()])
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    for limit in ((), (2, 0.02, 0.1)):
+        assert result(quality(docs, *limit)) == brute(rows, *limit)
+    assert any(r[6] for r in brute(rows, 2)) and any(not r[7] and not r[8] for r in brute(rows, 2, 0.02, 0.1))
 
 
 def test_lines_of_a_host(spark):

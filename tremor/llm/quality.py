@@ -1,9 +1,9 @@
 """Quality rules on texts, and cross-document line frequency by host.
 
 Base rules look at one text. The cross-document rule hashes normalised lines and counts, for each host, the documents in which
-a line occurs. Lines above the limit are boilerplate of the host. ``quality`` counts them: a document that would lose more than
-half of its words is depleted and rejected; ``without_boilerplate`` removes them. The limit is the larger of a number and a
-share of the host's documents.
+a line occurs. Lines in more than ``min_share`` of the host's documents are boilerplate of the host; ``min_docs`` is the evidence that
+this takes in hosts of few documents. ``quality`` counts their words: a document that would lose more than ``max_lost`` of its
+words is depleted and rejected. ``without_boilerplate`` gives the texts without them.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ from tremor.llm.common import likely_in, staged
 from tremor.llm.lines import count_words, digest
 from tremor.llm.wordhash import Words, chunks
 
-MIN_DOCS = 200
-MIN_SHARE = 0.005
-MAX_LOST = 0.5
-EVIDENCE = 5  # to remove a line: in more documents of the host than this, and in more than SHARE of them
-SHARE = 0.05
+MIN_DOCS = 5
+MIN_SHARE = 0.02
+MAX_LOST = 0.3
 WINDOW = 5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -128,7 +126,7 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(gone, spans)], names=["row", "kept", "removed"])
 
 
-def without_boilerplate(documents: DataFrame, min_docs: int = EVIDENCE, min_share: float = SHARE) -> DataFrame:
+def without_boilerplate(documents: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """One row for each row of ``documents``: doc_id, source, text (without boilerplate lines of its host), removed (start and size of
     each removed line in the original text, in code points, by start).
 

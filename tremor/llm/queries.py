@@ -113,14 +113,14 @@ ORACLES: dict[str, str] = {
         dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE words > 0 GROUP BY doc_id),
         m AS (SELECT doc_id, host, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, sum(words) AS words FROM l WHERE words > 0 GROUP BY ALL),
         h AS (SELECT host, count(*) AS docs FROM t GROUP BY host),
-        often AS (SELECT host, norm FROM m JOIN h USING (host) GROUP BY host, norm, docs HAVING count(*) > 200 AND count(*) > 0.005 * docs),
+        often AS (SELECT host, norm FROM m JOIN h USING (host) GROUP BY host, norm, docs HAVING count(*) > 5 AND count(*) > CAST(0.02 AS DOUBLE) * docs),
         lost AS (SELECT doc_id, sum(words) AS lost FROM m JOIN often USING (host, norm) GROUP BY doc_id),
         s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS BIGINT) AS word_chars,
                 CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
                 CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words
               FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
         SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-          NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= 0.5 * n_words AS kept FROM s""",
+          NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= CAST(0.3 AS DOUBLE) * n_words AS kept FROM s""",
     "op6_ngram_jaccard_join": f"""
         WITH RECURSIVE {_WORDS},
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0),
