@@ -6,6 +6,7 @@ import hashlib
 import re
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
 def normalised(line: str) -> str:
@@ -20,3 +21,16 @@ def digest(line: str) -> bytes:
 
 def count_words(line: str) -> int:
     return len([w for w in _SPACES.split(line) if w])
+
+
+def has_words(line: str) -> bool:
+    return _WORD.search(line) is not None
+
+
+def words_of(line: str) -> list[str]:
+    return [w for w in _SPACES.split(line) if w]
+
+
+def digest_of(words: list[str]) -> bytes:
+    """``digest`` of the line that has these words."""
+    return hashlib.blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import archive, decontaminate, line_dedup, ngram_join, packing, pii, quality, repeats, sharding, toxicity
@@ -14,17 +14,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _deduped(out: DataFrame) -> DataFrame:
-    removed = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), (r["start"] + r["size"]).cast("string"))), ",")
-    return out.select("doc_id", "n_units_removed", "n_chars_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), removed.alias("removed"))
+def _removed(out: DataFrame) -> Column:
+    return F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), (r["start"] + r["size"]).cast("string"))), ",").alias("removed")
 
 
 def op1_line_dedup(spark, sf_dir):
-    return _deduped(line_dedup.dedup_lines(_documents(spark, sf_dir)))
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir), run_words=line_dedup.RUN_WORDS)
+    return out.select("doc_id", "n_shared_words", "n_units_removed", "n_chars_removed", F.col("text_sha256").alias("kept_sha256"), _removed(out))
 
 
 def op1_every_line(spark, sf_dir):
-    return _deduped(line_dedup.dedup_lines(_documents(spark, sf_dir), min_words=1))
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_units_removed", "n_chars_removed", F.col("text_sha256").alias("kept_sha256"), _removed(out))
 
 
 def op2_warc_archive(spark, sf_dir):
@@ -88,15 +89,29 @@ _WORDS = r"""
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
-        WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-        p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS start FROM u),
-        n AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM p),
-        r AS (SELECT *, words >= 8 AND row_number() OVER (PARTITION BY norm, words >= 8 ORDER BY doc_id, start) > 1 AS gone FROM n),
-        g AS (SELECT doc_id, count(*) FILTER (gone) AS n, coalesce(sum(length(line)) FILTER (gone), 0) AS chars,
-                string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept,
-                string_agg(concat(start, ':', start + length(line)), ',' ORDER BY k) FILTER (gone) AS removed FROM r GROUP BY doc_id)
-        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_units_removed, CAST(coalesce(chars, 0) AS BIGINT) AS n_chars_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(removed, '') AS removed
-        FROM documents LEFT JOIN g USING (doc_id)""",
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS pos,
+                trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
+        r AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM p),
+        c AS (SELECT doc_id, k, pos, gone, unnest(w) AS piece, generate_subscripts(w, 1) AS j FROM (
+                SELECT *, regexp_extract_all(line, '.*?[.!?](?:[\x20\x09\x0B-\x0D]+|$)|.+$') AS w FROM r)),
+        s AS (SELECT *, CAST(pos + sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY j) - length(piece) AS BIGINT) AS start,
+                trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS words FROM c),
+        u AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS again, min(doc_id) OVER (PARTITION BY norm) <> max(doc_id) OVER (PARTITION BY norm) AS shared,
+                row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS place FROM s WHERE words > 0),
+        i AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, again ORDER BY place) AS ra, place - row_number() OVER (PARTITION BY doc_id, shared ORDER BY place) AS rs FROM u),
+        v AS (SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, again, ra) >= 20 AS out, shared AND sum(words) OVER (PARTITION BY doc_id, shared, rs) >= 20 AS known FROM i),
+        x AS (SELECT s.doc_id, s.k, s.j, s.gone, s.start, s.piece, coalesce(v.out, false) AND NOT s.gone AS out, coalesce(v.known, false) AS known, s.words FROM s LEFT JOIN v USING (doc_id, k, j)),
+        y AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, k, out ORDER BY j) AS run FROM x),
+        spans AS (SELECT doc_id, k, min(start) AS a, max(start + length(piece)) AS b, count(*) AS n FROM y WHERE out GROUP BY doc_id, k, run
+                  UNION ALL SELECT doc_id, k, pos, pos + length(line), 1 FROM r WHERE gone),
+        g AS (SELECT doc_id, sum(n) AS n, sum(b - a) AS chars, string_agg(concat(a, ':', b), ',' ORDER BY a) AS removed FROM spans GROUP BY doc_id),
+        t AS (SELECT doc_id, k, string_agg(piece, '' ORDER BY j) FILTER (NOT out) AS line FROM x GROUP BY doc_id, k),
+        kept AS (SELECT r.doc_id, string_agg(coalesce(t.line, ''), chr(10) ORDER BY r.k) AS text FROM r LEFT JOIN t USING (doc_id, k) WHERE NOT r.gone GROUP BY r.doc_id),
+        z AS (SELECT doc_id, sum(words) FILTER (known) AS words FROM x GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(z.words, 0) AS BIGINT) AS n_shared_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_units_removed, CAST(coalesce(g.chars, 0) AS BIGINT) AS n_chars_removed,
+          sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(g.removed, '') AS removed
+        FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op4_benchmark_decontamination": f"""
         WITH {_WORDS},
         d AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM words, unnest(range(1, len(w) - 3)) AS t(i)),
