@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.llm.common import likely_in, staged
@@ -27,6 +27,7 @@ from tremor.llm.wordhash import chunks, mix, powers, prefix_hash
 
 LENGTH = 400
 K = 200
+PART = 1 << 19  # bytes of texts that a task takes at once
 CUT = 1 << 22  # longer texts are taken in parts, which also keeps positions within _LOW
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -91,7 +92,7 @@ def _runs_in(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np
 def _runs_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, uid = batch.column("key"), batch.column("text")
-        for i, _, data, off in chunks(uid):
+        for i, _, data, off in chunks(uid, PART):
             t, lo, size, gram, block = anchor_runs(data, off, length, k)
             yield pa.RecordBatch.from_arrays(
                 [key.take(pa.array(t + i)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(block.view(np.int64))],
@@ -168,8 +169,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     texts = likely_in(docs, todo, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(todo.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.mark = t.mark")).select("d.text", "t.blocks")
     windows = staged(texts.mapInArrow(lambda it: _windows_of(it, length, per_block), "window long, place long, times long"), "windows")
     met = staged(windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window"), "met")
+    # runs of neighbouring windows, so that a text gets a row for each run and not for each byte; a block has ``per_block`` windows at most
+    order = Window.partitionBy("rid").orderBy("place")
     places = (windows.where("times = 1").select("window", "place").join(met, "window").select(F.expr(f"place div {per_block}").alias("rid"), (F.col("place") % per_block).alias("place"))
-              .join(times.where("times = 1").select("rid", "one"), "rid").select("one.doc_id", "one.mark", (F.col("one.lo") + F.col("place")).cast("long").alias("start"), (F.col("one.lo") + F.col("place") + length).cast("long").alias("end")))
+              .withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("rid", "run").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+              .join(times.where("times = 1").select("rid", "one"), "rid")
+              .select("one.doc_id", "one.mark", (F.col("one.lo") + F.col("low")).cast("long").alias("start"), (F.col("one.lo") + F.col("high") + length).cast("long").alias("end")))
     return whole.unionByName(places)
 
 
