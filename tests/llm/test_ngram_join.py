@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 from tests.llm.helpers import SF, frame, words
-from tremor.llm.ngram_join import jaccard_groups
+from tremor.llm.ngram_join import BITS, jaccard_groups, parity
 
 
 def shingles(text):
@@ -81,17 +83,29 @@ def test_repeated_rows_and_null_id(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard_groups(docs).collect()} == {(3, 3), (None, 3), (None, None)}
 
 
-def test_bitmaps_bound_the_difference():
-    import numpy as np
-
-    from tremor.llm.ngram_join import bitmap
+def test_parity_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 6, 200, 5000):
         x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
-        apart = sum(int(v).bit_count() for v in (bitmap(x) ^ bitmap(y)).view(np.uint64))
-        assert apart <= len(np.setxor1d(x, y))
-    assert not bitmap(np.zeros(0, np.uint64)).any()
+        for y in (np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)])), np.delete(x, slice(0, n, 50))):
+            for bits in (BITS, 4 * BITS):
+                apart = sum(int(v).bit_count() for v in (parity(x, bits) ^ parity(y, bits)).view(np.uint64))
+                assert apart <= len(np.setxor1d(x, y))
+    assert not parity(np.zeros(0, np.uint64)).any()
+
+
+def test_long_texts(spark):
+    """Sets larger than their parities, on both sides of the threshold, beside shorter ones."""
+    rng = random.Random(8)
+    base = words(rng, 2100).split(" ")
+    texts = [" ".join(base), " ".join(base[:1950])]
+    for edits in [5, 20, 40, 80, 110, 160] * 4:
+        copy = list(base)
+        for k in rng.sample(range(len(base)), edits):
+            copy[k] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    found = result(jaccard_groups(frame(spark, texts)))
+    assert found == brute(list(enumerate(texts))) and len({c for _, _, c in found}) > 1
 
 
 def test_large_group_around_one_text(spark):

@@ -11,8 +11,9 @@ Documents with equal sets are one node. In a key's list each node is compared wi
 different components are compared with each other, those outside the list's largest component with all. The head of a list of
 over LONG nodes is its most central one: each node is held against one random node of each of its lists, and the one that is
 close to most of them leads. In a large group of near copies that is the least edited one, so few links are left for
-the second comparison. Any head gives the same groups. Before sets are moved, a pair must pass a bitmap filter: each of BITS bits says whether a set has a shingle of that hash, so two bitmaps differ in at
-most as many bits as the sets have shingles apart. Every link is decided on whole sets.
+the second comparison. Any head gives the same groups. A pair of the second comparison must first pass a filter by parities:
+each of BITS bits says whether a set has an odd number of shingles with that hash, so the bits that differ are at most as many
+as the shingles that only one of the two has. Every link is decided on whole sets.
 """
 
 from __future__ import annotations
@@ -50,15 +51,15 @@ def _pieces(batches, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarr
             yield batch.slice(i, j - i), list(Words(data, off).sets(words))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit words: which hashes modulo BITS the set has."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def parity(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """``bits`` bits as 64-bit words: whether an odd number of the set's hashes have that place modulo ``bits``. The places where
+    two sets' bits differ are those of their symmetric difference with odd counts, so never more than its size."""
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def close(x: str, y: str, x_size: str, y_size: str, percent: int) -> str:
-    """SQL: two sets with these bitmaps and sizes may reach the threshold."""
+    """SQL: two sets with these parity bits and sizes may reach the threshold."""
     far = " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(BITS // 64))
     return f"{100 + percent} * ({far}) <= {100 - percent} * ({x_size} + {y_size})"
 
@@ -66,7 +67,7 @@ def close(x: str, y: str, x_size: str, y_size: str, percent: int) -> str:
 def _nodes(batches, words):
     for batch, sets in _pieces(batches, words):
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+            [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
             names=["doc_id", "mark", "n_shingles", "node", "bits"])
 
 
