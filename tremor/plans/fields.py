@@ -156,26 +156,22 @@ def e9_inflate(nation: DataFrame) -> DataFrame:
     return rounded(cv.inflate(pairs, 1.5, 0.25), "v")
 
 
-@query("SELECT CAST(floor(xs / 20) AS INT) AS bin, round(var_samp(par), 6) AS var FROM fx_profile_points WHERE abs(xs) < 200 GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT CAST(floor(xs / 20) AS INT) AS bin, round(var_samp(par), 6) AS var FROM fx_profile_points GROUP BY 1 HAVING count(*) > 1")
 def e10_profile_covariance(fx_profile_points: DataFrame) -> DataFrame:
-    return rounded(fx_profile_points.where("abs(xs) < 200").groupBy(F.floor(F.col("xs") / 20).cast("int").alias("bin")).agg(F.var_samp("par").alias("var"), F.count("*").alias("n")).where("n > 1").drop("n"), "var")
+    return rounded(fx_profile_points.groupBy(F.floor(F.col("xs") / 20).cast("int").alias("bin")).agg(F.var_samp("par").alias("var"), F.count("*").alias("n")).where("n > 1").drop("n"), "var")
 
 
-def _gauss_sql(c: str, source: str = "c") -> str:
-    return f"(SELECT a.row, a.col, a.x, a.y, CASE WHEN any_value(a.{c}) IS NOT NULL THEN sum(exp(-0.5 * (a.row - b.row) ** 2 - 0.5 * (a.col - b.col) ** 2) * b.{c}) / sum(exp(-0.5 * (a.row - b.row) ** 2 - 0.5 * (a.col - b.col) ** 2)) FILTER (b.{c} IS NOT NULL) END AS {c} FROM {source} a JOIN {source} b ON b.row BETWEEN a.row - 4 AND a.row + 4 AND b.col BETWEEN a.col - 4 AND a.col + 4 GROUP BY a.row, a.col, a.x, a.y)"
+#: Both components smoothed, along rows and then along columns, each pass spread from the sources to their neighbours.
+_SMOOTH = f"""{_CLEAN}, kern AS (SELECT k, exp(-0.5 * k * k) AS w FROM range(-4, 5) AS r(k)),
+p1 AS (SELECT row, col + k AS col, sum(w * ew) AS ew, sum(CASE WHEN ew IS NOT NULL THEN w END) AS ew_w, sum(w * ns) AS ns, sum(CASE WHEN ns IS NOT NULL THEN w END) AS ns_w FROM c, kern GROUP BY 1, 2),
+p2 AS (SELECT row + k AS row, col, sum(w * ew) AS ew, sum(w * ew_w) AS ew_w, sum(w * ns) AS ns, sum(w * ns_w) AS ns_w FROM p1, kern GROUP BY 1, 2),
+n AS (SELECT c.row, c.col, c.x, c.y, CASE WHEN c.ew IS NOT NULL THEN p2.ew / p2.ew_w END AS ew, CASE WHEN c.ns IS NOT NULL THEN p2.ns / p2.ns_w END AS ns FROM c JOIN p2 ON p2.row = c.row AND p2.col = c.col)"""
 
 
-_PART = "c AS (SELECT row, col, x, y, nullif(ew, 0) AS ew, nullif(ns, 0) AS ns FROM fx_pixels WHERE row < 60)"
-
-
-def _part(px: DataFrame) -> DataFrame:
-    return coords.clear_empty(px.where("row < 60"))
-
-
-@query(f"WITH {_PART} SELECT row, col, round(ew, 6) AS ew FROM {_gauss_sql('ew')}")
+@query(f"WITH {_SMOOTH} SELECT row, col, round(ew, 6) AS ew FROM n")
 def f1_gaussian(fx_pixels: DataFrame) -> DataFrame:
     """The filter is separable, so it costs two windows whatever its width."""
-    return rounded(st.nan_gaussian(_part(fx_pixels), ["ew"], 1.0).select("row", "col", "ew"), "ew")
+    return rounded(st.nan_gaussian(coords.clear_empty(fx_pixels), ["ew"], 1.0).select("row", "col", "ew"), "ew")
 
 
 @query("WITH c AS (SELECT row, col, nullif(ew, 0) AS ew FROM fx_pixels) SELECT a.row, a.col, round(CASE WHEN any_value(a.ew) IS NOT NULL THEN sum(exp(-0.5 * ((a.col - b.col) / 2.0) ** 2) * b.ew) / sum(exp(-0.5 * ((a.col - b.col) / 2.0) ** 2)) FILTER (b.ew IS NOT NULL) END, 6) AS ew FROM c a JOIN c b ON a.row = b.row AND b.col BETWEEN a.col - 8 AND a.col + 8 GROUP BY a.row, a.col")
@@ -199,13 +195,13 @@ def f3_gradients(fx_pixels: DataFrame) -> DataFrame:
 _STRAIN = "s AS (SELECT row, col, x, y, dudy, dvdx, dudx + 0.5 * (dudx * dudx + dvdx * dvdx) AS a, 0.5 * (dudy + dvdx + dudx * dudy + dvdx * dvdy) AS b, dvdy + 0.5 * (dudy * dudy + dvdy * dvdy) AS d FROM g)"
 
 
-@query(f"""WITH {_PART}, n AS (SELECT * FROM {_gauss_sql('ew')} JOIN {_gauss_sql('ns').replace('a.x, a.y, CASE', 'CASE').replace(', a.x, a.y)', ')')} USING (row, col)), {_GRAD.format(c='n')}, {_STRAIN},
+@query(f"""WITH {_SMOOTH}, {_GRAD.format(c='n')}, {_STRAIN},
 sg AS (SELECT * FROM (SELECT x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM fx_trace WINDOW w AS (PARTITION BY strand_id ORDER BY seq)) WHERE x1 IS NOT NULL),
 q AS (SELECT row, col, min((x - x0 - f * (x1 - x0)) ** 2 + (y - y0 - f * (y1 - y0)) ** 2) AS d2 FROM (SELECT s.*, x0, y0, x1, y1, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS f FROM s, sg) GROUP BY row, col)
 SELECT row, col, round(a, 6) AS exx, round(b, 6) AS exy, round(d, 6) AS eyy FROM s JOIN q USING (row, col) WHERE d2 <= 10000""")
 def f4_corridor_strain(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
     """Smoothing and differences see the pixels beyond the corridor; the corridor is cut last."""
-    strain = st.finite_strain(st.gradients(st.nan_gaussian(_part(fx_pixels), ["ew", "ns"], 1.0))).withColumn("id", F.col("row") * 100 + F.col("col"))
+    strain = st.finite_strain(st.gradients(st.nan_gaussian(coords.clear_empty(fx_pixels), ["ew", "ns"], 1.0))).withColumn("id", F.col("row") * 100 + F.col("col"))
     return rounded(coords.near_trace(strain, fx_trace, "id", 100.0).select("row", "col", "exx", "exy", "eyy"), "exx", "exy", "eyy")
 
 
@@ -216,9 +212,9 @@ def f5_rotated_strain(fx_pixels: DataFrame) -> DataFrame:
     return rounded(st.finite_strain(st.gradients(coords.clear_empty(fx_pixels)), 30.0).select("row", "col", *names), *names)
 
 
-@query(f"WITH {_PART}, n AS (SELECT * FROM {_gauss_sql('ew')} JOIN {_gauss_sql('ns').replace('a.x, a.y, CASE', 'CASE').replace(', a.x, a.y)', ')')} USING (row, col)), {_GRAD.format(c='n')} SELECT row, col, round(dudx, 6) AS exx, round(dvdy, 6) AS eyy, round(0.5 * (dudy + dvdx), 6) AS exy FROM g")
+@query(f"WITH {_SMOOTH}, {_GRAD.format(c='n')} SELECT row, col, round(dudx, 6) AS exx, round(dvdy, 6) AS eyy, round(0.5 * (dudy + dvdx), 6) AS exy FROM g")
 def f6_strain_maps(fx_pixels: DataFrame) -> DataFrame:
-    return rounded(st.strain_maps(_part(fx_pixels), 1.0).select("row", "col", "exx", "eyy", "exy"), "exx", "eyy", "exy")
+    return rounded(st.strain_maps(coords.clear_empty(fx_pixels), 1.0).select("row", "col", "exx", "eyy", "exy"), "exx", "eyy", "exy")
 
 
 @query(f"WITH {_CLEAN}, {_GRAD.format(c='c')}, t AS (SELECT *, sin(radians(10)) AS tx, cos(radians(10)) AS ty FROM g) SELECT row, col, round(-tx * ty * dudx + (tx * tx - ty * ty) * 0.5 * (dudy + dvdx) + ty * tx * dvdy, 6) AS shear FROM t")

@@ -137,10 +137,10 @@ def l19_parameter_blocks(fx_triangles: DataFrame) -> DataFrame:
     return n.select("block", (stop - F.col("n")).alias("start"), stop.alias("stop"))
 
 
-@query("SELECT CAST(p_partkey AS INT) AS iteration, round(p_partkey / 1000, 6) AS beta, round(p_size / (p_size + 3 + p_partkey % 11), 6) AS acceptance FROM part WHERE p_partkey <= 500")
+@query("SELECT CAST(p_partkey AS INT) AS iteration, round(p_partkey / 1000, 6) AS beta, round(p_size / (p_size + 3 + p_partkey % 11), 6) AS acceptance FROM part")
 def l20_annealing_curve(part: DataFrame) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
-    lines = part.where("p_partkey <= 500").select(F.format_string("%d, %.6f, 0.5, (%d, %d, %d)", k.cast("long"), k / 1000.0, size.cast("long"), F.lit(3).cast("long"), (k % 11).cast("long")).alias("value"))
+    lines = part.select(F.format_string("%d, %.6f, 0.5, (%d, %d, %d)", k.cast("long"), k / 1000.0, size.cast("long"), F.lit(3).cast("long"), (k % 11).cast("long")).alias("value"))
     return rounded(io.parse_annealing(lines).select("iteration", "beta", "acceptance").orderBy("iteration"), "beta", "acceptance")
 
 
