@@ -16,14 +16,16 @@ from tremor.operators.mesh import patch_geometry
 from tremor.operators.spatialjoin import small
 
 EPS = 1e-10
+EDGE = 1e-6  # metres: a point this close to a corner at the surface has no finite displacement
 RATIO = 0.5  # mu / (lambda + mu) of a Poisson solid
 
 
 def _corner(sd: float | Column, cd: Column, flat: Column) -> dict[str, dict[str, Column]]:
     """Surface displacement terms of one corner (xi, eta, q): {slip: {axis: value}}, after the published closed form for a finite rectangle."""
     xi, eta, q = F.col("xi"), F.col("eta"), F.col("q")
-    r = F.sqrt(xi * xi + eta * eta + q * q)
     y, d = eta * cd + q * sd, eta * sd - q * cd
+    r = F.sqrt(xi * xi + eta * eta + q * q)
+    r = F.when(r + d > EDGE, r)
     le, ld = F.log(r + eta), r + d
     x = F.sqrt(xi * xi + q * q)
     near = lambda c, v: F.when(F.abs(c) < EPS, 0.0).otherwise(v)
@@ -42,9 +44,15 @@ def _corner(sd: float | Column, cd: Column, flat: Column) -> dict[str, dict[str,
     }
 
 
+def _all(c: Column | str) -> Column:
+    """Sum, null if any row of the group is."""
+    return F.when(F.count(c) == F.count("*"), F.sum(c))
+
+
 def rectangle_pairs(obs: DataFrame, patches: DataFrame) -> DataFrame:
     """(obs_id, patch_id, cell_id, slip_comp, e, n, u): surface displacement of unit strike-slip and dip-slip on rectangles at points
-    (obs_id, x, y). Four signed corners are rows, so the closed form stands once and is summed by group."""
+    (obs_id, x, y). Four signed corners are rows, so the closed form stands once and is summed by group. At a corner that reaches the
+    surface the closed form is singular: e, n and u are null there."""
     p = patch_geometry(patches).withColumns({"sx": (F.col("x1") - F.col("x0")) / F.col("length"), "sy": (F.col("y1") - F.col("y0")) / F.col("length")})
     # a pair table by definition; the patches of a fault are few
     j = obs.select("obs_id", "x", "y").join(small(p.select("patch_id", "cell_id", "x0", "y0", "z0", "dip", "length", "width", "sx", "sy")))
@@ -56,13 +64,13 @@ def rectangle_pairs(obs: DataFrame, patches: DataFrame) -> DataFrame:
     j = j.select("obs_id", "patch_id", "cell_id", "sx", "sy", "sd", "cd", "q", F.explode(corners).alias("c")).select("*", "c.*").drop("c")
     terms = _corner(F.col("sd"), F.col("cd"), F.abs("cd") < EPS)
     names = [(s, k) for s in terms for k in "xyz"]
-    sums = j.groupBy("obs_id", "patch_id", "cell_id", "sx", "sy").agg(*(F.sum(F.col("sign") * terms[s][k]).alias(f"{s}_{k}") for s, k in names))
+    sums = j.groupBy("obs_id", "patch_id", "cell_id", "sx", "sy").agg(*(_all(F.col("sign") * terms[s][k]).alias(f"{s}_{k}") for s, k in names))
     comp = lambda s: F.struct(F.lit(s).alias("slip_comp"), (F.col(f"{s}_x") * F.col("sx") + F.col(f"{s}_y") * F.col("sy")).alias("e"), (F.col(f"{s}_x") * F.col("sy") - F.col(f"{s}_y") * F.col("sx")).alias("n"), F.col(f"{s}_z").alias("u"))
     return sums.select("obs_id", "patch_id", "cell_id", F.explode(F.array(comp("strike"), comp("dip"))).alias("g")).select("obs_id", "patch_id", "cell_id", "g.*")
 
 
 def sum_cells(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("obs_id", "cell_id", "slip_comp").agg(*(F.sum(c).alias(c) for c in "enu"))
+    return pairs.groupBy("obs_id", "cell_id", "slip_comp").agg(*(_all(c).alias(c) for c in "enu"))
 
 
 def kernel_pairs(obs: DataFrame, sources: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
