@@ -52,6 +52,22 @@ def likely_in(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return marked.join(F.broadcast(bits), "_word").where("getbit(_bits, cast(_p & 63 as int)) = 1").select(df.columns)
 
 
+def null_safe(df: DataFrame) -> DataFrame:
+    """With doc_id as two columns without nulls, ID_KEY with ``mark``: a plain equality join, unlike one by ``<=>``, keeps the
+    partitioning that a grouping by the same columns has left."""
+    return df.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
+
+
+ID_KEY = ["_id", "_none", "mark"]
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs(doc_id, mark, text)`` for each (doc_id, mark) in ``wanted``, with its other columns. Null ids match null
+    ids. A text is shuffled once: the join goes by the columns that rows alike were grouped by."""
+    few = null_safe(likely_in(docs, wanted, ["doc_id", "mark"])).dropDuplicates(ID_KEY)
+    return few.join(null_safe(wanted).drop("doc_id"), ID_KEY).drop("_id", "_none")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``: the smallest id that each id reaches.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import likely_in, staged
+from tremor.llm.common import likely_in, staged, texts_of
 from tremor.llm.lines import digest_of, has_words, words_of
 
 MIN_WORDS = 1
@@ -173,7 +173,7 @@ def dedup_lines(documents: DataFrame, unit: str = "line", min_words: int = MIN_W
     plan = plans(texts, (unit, "sentence") if run_words else (unit,), min_words, run_words)
     some = plan.where("size(whole) + size(parts) > 0")
     same = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.mark = {b}.mark")
-    hit = likely_in(texts, some, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(some.alias("p"), same("d", "p")).select("d.doc_id", "d.mark", "d.text", "p.whole", "p.parts")
+    hit = texts_of(texts, some).select("doc_id", "mark", "text", "whole", "parts")
     done = staged(hit.mapInArrow(lambda it: _drop(it, unit), _KEY + f"kept string, removed {_SPANS}, n_units_removed long"), "cut")
     sha = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
     base = docs.withColumn("sha", sha("text")).alias("d")

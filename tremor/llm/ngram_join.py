@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import components, likely_in, staged
+from tremor.llm.common import components, likely_in, staged, texts_of
 from tremor.llm.wordhash import Words, chunks, mix
 
 SMALL = 400  # sets up to here take two-token combinations
@@ -153,7 +153,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
     one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("one")).join(ends(pairs), "node").select("node", "one.doc_id", "one.mark")
     one = staged(one, "wanted")
-    texts = likely_in(docs, one, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(one.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.mark = o.mark")).select("node", "text")
+    texts = texts_of(docs, one).select("node", "text")
     sets = staged(texts.mapInArrow(lambda it: _whole_sets(it, words), "node long, profile binary, shingles binary"), "sets")
 
     def both(p: DataFrame, s: DataFrame, column: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.llm.common import likely_in, staged
+from tremor.llm.common import staged, texts_of
 from tremor.llm.wordhash import chunks, mix, powers, prefix_hash
 
 LENGTH = 400
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     mixed = times.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     todo = times.join(mixed, "gram").select("one.*", "rid", "times").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "size", "rid", "times")).alias("blocks"))
     todo = staged(todo, "todo")
-    texts = likely_in(docs, todo, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(todo.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.mark = t.mark")).select("d.text", "t.blocks")
+    texts = texts_of(docs, todo).select("text", "blocks")
     windows = staged(texts.mapInArrow(lambda it: _windows_of(it, length, per_block), "window long, place long, times long"), "windows")
     met = staged(windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window"), "met")
     # runs of neighbouring windows, so that a text gets a row for each run and not for each byte; a block has ``per_block`` windows at most
@@ -188,7 +188,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, k: int = K) -> Da
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     spans = staged(repeated_spans(docs, length, k).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    hit = likely_in(docs, spans, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.mark = s.mark")).select("d.doc_id", "d.mark", "d.text", "s.spans")
+    hit = texts_of(docs, spans).select("doc_id", "mark", "text", "spans")
     cut = hit.mapInArrow(_cut, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     base = docs.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return base.alias("b").join(cut.alias("c"), F.expr("b.doc_id <=> c.doc_id and b.mark = c.mark"), "left").select(
