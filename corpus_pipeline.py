@@ -21,13 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row with the smallest doc_id stays, of several (or if all lack one) that of the least hash."""
-    own = fresh(docs, "_mark")
-    marked = docs.withColumn(own, F.xxhash64(*docs.columns))
+    own, known, none = (fresh(docs, name) for name in ("_mark", "_known", "_none"))
+    marked = docs.withColumn(own, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
     rows = staged(ngram_join.placed_rows(marked.select("doc_id", F.col(own).alias("mark"), "text"), 5, 80).where("group is not null").select("group", "doc_id", "mark"), "placed")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     least = rows.groupBy("group").agg(F.min(rank).alias("least"), F.max(rank).alias("last")).where("not (least <=> last)").select("group", "least")
-    gone = rows.join(least, "group").where(~rank.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
-    return marked.dropDuplicates().join(gone, marked["doc_id"].eqNullSafe(gone["_d"]) & (marked[own] == gone["_m"]), "left_anti").select(docs.columns)
+    gone = rows.join(least, "group").where(~rank.eqNullSafe(F.col("least")))
+    # rows alike in all columns are alike in this key, and the join goes by it too, so a text is shuffled once
+    key = {known: F.coalesce("doc_id", F.lit(0)), none: F.col("doc_id").isNull()}
+    gone = gone.withColumns(key).select(known, none, F.col("mark").alias(own)).distinct()
+    return marked.withColumns(key).dropDuplicates([known, none, own]).join(gone, [known, none, own], "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
