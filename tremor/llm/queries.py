@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import archive, decontaminate, line_dedup, ngram_join, packing, pii, quality, repeats, sharding, toxicity
+from tremor.llm import (
+    archive, decontaminate, language, line_dedup, ngram_join, packing, pii, prefix_trie, quality, repeats, sharding, toxicity, whitening)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +80,27 @@ def op10_toxicity(spark, sf_dir):
         F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_language_id(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    part = language.part_of(F.col("doc_id"))
+    model = language.fit(docs.where(part != 1))
+    out = language.predict(docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text"), model, with_text=False)
+    return out.withColumnRenamed("lang_score", "score")
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op1_every_line, op2_warc_archive, op3_information_theoretic_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join,
-        op7_hilbert_shards, op8_line_frequency_quality, op8_boilerplate_removed, op9_repeated_bytes, op10_toxicity)
+        op7_hilbert_shards, op8_line_frequency_quality, op8_boilerplate_removed, op9_repeated_bytes, op10_toxicity,
+        op11_conversation_trie, op12_language_id, op13_whitening)
 }
 #: Words of documents as the operators see them, A-Z lower-cased.
 _WORDS = r"""
@@ -152,4 +170,27 @@ ORACLES: dict[str, str] = {
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM d)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > head THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN payload_bytes >= 100 AND page_id > head THEN head END AS refers_to FROM f""",
+    "op11_conversation_trie": r"""
+        WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, count(*) AS n, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i:
+                list_transform(range(0, 8), lambda j: CAST((ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INT), 1)) >> CAST(j AS INT)) & 1 AS BIGINT))))),
+                lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1))) AS s FROM o GROUP BY conv_id),
+        h AS (SELECT conv_id, xor(s, 4294967295) % 4 AS h FROM c),
+        r AS (SELECT h.conv_id, o.k, role, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND o.k <= h.h
+              UNION ALL SELECT h.conv_id, o.k, role, text FROM h JOIN o ON o.conv_id = h.conv_id AND o.k > h.h),
+        d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, sha256(concat(length(role), ':', role, text)) AS turn,
+                len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+        p AS (SELECT conv_id, depth, words, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+                max(depth) OVER (PARTITION BY conv_id) AS ends FROM d
+              UNION ALL SELECT h.conv_id, 0, 0, '', coalesce(max(depth), 0) FROM h LEFT JOIN d USING (conv_id) GROUP BY h.conv_id),
+        n AS (SELECT node, depth, any_value(words) AS words, min(conv_id) AS first, count(*) AS n_convs,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends = depth), '')) AS ends_sha256 FROM p GROUP BY node, depth),
+        -- the first member of a node runs through its ancestors; the nodes below a node are those whose first member runs through it
+        up AS (SELECT n.node, n.depth, n.words, n.n_convs, p.node AS over, p.depth AS over_depth FROM n JOIN p ON p.conv_id = n.first AND p.depth <= n.depth),
+        kids AS (SELECT over AS node, over_depth AS depth, count(*) FILTER (depth = over_depth + 1) AS n_children, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved FROM up GROUP BY ALL),
+        leaf AS (SELECT up.over AS node, up.over_depth AS depth, count(*) AS n_leaves FROM up JOIN kids ON kids.node = up.node AND kids.depth = up.depth WHERE n_children = 0 GROUP BY ALL)
+        SELECT n.first AS conv_id, n.depth, q.first AS parent_conv_id, n.n_convs, n_children, n_leaves, saved AS saved_tokens, n.ends_sha256
+        FROM n JOIN kids USING (node, depth) JOIN leaf USING (node, depth)
+        LEFT JOIN up ON up.node = n.node AND up.depth = n.depth AND up.over_depth = n.depth - 1 LEFT JOIN n q ON q.node = up.over AND q.depth = up.over_depth""",
 }
