@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.quantile import with_quantile
+from tremor.sources.io import staged
+
 
 def boxcar_weights(plen: int, width: int, sigma: float) -> list[float]:
     """A box of ``width`` around the centre of 2 plen + 1 places, smoothed by a Gaussian, 1 at most."""
@@ -98,42 +101,11 @@ def step_crossing(profile: DataFrame, reach: float) -> DataFrame:
 
 
 def straighten(px: DataFrame, near: DataFrame, value: str, step: float, bin_width: float) -> DataFrame:
-    """Mean of |value| by (strand_id, along, off): pixels with s and d of the nearest trace point, binned; cells are filled with the median of those that have pixels."""
-    at = px.join(near, ["row", "col"]).select("strand_id", F.round(F.col("s") / step).cast("int").alias("along"), F.round(F.col("d") / bin_width).cast("int").alias("off"), F.abs(value).alias("v"))
-    mean = at.groupBy("strand_id", "along", "off").agg(F.avg("v").alias("v"))
-    mid = mean.groupBy("strand_id").agg(F.percentile("v", F.lit(0.5)).alias("background"))
-    return mean.join(mid, "strand_id")
-
-
-def _least_cost(cost: np.ndarray, penalty: float, jump: int) -> np.ndarray:
-    n, m = cost.shape
-    total, back = cost[0].copy(), np.zeros((n, m), int)
-    for i in range(1, n):
-        options = np.full((2 * jump + 1, m), np.inf)
-        for q, s in enumerate(range(-jump, jump + 1)):
-            a, b = max(0, s), m + min(0, s)
-            options[q, a - s if s < 0 else 0 : m - s if s > 0 else m] = total[max(0, s) : m + min(0, s)] + penalty * abs(s)
-        q = options.argmin(0)
-        back[i] = np.clip(np.arange(m) + q - jump, 0, m - 1)
-        total = cost[i] + options[q, np.arange(m)]
-    path = np.zeros(n, int)
-    path[-1] = total.argmin()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
-
-
-def ridge_path(image: DataFrame, penalty: float, jump: int) -> DataFrame:
-    """(strand_id, along, off, v): the path along strike with the largest sum of v less ``penalty`` for each step aside, at most ``jump`` places
-    from one row to the next. Dynamic programming in order along a strand; strands are side by side."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index="along", columns="off", values="v")
-        cost = -grid.fillna(0.0).to_numpy()
-        at = _least_cost(cost, penalty, jump)
-        return pd.DataFrame({"strand_id": pdf["strand_id"].iloc[0], "along": grid.index, "off": grid.columns.to_numpy()[at], "v": -cost[np.arange(len(at)), at]})
-
-    return image.groupBy("strand_id").applyInPandas(one, "strand_id int, along int, off int, v double")
+    """|mean| of ``value`` by (strand_id, along, off): pixels with s and d of the nearest trace point, binned. Values of either sign cancel in a bin, so that
+    noise does not lift the background, which is the strand's median over bins that have pixels; bins without pixels are absent and count as 0."""
+    at = px.join(near, ["row", "col"]).select("strand_id", F.round(F.col("s") / step).cast("int").alias("along"), F.round(F.col("d") / bin_width).cast("int").alias("off"), F.col(value).alias("v"))
+    mean = staged(at.groupBy("strand_id", "along", "off").agg(F.abs(F.avg("v")).alias("v")), "straightened")
+    return with_quantile(mean.where("v is not null"), ["strand_id"], "v", 0.5, "background")
 
 
 def clear_runs(path: DataFrame, clear: Column, least: int) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.quantile import with_quantile
+
 
 def weights(sigma: float) -> list[float]:
     """Gaussian weights at steps 0, 1, ... up to 4 sigma."""
@@ -97,9 +99,8 @@ def marginal_outliers(px: DataFrame, column: str, centre: int, buffer: int, q: f
     band = F.col("col").between(centre - buffer, centre + buffer - 1)
     spread = px.groupBy("col").agg(F.stddev_pop(F.when(~band, F.col(column))).alias("_s"))
     df = px.join(spread, "col")
-    limit = df.agg(F.percentile(F.abs(F.col(column) - F.col("_s")), F.lit(q)).alias("_q"))
-    df = df.crossJoin(F.broadcast(limit))  # one row
-    return df.withColumn(column, F.when(band | (F.col(column) - F.col("_s") < F.col("_q")), F.col(column))).drop("_s", "_q")
+    df = with_quantile(df.withColumn("_d", F.abs(F.col(column) - F.col("_s"))), [], "_d", q, "_q")
+    return df.withColumn(column, F.when(band | (F.col(column) - F.col("_s") < F.col("_q")), F.col(column))).drop("_s", "_d", "_q")
 
 
 def majority_filter(px: DataFrame, column: str, half: int, tolerance: float) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators import quantile as qt
 from tremor.operators.spatialjoin import bucketed_join, interval_join, small
+from tremor.sources.io import staged
 
 
 def extract(px: DataFrame, profiles: DataFrame, half_width: float, cell: float = 500.0) -> DataFrame:
@@ -97,20 +99,22 @@ def inversion_edges(plen: float) -> list[float]:
 
 
 def robust_std(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, med, rstd): median and 1.4826 times the median absolute deviation, in two passes."""
-    med = df.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias("med"))
-    dev = df.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), (1.4826 * F.percentile(F.abs(F.col(column) - F.col("med")), F.lit(0.5))).alias("rstd"))
-    return dev
+    """(keys, med, rstd): median and 1.4826 times the median absolute deviation."""
+    return qt.robust_spread(df, keys, column)
 
 
 def robust_stack(df: DataFrame, edges: list[float], column: str, values: list[str], least: int, keys: list[str] | None = None) -> DataFrame:
-    """Medians and robust spreads of ``values`` in half-open bins of ``column``; NULL under ``least`` rows; x is the median position."""
+    """Medians and robust spreads of ``values`` in half-open bins of ``column``; NULL under ``least`` rows; x is the median position. All columns are
+    ranked together, by bin and column, in two rounds of distributed quantiles."""
     keys = [*(keys or []), "bin"]
     at = interval_join(df, edges, column)
-    med = at.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(column, F.lit(0.5)).alias("x"), *(F.percentile(v, F.lit(0.5)).alias(f"{v}_med") for v in values))
-    dev = at.join(med, keys).groupBy(*keys).agg(*((1.4826 * F.percentile(F.abs(F.col(v) - F.col(f"{v}_med")), F.lit(0.5))).alias(f"{v}_rstd") for v in values))
+    long = staged(at.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(c).cast("double").alias("_x")) for n, c in (("x", column), *((v, v) for v in values))))).alias("_e")).select(*keys, "_e.*"), "stack")
+    found = staged(qt.robust_spread(long, [*keys, "_name"], "_x"), "stack-medians")
+    count = at.groupBy(*keys).agg(F.count("*").alias("n"))
+    pick = lambda n, c: F.max(F.when(F.col("_name") == n, F.col(c)))
+    wide = found.groupBy(*keys).agg(pick("x", "med").alias("x"), *(pick(v, c).alias(f"{v}_{c}") for v in values for c in ("med", "rstd")))
     enough = F.col("n") >= least
-    return med.join(dev, keys).select(*keys, "x", "n", *(F.when(enough, F.col(f"{v}_{k}")).alias(f"{v}_{k}") for v in values for k in ("med", "rstd")))
+    return wide.join(count, keys).select(*keys, "x", "n", *(F.when(enough, F.col(f"{v}_{k}")).alias(f"{v}_{k}") for v in values for k in ("med", "rstd")))
 
 
 def step_fit(samples: DataFrame, value: str = "par", half: float = 60.0, inner: float = 30.0) -> DataFrame:

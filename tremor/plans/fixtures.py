@@ -19,9 +19,10 @@ SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS row, o_orderkey % 100 AS col
        ELSE (o_custkey % 1000 - 500) / CAST(2000 AS DOUBLE) + CASE WHEN o_orderkey % 100 >= 50 THEN 2 ELSE -2 END END AS ns
 FROM orders""",
     "fx_trace": """
-SELECT CAST(strand_id AS INT) AS strand_id, CAST(seq AS INT) AS seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y
-FROM (VALUES (0,0,500480,3984000),(0,1,500500,3999000),(0,2,500510,3999600),(0,3,500495,4000200),
-             (1,0,500800,3984000),(1,1,500830,4000200)) AS t(strand_id, seq, x, y)""",
+SELECT CAST(floor(c_custkey / 25.0) AS INT) AS strand_id, CAST(c_custkey % 25 AS INT) AS seq,
+  CAST(500480 + 320 * (floor(c_custkey / 25.0) % 2) + 2 * (c_nationkey - 12) AS DOUBLE) AS x,
+  CAST(3984000 - 16200 * floor(c_custkey / 50.0) + 675 * (c_custkey % 25) AS DOUBLE) AS y
+FROM customer""",
     "fx_los": """
 SELECT o_orderkey AS obs_id, CAST(-117.6 AS DOUBLE) + CAST(0.0001 AS DOUBLE) * (o_orderkey % 100) AS lon,
   CAST(35.9 AS DOUBLE) - CAST(0.0001 AS DOUBLE) * floor(o_orderkey / 100.0) AS lat,

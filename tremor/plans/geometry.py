@@ -240,6 +240,7 @@ def c16_perpendicular_ends(fx_trace: DataFrame) -> DataFrame:
     return rounded(out.select("strand_id", "k", "left_x", "left_y", "right_x", "right_y"), "left_x", "left_y", "right_x", "right_y", digits=4)
 
 
-@query(f"WITH {_ARC} SELECT CAST(0 AS INT) AS trace_id, max_by(strand_id, s) AS strand_id, round(max(s), 6) AS length FROM arc")
+@query(f"WITH {_ARC} SELECT CAST(floor(strand_id / 4.0) AS INT) AS trace_id, max_by(strand_id, s) AS strand_id, round(max(s), 6) AS length FROM arc GROUP BY ALL")
 def c17_longest_part(fx_trace: DataFrame) -> DataFrame:
-    return rounded(pl.longest_part(fx_trace.withColumn("trace_id", F.lit(0))), "length")
+    """Four strands are the parts of a trace."""
+    return rounded(pl.longest_part(fx_trace.withColumn("trace_id", F.floor(F.col("strand_id") / 4).cast("int"))), "length")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.frames import rounded
@@ -10,10 +10,12 @@ from tremor.operators import analyse as an
 from tremor.operators import coords
 from tremor.operators import polyline as pl
 from tremor.operators import relocate as rl
+from tremor.operators import ridge as rg
 from tremor.operators import stencil as st
 from tremor.operators import swathe as sw
 from tremor.plans.geometry import _SEG
 from tremor.plans.base import query
+from tremor.sources.io import staged
 
 _CLEAN = "c AS (SELECT row, col, x, y, nullif(ew, 0) AS ew, nullif(ns, 0) AS ns FROM fx_pixels)"
 _PROF = "SELECT n_nationkey AS profile_id, CAST(500050 AS DOUBLE) AS x0, CAST(3998600 + 50 * n_nationkey AS DOUBLE) AS y0, CAST(500950 AS DOUBLE) AS x1, CAST(3998600 + 50 * n_nationkey + 40 * (n_nationkey % 5) AS DOUBLE) AS y1, CAST(450 AS DOUBLE) AS fault_x FROM {nation}"
@@ -212,7 +214,7 @@ def h8_second_shift(fx_pixels: DataFrame) -> DataFrame:
 _NEARALL = f"{_SEG}, arcs AS (SELECT *, coalesce(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) OVER (PARTITION BY strand_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM seg), nb AS (SELECT d.*, a.s0 + f * a.len AS s, row_number() OVER (PARTITION BY row, col ORDER BY round(d2, 6), d.strand_id, d.seq) AS k FROM dist d JOIN arcs a ON a.strand_id = d.strand_id AND a.seq = d.seq)"
 
 
-@query(f"WITH {_NEARALL}, b AS (SELECT strand_id, CAST(round(s / 50) AS INT) AS along, CAST(round(CASE WHEN crossed >= 0 THEN 1 ELSE -1 END * sqrt(d2) / 20) AS INT) AS off, avg(abs(nullif(ew, 0))) AS v FROM nb WHERE k = 1 AND d2 <= 40000 AND ew <> 0 GROUP BY ALL) SELECT strand_id, along, off, round(v, 6) AS v, round(quantile_cont(v, 0.5) OVER (PARTITION BY strand_id), 6) AS background FROM b")
+@query(f"WITH {_NEARALL}, b AS (SELECT strand_id, CAST(round(s / 50) AS INT) AS along, CAST(round(CASE WHEN crossed >= 0 THEN 1 ELSE -1 END * sqrt(d2) / 20) AS INT) AS off, abs(avg(nullif(ew, 0))) AS v FROM nb WHERE k = 1 AND d2 <= 40000 AND ew <> 0 GROUP BY ALL) SELECT strand_id, along, off, round(v, 6) AS v, round(quantile_cont(v, 0.5) OVER (PARTITION BY strand_id), 6) AS background FROM b")
 def h10_straighten(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
     px = coords.clear_empty(fx_pixels).where("ew is not null")
     near = pl.signed_distance(px, fx_trace, ["row", "col"], 200.0).select("row", "col", "strand_id", "s", "d")
@@ -225,19 +227,53 @@ def _image(px: DataFrame, trace: DataFrame) -> DataFrame:
     return rl.straighten(px, near, "ew", 50.0, 20.0).select("strand_id", "along", "off", "v")
 
 
+REACH = 10  # columns on either side of the trace in _image
+
+
+def _ridge(px: DataFrame, trace: DataFrame) -> tuple[DataFrame, DataFrame]:
+    image = staged(_image(px, trace), "image")
+    path = rg.best_path(image.withColumn("off", F.col("off") + REACH), 0.05, 2, 2 * REACH + 1).withColumn("off", F.col("off") - REACH)
+    return image, path
+
+
 @query(None)
 def h11_ridge_path(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
-    return rounded(rl.ridge_path(_image(fx_pixels, fx_trace), 0.05, 2), "v")
+    image, path = _ridge(fx_pixels, fx_trace)
+    return rounded(path.join(image, ["strand_id", "along", "off"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))), "v")
+
+
+_IMAGE = f"""{_NEARALL}, b AS (SELECT strand_id, CAST(round(s / 50) AS INT) AS along, CAST(round(CASE WHEN crossed >= 0 THEN 1 ELSE -1 END * sqrt(d2) / 20) AS INT) AS off, abs(avg(nullif(ew, 0))) AS v FROM nb WHERE k = 1 AND d2 <= 40000 AND ew <> 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_IMAGE}, span AS (SELECT strand_id, min(along) AS lo, max(along) AS hi FROM b GROUP BY strand_id),
+cells AS (SELECT strand_id, lo, unnest(range(lo, hi + 1)) AS along FROM span), full_ AS (SELECT c.strand_id, c.lo, c.along, list(coalesce(b.v, 0) ORDER BY o.off) AS v
+  FROM cells c CROSS JOIN (SELECT unnest(range(-10, 11)) AS off) o LEFT JOIN b ON b.strand_id = c.strand_id AND b.along = c.along AND b.off = o.off GROUP BY ALL),
+walk AS (SELECT strand_id, along, v AS best FROM full_ WHERE along = lo UNION ALL
+  SELECT f.strand_id, f.along, list_transform(range(1, 22), lambda c: f.v[c] + list_max(list_transform(range(-2, 3), lambda d: CASE WHEN c + d BETWEEN 1 AND 21 THEN w.best[c + d] - 0.05 * abs(d) ELSE -1e300 END)))
+  FROM walk w JOIN full_ f ON f.strand_id = w.strand_id AND f.along = w.along + 1)
+SELECT s.strand_id, hi - lo + 1 AS n, round(list_max(best), 6) AS total FROM walk w JOIN span s ON s.strand_id = w.strand_id AND s.hi = w.along""")
+def h11_ridge_total(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
+    """What the best path of each strand gathers, less what its steps aside cost."""
+    image, path = _ridge(fx_pixels, fx_trace)
+    by = Window.partitionBy("strand_id", F.floor(F.col("along") / 1000)).orderBy("along")
+    # the step onto a block's first row is found by a join, so that no window holds a strand
+    before = path.select("strand_id", (F.col("along") + 1).alias("along"), F.col("off").alias("_before"))
+    step = F.abs(F.col("off") - F.coalesce(F.lag("off").over(by), F.col("_before"), F.col("off")))
+    gain = path.join(before, ["strand_id", "along"], "left").withColumn("step", step).join(image, ["strand_id", "along", "off"], "left")
+    return rounded(gain.groupBy("strand_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("v", F.lit(0.0)) - 0.05 * F.col("step")).alias("total")), "total")
+
+
+def _strain(px: DataFrame) -> DataFrame:
+    return staged(st.strain_maps(coords.clear_empty(px), 1.0).select("row", "col", "x", "y", "exx", "eyy", "exy"), "strain")
 
 
 @query(None)
 def h12_refine_trace(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
-    """Shear along strike, straightened, log relative to the background, ridge path, clear places kept."""
-    g = st.strain_maps(coords.clear_empty(fx_pixels), 1.0).withColumn("ew", st.shear_along(F.lit(1.0))).where("ew is not null")
-    near = pl.signed_distance(g, fx_trace, ["row", "col"], 200.0).select("row", "col", "strand_id", "s", "d")
-    image = rl.straighten(g, near, "ew", 50.0, 20.0)
-    score = image.select("strand_id", "along", "off", F.log(F.greatest(F.col("v") / F.col("background"), F.lit(1.0))).alias("v"))
-    return rounded(rl.clear_runs(rl.ridge_path(score, 0.05, 2), F.col("v") > 0.2, 3), "v")
+    """Three stages over the parts of the strands that the pixels cover; tests/test_ridge.py holds them against a planted curve."""
+    south = fx_pixels.agg(F.min("y").alias("south"))
+    samples = pl.resample(fx_trace, 10.0).crossJoin(F.broadcast(south)).where("y >= south and y <= 4000000").select("strand_id", "k", "x", "y")
+    last, _ = rg.refine_trace(samples, _strain(fx_pixels), [(100.0, 40.0, 0.5), (50.0, 20.0, 0.5), (20.0, 10.0, 0.5)], (500000.0, 4000000.0), (10.0, -10.0), 10.0, 5.0, 1.5, 0.5, 30.0)
+    return rounded(last, "x", "y", "path", "accepted", "offset", "prior", "quality")
 
 
 @query("""WITH z AS (SELECT p_partkey AS along, CAST(p_partkey % 3 AS INT) AS strand_id, p_size > 12 AS c FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY strand_id ORDER BY along) - row_number() OVER (PARTITION BY strand_id, c ORDER BY along) AS run FROM z) SELECT along, strand_id, c AND count(*) OVER (PARTITION BY strand_id, c, run) >= 4 AS kept FROM r""")
@@ -246,12 +282,28 @@ def h13_clear_runs(part: DataFrame) -> DataFrame:
     return rl.clear_runs(path, F.col("p_size") > 12, 4).select("along", "strand_id", "kept")
 
 
+_KEEP = "SELECT CAST(n_nationkey % 3 AS INT) AS strand_id, CAST(40 * n_nationkey AS DOUBLE) AS start, CAST(40 * n_nationkey + 60 AS DOUBLE) AS stop FROM {nation} WHERE n_nationkey % 2 = 0"
+
+
+@query(f"""WITH p AS (SELECT CAST(p_partkey % 3 AS INT) AS strand_id, CAST(floor(p_partkey / 3.0) AS BIGINT) AS along, CAST(p_size - 25 AS DOUBLE) AS path_offset, p_size > 12 AS c FROM part), keep AS ({_KEEP.format(nation='nation')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY strand_id ORDER BY along) - row_number() OVER (PARTITION BY strand_id, c ORDER BY along) AS run FROM p),
+k AS (SELECT *, c AND count(*) OVER (PARTITION BY strand_id, c, run) >= 4 AS long_, EXISTS (SELECT 1 FROM keep WHERE keep.strand_id = r.strand_id AND 5 * along >= start AND 5 * along < stop) AS kept FROM r),
+a AS (SELECT *, long_ AND NOT kept AS clear, CASE WHEN long_ AND NOT kept THEN path_offset WHEN along = min(along) OVER s OR along = max(along) OVER s THEN 0 END AS anchor FROM k WINDOW s AS (PARTITION BY strand_id)),
+n AS (SELECT *, last_value(anchor IGNORE NULLS) OVER u AS v0, last_value(CASE WHEN anchor IS NOT NULL THEN along END IGNORE NULLS) OVER u AS a0, first_value(anchor IGNORE NULLS) OVER d AS v1, first_value(CASE WHEN anchor IS NOT NULL THEN along END IGNORE NULLS) OVER d AS a1
+  FROM a WINDOW u AS (PARTITION BY strand_id ORDER BY along ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (PARTITION BY strand_id ORDER BY along ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT strand_id, along, clear, kept, round(CASE WHEN kept THEN 0 WHEN a1 > a0 THEN v0 + (v1 - v0) * (along - a0) / (a1 - a0) ELSE v0 END, 6) + 0.0 AS "offset" FROM n""")
+def h13_anchored_offsets(part: DataFrame, nation: DataFrame) -> DataFrame:
+    path = part.select((F.col("p_partkey") % 3).cast("int").alias("strand_id"), F.floor(F.col("p_partkey") / 3).cast("long").alias("along"), (F.col("p_size") - 25).cast("double").alias("path_offset"), (F.col("p_size") > 12).alias("clear"))
+    out = rg.anchored(path, 5.0, 20.0, nation.sparkSession.sql(_KEEP, nation=nation), size=128)
+    return rounded(out.select("strand_id", "along", "clear", "kept", "offset"), "offset")
+
+
 @query(None)
 def h14_refined_mesh_trace(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
-    """Base trace plus the ridge's offset along its left normal."""
-    path = rl.clear_runs(rl.ridge_path(_image(fx_pixels, fx_trace), 0.05, 2), F.col("v") > 0.5, 4).where("kept").select("strand_id", F.col("along").cast("long").alias("k"), "off")
-    base = pl.tangents(pl.resample(fx_trace, 50.0), 4)
-    return rounded(base.join(path, ["strand_id", "k"]).select("strand_id", "k", (F.col("x") + 20 * F.col("off") * F.col("nx")).alias("x"), (F.col("y") + 20 * F.col("off") * F.col("ny")).alias("y")), "x", "y")
+    """All strands, with every third one kept as it is over its first kilometre."""
+    keep = fx_trace.select("strand_id").distinct().where("strand_id % 3 = 2").select("strand_id", F.lit(0.0).alias("start"), F.lit(1000.0).alias("stop"))
+    out = rg.refine_mesh_trace(fx_trace, _strain(fx_pixels), 100.0, 20.0, 10.0, 60.0, 0.1, 20.0, 1.5, 60.0, keep)
+    return rounded(out, "x", "y", "path_offset", "path_strain", "offset")
 
 
 @query(None)

@@ -15,6 +15,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of ``scratch`` and read back: it is computed once, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def finite(c: Column) -> Column:
     """``c``, with NaN and infinities as NULL."""
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c)
