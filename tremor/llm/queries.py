@@ -69,7 +69,7 @@ def op8_boilerplate_removed(spark, sf_dir):
 def op9_repeated_bytes(spark, sf_dir):
     out = repeats.remove_repeats(_documents(spark, sf_dir))
     spans = F.array_join(F.transform("spans", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", spans.alias("spans"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", spans.alias("spans"))
 
 
 def op10_toxicity(spark, sf_dir):
