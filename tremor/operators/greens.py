@@ -13,35 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.operators.mesh import patch_geometry
-from tremor.operators.spatialjoin import small
+from tremor.operators.spatialjoin import few
 
 EPS = 1e-10
 EDGE = 1e-6  # metres: a point this close to a corner at the surface has no finite displacement
 RATIO = 0.5  # mu / (lambda + mu) of a Poisson solid
 
 
-def _corner(sd: float | Column, cd: Column, flat: Column) -> dict[str, dict[str, Column]]:
-    """Surface displacement terms of one corner (xi, eta, q): {slip: {axis: value}}, after the published closed form for a finite rectangle."""
-    xi, eta, q = F.col("xi"), F.col("eta"), F.col("q")
-    y, d = eta * cd + q * sd, eta * sd - q * cd
-    r = F.sqrt(xi * xi + eta * eta + q * q)
-    r = F.when(r + d > EDGE, r)
-    le, ld = F.log(r + eta), r + d
-    x = F.sqrt(xi * xi + q * q)
-    near = lambda c, v: F.when(F.abs(c) < EPS, 0.0).otherwise(v)
-    i5 = F.when(flat, -RATIO * xi * sd / ld).otherwise(near(xi, RATIO * 2 / cd * F.atan((eta * (x + q * cd) + x * (r + x) * sd) / F.when(F.abs(xi) < EPS, 1.0).otherwise(xi * (r + x) * cd))))
-    i4 = F.when(flat, -RATIO * q / ld).otherwise(RATIO / cd * (F.log(ld) - sd * le))
-    i3 = F.when(flat, RATIO / 2 * (eta / ld + y * q / (ld * ld) - le)).otherwise(RATIO * (y / (cd * ld) - le) + sd / cd * i4)
-    i2 = -RATIO * le - i3
-    i1 = F.when(flat, -RATIO / 2 * xi * q / (ld * ld)).otherwise(-RATIO * xi / (cd * ld) - sd / cd * i5)
-    angle = near(q, F.atan(xi * eta / F.when(F.abs(q) < EPS, 1.0).otherwise(q * r)))
-    rx = r * (r + xi)
-    over = lambda v: F.when(F.abs(rx) < EPS, 0.0).otherwise(v / F.when(F.abs(rx) < EPS, 1.0).otherwise(rx))
-    a = -1 / (2 * math.pi)
-    return {
-        "strike": {"x": a * (xi * q / (r * (r + eta)) + angle + i1 * sd), "y": a * (y * q / (r * (r + eta)) + q * cd / (r + eta) + i2 * sd), "z": a * (d * q / (r * (r + eta)) + q * sd / (r + eta) + i4 * sd)},
-        "dip": {"x": a * (q / r - i3 * sd * cd), "y": a * (over(y * q) + cd * angle - i1 * sd * cd), "z": a * (over(d * q) + sd * angle - i5 * sd * cd)},
-    }
+def _corner(df: DataFrame, k: int, sd: Column, cd: Column) -> DataFrame:
+    """``df`` with the displacement terms of corner ``k`` from xi{k}, eta{k}, q: strike_x{k} ... dip_z{k}, after the published closed form for a finite
+    rectangle. The steps are columns, so that each stands once in the generated code."""
+    c = lambda n: F.col(f"{n}{k}")
+    add = lambda df, /, **new: df.withColumns({f"{n}{k}": v for n, v in new.items()})
+    q, flat = F.col("q"), F.abs(cd) < EPS
+    near = lambda v, w: F.when(F.abs(v) < EPS, 0.0).otherwise(w)
+    over = lambda v: F.when(F.abs(c("rx")) < EPS, 0.0).otherwise(v / F.when(F.abs(c("rx")) < EPS, 1.0).otherwise(c("rx")))
+    df = add(df, y=c("eta") * cd + q * sd, d=c("eta") * sd - q * cd, r=F.sqrt(c("xi") * c("xi") + c("eta") * c("eta") + q * q), x=F.sqrt(c("xi") * c("xi") + q * q))
+    df = add(df, r=F.when(c("r") + c("d") > EDGE, c("r")))
+    df = add(df, ld=c("r") + c("d"), le=F.log(c("r") + c("eta")), re=c("r") * (c("r") + c("eta")), rx=c("r") * (c("r") + c("xi")), an=near(q, F.atan(c("xi") * c("eta") / F.when(F.abs(q) < EPS, 1.0).otherwise(q * c("r")))))
+    tilt = (c("eta") * (c("x") + q * cd) + c("x") * (c("r") + c("x")) * sd) / F.when(F.abs(c("xi")) < EPS, 1.0).otherwise(c("xi") * (c("r") + c("x")) * cd)
+    df = add(df, i5=F.when(flat, -RATIO * c("xi") * sd / c("ld")).otherwise(near(c("xi"), RATIO * 2 / cd * F.atan(tilt))), i4=F.when(flat, -RATIO * q / c("ld")).otherwise(RATIO / cd * (F.log(c("ld")) - sd * c("le"))))
+    df = add(df, i3=F.when(flat, RATIO / 2 * (c("eta") / c("ld") + c("y") * q / (c("ld") * c("ld")) - c("le"))).otherwise(RATIO * (c("y") / (cd * c("ld")) - c("le")) + sd / cd * c("i4")),
+             i1=F.when(flat, -RATIO / 2 * c("xi") * q / (c("ld") * c("ld"))).otherwise(-RATIO * c("xi") / (cd * c("ld")) - sd / cd * c("i5")))
+    df = add(df, strike_x=c("xi") * q / c("re") + c("an") + c("i1") * sd, strike_y=c("y") * q / c("re") + q * cd / (c("r") + c("eta")) + (-RATIO * c("le") - c("i3")) * sd, strike_z=c("d") * q / c("re") + q * sd / (c("r") + c("eta")) + c("i4") * sd,
+             dip_x=q / c("r") - c("i3") * sd * cd, dip_y=over(c("y") * q) + cd * c("an") - c("i1") * sd * cd, dip_z=over(c("d") * q) + sd * c("an") - c("i5") * sd * cd)
+    return df.drop(*(f"{n}{k}" for n in ("xi", "eta", "y", "d", "r", "x", "ld", "le", "re", "rx", "an", "i1", "i3", "i4", "i5")))
 
 
 def _all(c: Column | str) -> Column:
@@ -51,20 +47,21 @@ def _all(c: Column | str) -> Column:
 
 def rectangle_pairs(obs: DataFrame, patches: DataFrame) -> DataFrame:
     """(obs_id, patch_id, cell_id, slip_comp, e, n, u): surface displacement of unit strike-slip and dip-slip on rectangles at points
-    (obs_id, x, y). Four signed corners are rows, so the closed form stands once and is summed by group. At a corner that reaches the
-    surface the closed form is singular: e, n and u are null there."""
+    (obs_id, x, y). The four signed corners of a pair stand in its row, so pairs are neither exploded nor shuffled. At a corner that
+    reaches the surface the closed form is singular: e, n and u are null there. Patches of over SMALL rows are refused: the pair
+    table would be a cross join of two large sides; give them in parts."""
     p = patch_geometry(patches).withColumns({"sx": (F.col("x1") - F.col("x0")) / F.col("length"), "sy": (F.col("y1") - F.col("y0")) / F.col("length")})
-    # a pair table by definition; the patches of a fault are few
-    j = obs.select("obs_id", "x", "y").join(small(p.select("patch_id", "cell_id", "x0", "y0", "z0", "dip", "length", "width", "sx", "sy")))
+    j = obs.select("obs_id", "x", "y").join(few(p.select("patch_id", "cell_id", "x0", "y0", "z0", "dip", "length", "width", "sx", "sy")))
     along = (F.col("x") - F.col("x0")) * F.col("sx") + (F.col("y") - F.col("y0")) * F.col("sy")
     across = -(F.col("x") - F.col("x0")) * F.col("sy") + (F.col("y") - F.col("y0")) * F.col("sx")
     j = j.withColumns({"xs": along, "yo": F.col("width") * F.cos("dip") - across, "sd": F.sin("dip"), "cd": F.cos("dip")})
     j = j.withColumns({"ps": F.col("yo") * F.col("cd") + F.col("z0") * F.col("sd"), "q": F.col("yo") * F.col("sd") - F.col("z0") * F.col("cd")})
-    corners = F.array(*(F.struct((F.col("xs") - a * F.col("length")).alias("xi"), (F.col("ps") - b * F.col("width")).alias("eta"), F.lit(float(1 - 2 * ((a + b) % 2))).alias("sign")) for a in (0, 1) for b in (0, 1)))
-    j = j.select("obs_id", "patch_id", "cell_id", "sx", "sy", "sd", "cd", "q", F.explode(corners).alias("c")).select("*", "c.*").drop("c")
-    terms = _corner(F.col("sd"), F.col("cd"), F.abs("cd") < EPS)
-    names = [(s, k) for s in terms for k in "xyz"]
-    sums = j.groupBy("obs_id", "patch_id", "cell_id", "sx", "sy").agg(*(_all(F.col("sign") * terms[s][k]).alias(f"{s}_{k}") for s, k in names))
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    j = j.select("obs_id", "patch_id", "cell_id", "sx", "sy", "sd", "cd", "q", *((F.col("xs") - a * F.col("length")).alias(f"xi{k}") for k, (a, _) in enumerate(corners)), *((F.col("ps") - b * F.col("width")).alias(f"eta{k}") for k, (_, b) in enumerate(corners)))
+    for k in range(4):
+        j = _corner(j, k, F.col("sd"), F.col("cd"))
+    total = lambda n: sum((F.col(f"{n}{k}") * ((1 - 2 * ((a + b) % 2)) / (-2 * math.pi)) for k, (a, b) in enumerate(corners)), F.lit(0.0)).alias(n)
+    sums = j.select("obs_id", "patch_id", "cell_id", "sx", "sy", *(total(f"{s}_{k}") for s in ("strike", "dip") for k in "xyz"))
     comp = lambda s: F.struct(F.lit(s).alias("slip_comp"), (F.col(f"{s}_x") * F.col("sx") + F.col(f"{s}_y") * F.col("sy")).alias("e"), (F.col(f"{s}_x") * F.col("sy") - F.col(f"{s}_y") * F.col("sx")).alias("n"), F.col(f"{s}_z").alias("u"))
     return sums.select("obs_id", "patch_id", "cell_id", F.explode(F.array(comp("strike"), comp("dip"))).alias("g")).select("obs_id", "patch_id", "cell_id", "g.*")
 
@@ -80,7 +77,7 @@ def kernel_pairs(obs: DataFrame, sources: DataFrame, kernel: Callable[[pd.DataFr
         for p in parts:
             yield kernel(p)
 
-    return obs.join(small(sources)).mapInPandas(run, schema)
+    return obs.join(few(sources)).mapInPandas(run, schema)
 
 
 def interleave(pairs: DataFrame) -> DataFrame:
@@ -91,7 +88,7 @@ def interleave(pairs: DataFrame) -> DataFrame:
 def screw_2d(x: DataFrame, patches: DataFrame) -> DataFrame:
     """(x, v): displacement at the surface of slipping patches (top, bottom, slip) under x = 0 in a uniform half-space."""
     v = F.col("slip") / math.pi * (F.atan(F.col("bottom") / F.col("x")) - F.atan(F.col("top") / F.col("x")))
-    return x.join(small(patches)).groupBy("x").agg(F.sum(v).alias("v"))
+    return x.join(few(patches)).groupBy("x").agg(F.sum(v).alias("v"))
 
 
 def _arc(depth: Column, dx: Column) -> Column:
@@ -130,7 +127,7 @@ def line_in_zone(x: Column, x0: Column, depth: Column, half: float, ratio: float
 def damage_zone_2d(x: DataFrame, patches: DataFrame, half: float, ratio: float) -> DataFrame:
     """(x, v) of patches (x_top, top, x_bot, bottom, slip): the line at the bottom less the line at the top."""
     v = F.col("slip") * (line_in_zone(F.col("x"), F.col("x_bot"), F.col("bottom"), half, ratio) - line_in_zone(F.col("x"), F.col("x_top"), F.col("top"), half, ratio))
-    return x.join(small(patches)).groupBy("x").agg(F.sum(v).alias("v"))
+    return x.join(few(patches)).groupBy("x").agg(F.sum(v).alias("v"))
 
 
 COLUMN_KERNELS: dict[str, Callable[..., Column]] = {"line_in_zone": line_in_zone}

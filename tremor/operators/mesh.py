@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.operators.spatialjoin import small
+from tremor.operators.spatialjoin import cell_of, small
 
 
 def attach(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -55,11 +55,31 @@ def edges(t: DataFrame) -> DataFrame:
 
 
 def plane_cut(t: DataFrame, planes: DataFrame) -> DataFrame:
-    """(plane_id, tid, a_top, depth_top, a_bottom, depth_bottom) of triangles that vertical planes (plane_id, ox, oy, dx, dy) cut; a is the position along the plane."""
+    """(plane_id, tid, a_top, depth_top, a_bottom, depth_bottom) of triangles that vertical planes (plane_id, ox, oy, dx, dy) cut; a is the position along the plane.
+
+    Seen from above a plane is a line. Both are dealt to square cells of about a triangle's size, a line to those that it passes
+    within the mesh, and meet by cell."""
     r = F.hypot("dx", "dy")
+    box = lambda f, k: f(*(f"{k}{c}" for c in "abc"))
+    low, high = F.least, F.greatest
+    size = F.greatest(box(high, "x") - box(low, "x"), box(high, "y") - box(low, "y"))
+    m = t.agg(F.min(box(low, "x")).alias("x0"), F.max(box(high, "x")).alias("x1"), F.min(box(low, "y")).alias("y0"), F.max(box(high, "y")).alias("y1"), F.avg(size).alias("w")).first()
+    w = max(m["w"] or 1.0, max((m["x1"] or 0) - (m["x0"] or 0), (m["y1"] or 0) - (m["y0"] or 0), 1e-9) / 100_000)  # a line passes 200,000 cells at most
     p = planes.select("plane_id", "ox", "oy", (F.col("dx") / r).alias("ux"), (F.col("dy") / r).alias("uy"))
     side = lambda k: (F.col(f"x{k}") - F.col("ox")) * -F.col("uy") + (F.col(f"y{k}") - F.col("oy")) * F.col("ux")
-    hit = t.join(small(p), (F.least(side("a"), side("b"), side("c")) <= 0) & (F.greatest(side("a"), side("b"), side("c")) >= 0))
+    if m["w"] is None:
+        lines = p.withColumns({"_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    else:
+        # step along the axis that the line follows more; across it a step covers at most one cell's width, and one to be safe
+        flat = F.abs("ux") >= F.abs("uy")
+        a0, a1 = F.when(flat, m["x0"]).otherwise(m["y0"]), F.when(flat, m["x1"]).otherwise(m["y1"])
+        walk = p.withColumn("_flat", flat).withColumn("_i", F.explode(F.sequence(cell_of(a0, w), cell_of(a1, w))))
+        across = lambda at: F.when(F.col("_flat"), F.col("oy") + (at - F.col("ox")) * F.col("uy") / F.col("ux")).otherwise(F.col("ox") + (at - F.col("oy")) * F.col("ux") / F.col("uy"))
+        one, two = across(F.col("_i") * w), across((F.col("_i") + 1) * w)
+        walk = walk.withColumn("_j", F.explode(F.sequence(cell_of(F.least(one, two) - 1e-6 * w, w), cell_of(F.greatest(one, two) + 1e-6 * w, w))))
+        lines = walk.select(*p.columns, F.when(F.col("_flat"), F.col("_i")).otherwise(F.col("_j")).alias("_cx"), F.when(F.col("_flat"), F.col("_j")).otherwise(F.col("_i")).alias("_cy"))
+    cells = t.withColumn("_cx", F.explode(F.sequence(cell_of(box(low, "x"), w), cell_of(box(high, "x"), w)))).withColumn("_cy", F.explode(F.sequence(cell_of(box(low, "y"), w), cell_of(box(high, "y"), w))))
+    hit = cells.join(lines, ["_cx", "_cy"]).where((F.least(side("a"), side("b"), side("c")) <= 0) & (F.greatest(side("a"), side("b"), side("c")) >= 0)).dropDuplicates(["plane_id", "tid"])
     e = hit.select("plane_id", "ox", "oy", "ux", "uy", "tid", F.explode(F.array(*(F.struct(side(a).alias("f0"), side(b).alias("f1"), *(F.col(f"{k}{a}").alias(f"{k}0") for k in "xyz"), *(F.col(f"{k}{b}").alias(f"{k}1") for k in "xyz")) for a, b in ("ab", "bc", "ca")))).alias("e"))
     e = e.select("plane_id", "ox", "oy", "ux", "uy", "tid", "e.*").where("f0 <> f1").withColumn("s", F.col("f0") / (F.col("f0") - F.col("f1"))).where("s between -1e-12 and 1 + 1e-12")
     at = lambda k: F.col(f"{k}0") + F.col("s") * (F.col(f"{k}1") - F.col(f"{k}0"))
@@ -78,9 +98,14 @@ def band_weights(cuts: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def slice_levels(t: DataFrame, levels: DataFrame, tol: float) -> DataFrame:
-    """(level, tid, x0, y0, x1, y1, key0, key1, length): contour segments of the mesh at z = -level, with snapped end keys."""
+    """(level, tid, x0, y0, x1, y1, key0, key1, length): contour segments of the mesh at z = -level, with snapped end keys. Triangles and levels meet by
+    depth interval: intervals are as high as a triangle is in the mean, and a level is in one."""
     z = -F.col("level")
-    hit = t.join(small(levels), (F.least("za", "zb", "zc") < z) & (F.greatest("za", "zb", "zc") >= z))
+    bottom, top = F.least("za", "zb", "zc"), F.greatest("za", "zb", "zc")
+    m = t.agg(F.avg(top - bottom).alias("w"), (F.max(top) - F.min(bottom)).alias("h")).first()
+    w = max(m["w"] or 1.0, (m["h"] or 0.0) / 100_000, 1e-9)
+    banded = t.withColumn("_b", F.explode(F.sequence(cell_of(bottom, w), cell_of(top, w))))
+    hit = banded.join(levels.withColumn("_b", cell_of(z, w)), "_b").where((bottom < z) & (top >= z)).drop("_b")
     e = hit.select("level", "tid", F.posexplode(F.array(*(F.struct(*(F.col(f"{k}{a}").alias(f"{k}0") for k in "xyz"), *(F.col(f"{k}{b}").alias(f"{k}1") for k in "xyz")) for a, b in ("ab", "bc", "ca")))).alias("n", "e")).select("level", "tid", "n", "e.*")
     e = e.where((F.col("z0") < z) != (F.col("z1") < z)).withColumn("s", (z - F.col("z0")) / (F.col("z1") - F.col("z0")))
     e = e.withColumns({"x": F.col("x0") + F.col("s") * (F.col("x1") - F.col("x0")), "y": F.col("y0") + F.col("s") * (F.col("y1") - F.col("y0"))})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.spatialjoin import small
+from tremor.sources.io import staged
 
 
 def moments(s: DataFrame, by: list[str]) -> DataFrame:
@@ -16,13 +19,30 @@ def medians(s: DataFrame, by: list[str]) -> DataFrame:
     return s.groupBy(*by).agg(F.percentile("v", F.lit(0.5)).alias("median"))
 
 
-def density(s: DataFrame, by: list[str], points: int = 256) -> DataFrame:
+#: Cells into which a group's range is cut before the kernel sums: what a grid point meets, however many samples there are.
+CELLS = 4096
+
+
+def density(s: DataFrame, by: list[str], points: int = 256, cells: int = CELLS) -> DataFrame:
     """(by, k, x, density) of a Gaussian kernel estimate with width n**-0.2 times the sample spread, on an even grid over the range.
-    Groups without spread give one point."""
+    Groups without spread give one point.
+
+    Samples are first summed by cell: with t = (x - c) / h and s = (v - c) / h from a cell's centre c, exp(-(t - s)**2 / 2) is
+    exp(-t * t / 2) times the sum of He_p(t) s**p / p!, so six sums of powers of s by cell stand for its samples. |s| is at most half a
+    cell over h; what is left out is under |s|**6 / 48 of a sample's weight, 1e-15 at 4,096 cells and a range of 30 widths."""
     f = s.groupBy(*by).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("h", F.pow("n", F.lit(-0.2)) * F.col("sd"))
+    f = staged(f, "density")
+    size = (F.col("hi") - F.col("lo")) / cells
+    at = s.where("v is not null").select(*by, "v").join(small(f.where("h > 0")), by).withColumn("_c", F.least(F.floor((F.col("v") - F.col("lo")) / size), F.lit(cells - 1)))
+    at = at.withColumn("_s", (F.col("v") - F.col("lo") - (F.col("_c") + 0.5) * size) / F.col("h"))
+    sums = at.groupBy(*by, "_c").agg(*(F.sum(F.pow("_s", F.lit(p))).alias(f"_m{p}") for p in range(6)))
     grid = f.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).where("h > 0 or k = 0").withColumn("x", F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    return grid.join(s.select(*by, "v"), by).groupBy(*by, "k", "x").agg((F.sum(F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("h") * (2 * F.pi()) ** 0.5)).alias("density"))
+    t = F.col("_t")
+    hermite = [F.lit(1.0), t, t**2 - 1, t**3 - 3 * t, t**4 - 6 * t**2 + 3, t**5 - 10 * t**3 + 15 * t]
+    met = grid.join(sums, by).withColumn("_t", (F.col("x") - F.col("lo") - (F.col("_c") + 0.5) * size) / F.col("h"))
+    total = F.sum(F.exp(-0.5 * t * t) * sum((h * F.col(f"_m{p}") / math.factorial(p) for p, h in enumerate(hermite)), F.lit(0.0)))
+    flat = grid.where("h is null or h <= 0").select(*by, "k", "x", F.lit(None).cast("double").alias("density"))
+    return met.groupBy(*by, "k", "x").agg((total / F.first(F.col("n") * F.col("h") * (2 * F.pi()) ** 0.5)).alias("density")).unionByName(flat)
 
 
 def modes(s: DataFrame, by: list[str], points: int = 256) -> DataFrame:

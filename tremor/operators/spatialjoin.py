@@ -22,6 +22,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` for a join of every row with every row of another table: broadcast if it has at most SMALL rows, else refused."""
+    if df.limit(SMALL + 1).count() > SMALL:
+        raise ValueError(f"over {SMALL} rows would meet every row of the other table; give them in parts")
+    return F.broadcast(df)
+
+
 def cell_of(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 

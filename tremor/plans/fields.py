@@ -104,16 +104,16 @@ def e2_detrend(fx_pixels: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("n"), (F.greatest(F.abs(F.avg("ew_res")), F.abs(F.corr("ew_res", "x")), F.abs(F.corr("ew_res", "y")), F.abs(F.corr("ew_res", F.col("x") * F.col("y") - 4e6 * F.col("x") - 5e5 * F.col("y")))) < 1e-6).alias("uncorrelated"))
 
 
-_FEW = "o AS (SELECT row * 100 + col AS id, x, y, ew FROM c WHERE ew IS NOT NULL AND row % 5 = 0 AND col % 5 = 0)"
-_CVG = f"{_CLEAN}, {_FEW}, b AS (SELECT CAST(floor(d / 40) AS INT) AS bin, avg(abs(p)) * 0.5 AS value, count(*) AS n FROM (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.ew * b.ew AS p FROM o a, o b WHERE a.id < b.id) WHERE d < 400 GROUP BY 1)"
+_ALL = "o AS (SELECT row * 100 + col AS id, x, y, ew FROM c WHERE ew IS NOT NULL)"
+_CVG = f"{_CLEAN}, {_ALL}, b AS (SELECT CAST(floor(d / 40) AS INT) AS bin, avg(abs(p)) * 0.5 AS value, count(*) AS n FROM (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.ew * b.ew AS p FROM o a, o b WHERE a.id < b.id AND b.x BETWEEN a.x - 400 AND a.x + 400 AND b.y BETWEEN a.y - 400 AND a.y + 400) WHERE d < 400 GROUP BY 1)"
 
 
-def _few(px: DataFrame) -> DataFrame:
-    return coords.decimate(coords.clear_empty(px), 5).where("ew is not null").select((F.col("row") * 100 + F.col("col")).alias("id"), "x", "y", "ew")
+def _points(px: DataFrame) -> DataFrame:
+    return coords.clear_empty(px).where("ew is not null").select((F.col("row") * 100 + F.col("col")).alias("id"), "x", "y", "ew")
 
 
 def _cvg(px: DataFrame, **k) -> DataFrame:
-    return cv.covariogram(_few(px), "id", "ew", 40.0, 400.0, **k)
+    return cv.covariogram(_points(px), "id", "ew", 40.0, 400.0, **k)
 
 
 @query(f"WITH {_CVG} SELECT bin, (bin + 0.5) * 40 AS centre, CASE WHEN bin < 9 THEN (bin + 1.5) * 40 END AS shifted, round(value, 6) AS value, n FROM b".replace("(bin + 0.5) * 40", "CAST((bin + 0.5) * 40 AS DOUBLE)").replace("THEN (bin + 1.5) * 40", "THEN CAST((bin + 1.5) * 40 AS DOUBLE)"))
@@ -140,9 +140,9 @@ def e6_degenerate(nation: DataFrame, fx_pixels: DataFrame) -> DataFrame:
     return cv.degenerate(nation.select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 4).alias("lam"), (F.col("n_nationkey") * 2).alias("sigma")), 40.0, spread).select("id", "degenerate")
 
 
-@query(f"WITH {_CLEAN}, {_FEW}, p AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM o a, o b) SELECT i, j, round(0.04 * exp(-d / 80), 6) AS v FROM p WHERE d < 150")
+@query(f"WITH {_CLEAN}, {_ALL}, p AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM o a, o b WHERE b.x BETWEEN a.x - 45 AND a.x + 45 AND b.y BETWEEN a.y - 45 AND a.y + 45) SELECT i, j, round(0.04 * exp(-d / 80), 6) AS v FROM p WHERE d < 45")
 def e7_build_covariance(fx_pixels: DataFrame) -> DataFrame:
-    return rounded(cv.build_cov(_few(fx_pixels), "id", 0.2, 80.0, 150.0), "v")
+    return rounded(cv.build_cov(_points(fx_pixels), "id", 0.2, 80.0, 45.0), "v")
 
 
 @query("SELECT sta, CAST(0 AS INT) AS component, round((sde * 2) ** 2, 9) AS var FROM fx_stations UNION ALL SELECT sta, 1, round((sdn * 2) ** 2, 9) FROM fx_stations")

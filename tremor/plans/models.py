@@ -134,21 +134,38 @@ def k12_normal_equations(fx_samples: DataFrame) -> DataFrame:
     return rounded(gtg.unionByName(gtd.withColumn("j", F.lit(None).cast("long"))), "v", digits=4)
 
 
-@query(None)
+# The normal matrix with the right side and the identity behind it, as a list of rows; then elimination, one column a step.
+_FULL = f"""WITH RECURSIVE {_SYS}, n AS (SELECT a.col_id AS i, b.col_id AS j, sum(a.v * b.v * w) AS v FROM g a JOIN g b ON a.row_id = b.row_id JOIN d ON d.row_id = a.row_id GROUP BY ALL), r AS (SELECT a.col_id AS i, sum(a.v * d.v * w) AS v FROM g a JOIN d ON d.row_id = a.row_id GROUP BY ALL)"""
+
+
+@query(f"""{_FULL}, full_ AS (SELECT i, j, v FROM n UNION ALL SELECT i, 8, v FROM r UNION ALL SELECT a.i, 9 + b.i, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END FROM r a, r b),
+m0 AS (SELECT list(row ORDER BY i) AS a FROM (SELECT i, list(v ORDER BY j) AS row FROM full_ GROUP BY i)),
+e AS (SELECT 0 AS k, a FROM m0 UNION ALL SELECT k + 1, list_transform(range(1, 9), lambda i: CASE WHEN i = k + 1 THEN list_transform(a[k + 1], lambda x: x / a[k + 1][k + 1]) ELSE list_transform(range(1, 18), lambda j: a[i][j] - a[i][k + 1] / a[k + 1][k + 1] * a[k + 1][j]) END) FROM e WHERE k < 8)
+SELECT CAST(c AS BIGINT) AS col_id, round(a[c + 1][9], 6) AS m, round(sqrt(a[c + 1][10 + c]), 6) AS std FROM e, range(0, 8) AS t(c) WHERE k = 8""")
 def k12_least_squares(fx_samples: DataFrame) -> DataFrame:
     g, d, _ = _system(fx_samples)
-    return iv.solve(*iv.normal_equations(g, d))
+    return rounded(iv.solve(*iv.normal_equations(g, d)).drop("gradient"), "m", "std")
+
+
+@query(f"""{_FULL}, q AS (SELECT (SELECT list(row ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS row FROM n GROUP BY i)) AS a, (SELECT list(v ORDER BY i) FROM r) AS b, (SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM n GROUP BY i)) AS most),
+p AS (SELECT 0 AS k, list_transform(range(0, 8), lambda i: CAST(0 AS DOUBLE)) AS x UNION ALL
+  SELECT k + 1, list_transform(range(1, 9), lambda i: least(0.02, greatest(-0.02, x[i] - (list_sum(list_transform(range(1, 9), lambda j: a[i][j] * x[j])) - b[i]) / most))) FROM p, q WHERE k < 2000)
+SELECT CAST(c AS BIGINT) AS col_id, round(x[c + 1], 6) AS m, CASE WHEN x[c + 1] <= -0.02 THEN 'lower' WHEN x[c + 1] >= 0.02 THEN 'upper' ELSE 'free' END AS state FROM p, range(0, 8) AS t(c) WHERE k = 2000""")
+def k12_bounded(fx_samples: DataFrame) -> DataFrame:
+    """Within bounds, by active sets; its SQL goes down the gradient and back into the bounds 2,000 times."""
+    g, d, _ = _system(fx_samples)
+    out = iv.solve(*iv.normal_equations(g, d), (-0.02, 0.02))
+    state = F.when(F.col("m") <= -0.02, "lower").when(F.col("m") >= 0.02, "upper").otherwise("free")
+    return rounded(out.select("col_id", "m", state.alias("state")), "m")
 
 
 @query(None)
 def k12_bounded_whitened(fx_samples: DataFrame) -> DataFrame:
-    """Blocks of one covariance each, whitened side by side, then the same sums and a bounded solve."""
+    """A covariance over neighbouring rows of the whole system, whitened by conjugate gradients, then a bounded solve."""
     g, d, _ = _system(fx_samples)
-    d = d.withColumn("block", (F.col("row_id") % 20).cast("int"))
-    cov = d.select("block", F.col("row_id").alias("i")).join(d.select("block", F.col("row_id").alias("j")), "block").withColumn("v", F.exp(-F.abs(F.col("i") - F.col("j")) / 40.0))
-    white = iv.whiten(g, d, cov, 0.01)
-    gtg, gtd = iv.normal_equations(white.where("col_id >= 0"), white.where("col_id = -1").select("row_id", "v", F.lit(1.0).alias("w")))
-    return iv.solve(gtg, gtd, (-0.05, 0.05))
+    near = d.select(F.col("row_id").alias("i"), F.explode(F.sequence(F.col("row_id") - 4, F.col("row_id") + 4)).alias("j")).join(d.select(F.col("row_id").alias("j")), "j")
+    cov = near.select("i", "j", (1 - F.abs(F.col("i") - F.col("j")) / 5).alias("v"))
+    return iv.solve(*iv.whitened_equations(g, d, cov, 1.0, 1e-7), (-0.05, 0.05))
 
 
 @query(f"WITH {_SYS} SELECT dataset, round(sqrt(avg((v - pred) ** 2)), 6) AS rms FROM d JOIN pred USING (row_id) GROUP BY dataset")
@@ -164,17 +181,38 @@ def k15_score_candidates(fx_profile_points: DataFrame) -> DataFrame:
     return rounded(iv.score_candidates(obs, grid, F.col("rate") * F.signum("xs"), ["profile_id"]), "rate", "cost")
 
 
-_PRIORS = "SELECT n_nationkey AS label, CASE n_nationkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'uniform' ELSE 'truncated' END AS kind, CAST(n_nationkey AS DOUBLE) AS mu, CAST(2 AS DOUBLE) AS sigma, CAST(3 AS DOUBLE) AS lower, CAST(12 AS DOUBLE) AS upper FROM {nation}"
+_PRIORS = "SELECT p_partkey AS label, CASE p_partkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'uniform' ELSE 'truncated' END AS kind, CAST(p_size AS DOUBLE) - 25 AS mu, CAST(2 AS DOUBLE) AS sigma, CAST(3 AS DOUBLE) AS lower, CAST(12 AS DOUBLE) AS upper FROM {part}"
 
 
-@query(f"WITH p AS ({_PRIORS.format(nation='nation')}) SELECT label, round(CASE kind WHEN 'uniform' THEN (lower + upper) / 2 WHEN 'truncated' THEN greatest(least(mu, upper - 0.002), lower + 0.002) ELSE mu END, 6) AS v FROM p")
-def k16_prior_values(nation: DataFrame) -> DataFrame:
-    return rounded(iv.central(nation.sparkSession.sql(_PRIORS, nation=nation)), "v")
+@query(f"WITH p AS ({_PRIORS.format(part='part')}) SELECT label, round(CASE kind WHEN 'uniform' THEN (lower + upper) / 2 WHEN 'truncated' THEN greatest(least(mu, upper - 0.002), lower + 0.002) ELSE mu END, 6) AS v FROM p")
+def k16_prior_values(part: DataFrame) -> DataFrame:
+    return rounded(iv.central(part.sparkSession.sql(_PRIORS, part=part)), "v")
 
 
-@query(None)
-def k16_prior_draws(nation: DataFrame) -> DataFrame:
-    return iv.draw_priors(nation.sparkSession.sql(_PRIORS, nation=nation), 200, 3)
+def _sql_poly(c: list[float], x: str) -> str:
+    out = f"CAST({c[0]!r} AS DOUBLE)"
+    for k in c[1:]:
+        out = f"({out} * {x} + {k!r}::DOUBLE)"
+    return out
+
+
+def _sql_cdf(x: str) -> str:
+    a = f"abs({x})"
+    low = f"""CASE WHEN {a} > 37 THEN 0 WHEN {a} < 7.07106781186547 THEN exp(-{a} * {a} / 2) * {_sql_poly(iv.CDF_UP, a)} / {_sql_poly(iv.CDF_DOWN, a)} ELSE exp(-{a} * {a} / 2) / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65))))) / 2.506628274631::DOUBLE END"""
+    return f"CASE WHEN {x} > 0 THEN 1 - ({low}) ELSE {low} END"
+
+
+_QUANTILE = f"""CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_sql_poly(iv.MID_UP, '(0.180625 - (p - 0.5) * (p - 0.5))')} / {_sql_poly(iv.MID_DOWN, '(0.180625 - (p - 0.5) * (p - 0.5))')}
+  WHEN rt <= 5 THEN sign(p - 0.5) * {_sql_poly(iv.NEAR_UP, '(rt - 1.6)')} / {_sql_poly(iv.NEAR_DOWN, '(rt - 1.6)')} ELSE sign(p - 0.5) * {_sql_poly(iv.FAR_UP, '(rt - 5)')} / {_sql_poly(iv.FAR_DOWN, '(rt - 5)')} END"""
+
+
+@query(f"""WITH p AS ({_PRIORS.format(part='part')}), h AS (SELECT *, md5(concat('3:', label, ':', draw)) AS hex FROM p, range(0, 20) AS r(draw)),
+u AS (SELECT *, (list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, 13), lambda i: CAST(instr('0123456789abcdef', substr(hex, CAST(i AS INT), 1)) - 1 AS DOUBLE))), lambda s, x: s * 16 + x) + 0.5) / 281474976710656 AS u, (lower - mu) / sigma AS lo, (upper - mu) / sigma AS hi FROM h),
+f AS (SELECT *, CASE WHEN lo > 0 THEN -hi ELSE lo END AS a, CASE WHEN lo > 0 THEN -lo ELSE hi END AS b FROM u), c AS (SELECT *, {_sql_cdf('a')} AS pa, {_sql_cdf('b')} AS pb FROM f),
+d AS (SELECT *, CASE kind WHEN 'truncated' THEN greatest(pa + u * (pb - pa), 1e-300) ELSE u END AS p FROM c), e AS (SELECT *, sqrt(-ln(least(p, 1 - p))) AS rt FROM d), z AS (SELECT *, {_QUANTILE} AS z FROM e)
+SELECT label, CAST(draw AS INT) AS draw, round(CASE kind WHEN 'uniform' THEN lower + (upper - lower) * u WHEN 'normal' THEN mu + sigma * z ELSE greatest(least(mu + sigma * CASE WHEN lo > 0 THEN -z ELSE z END, upper - 0.002), lower + 0.002) END, 5) AS v FROM z""")
+def k16_prior_draws(part: DataFrame) -> DataFrame:
+    return rounded(iv.draw_priors(part.sparkSession.sql(_PRIORS, part=part), 20, 3), "v", digits=5)
 
 
 @query(f"WITH {_SYS}, r AS (SELECT row_id, v - pred AS res FROM d JOIN pred USING (row_id)) SELECT round(sum(a.res * b.res * CASE WHEN a.row_id = b.row_id THEN 2 ELSE -0.5 END), 4) AS misfit FROM r a JOIN r b ON abs(a.row_id - b.row_id) <= 1")

@@ -112,18 +112,36 @@ def load_system(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+def least_step(values: DataFrame, c: str) -> DataFrame:
+    """One row (c0, c1, dc): least, largest and smallest positive difference of a column's distinct values.
+
+    The smallest difference is at most the mean one, so its two values lie in one cell of that width or in neighbours: values
+    are compared within cells, and the largest of a cell with the least of the next. NULL without two values."""
+    own = staged(values.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")).distinct(), "axis")
+    e = own.agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n")).first()
+    spark = values.sparkSession
+    if e["n"] < 2:
+        return spark.createDataFrame([(e["a"], e["z"], None)], f"{c}0 double, {c}1 double, d{c} double")
+    width = (e["z"] - e["a"]) / (e["n"] - 1)
+    at = own.withColumn("cell", F.floor((F.col("v") - e["a"]) / width).cast("long"))
+    inside = at.withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy("cell").orderBy("v"))).select("d")
+    ends = at.groupBy("cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    across = ends.select((F.col("cell") + 1).alias("cell"), "hi").join(ends.select("cell", "lo"), "cell").select((F.col("lo") - F.col("hi")).alias("d"))
+    return inside.union(across).agg(F.lit(e["a"]).alias(f"{c}0"), F.lit(e["z"]).alias(f"{c}1"), F.min("d").alias(f"d{c}"))
+
+
 def rasterise_grid(px: DataFrame, fields: list[str]) -> DataFrame:
     """Pixels (lon, lat, fields) on a full regular grid: (row, col, fields, off_grid). Spacing is the smallest positive step;
-    row 0 has the largest lat; off_grid tells whether any pixel is over a hundredth of a step off."""
-    def axis(c: str) -> DataFrame:
-        steps = px.select(c).distinct().withColumn("d", F.col(c) - F.lag(c).over(Window.orderBy(c)))
-        return steps.agg(F.min(c).alias(f"{c}0"), F.max(c).alias(f"{c}1"), F.min("d").alias(f"d{c}"))
-
-    frame = axis("lon").crossJoin(axis("lat"))
-    at = px.crossJoin(F.broadcast(frame)).withColumns({"fc": (F.col("lon") - F.col("lon0")) / F.col("dlon"), "fr": (F.col("lat1") - F.col("lat")) / F.col("dlat")})
+    row 0 has the largest lat; off_grid tells whether any pixel is over a hundredth of a step off. An axis of one value has one
+    row or column; without pixels there is no cell."""
+    lon, lat = least_step(px, "lon").first(), least_step(px, "lat").first()
+    if lon["lon0"] is None or lat["lat0"] is None:
+        return px.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), *fields, F.lit(False).alias("off_grid")).where("false")
+    dlon, dlat = lon["dlon"] or 1.0, lat["dlat"] or 1.0
+    at = px.withColumns({"fc": (F.col("lon") - lon["lon0"]) / dlon, "fr": (lat["lat1"] - F.col("lat")) / dlat})
     at = at.withColumns({"col": F.round("fc").cast("long"), "row": F.round("fr").cast("long"), "off": F.greatest(F.abs(F.col("fc") - F.round("fc")), F.abs(F.col("fr") - F.round("fr"))) > 0.01})
-    cells = frame.select(F.explode(F.expr("sequence(0L, cast(round((lat1 - lat0) / dlat) as long))")).alias("row"), "lon0", "lon1", "dlon").select(
-        "row", F.explode(F.expr("sequence(0L, cast(round((lon1 - lon0) / dlon) as long))")).alias("col"))
+    rows, cols = round((lat["lat1"] - lat["lat0"]) / dlat) + 1, round((lon["lon1"] - lon["lon0"]) / dlon) + 1
+    cells = px.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col"))
     values = at.groupBy("row", "col").agg(*(F.max(f).alias(f) for f in fields), F.max("off").alias("off_grid"))
     return cells.join(values, ["row", "col"], "left")
 
