@@ -64,19 +64,6 @@ def test_outliers_in_order_see_replaced_values(spark):
     assert got == v
 
 
-def test_ridge_path_is_optimal(spark):
-    rng = np.random.default_rng(3)
-    img = rng.random((7, 5))
-    df = spark.createDataFrame([(0, i, j - 2, float(img[i, j])) for i in range(7) for j in range(5)], "strand_id int, along int, off int, v double")
-    got = relocate.ridge_path(df, 0.2, 2).orderBy("along").collect()
-    value = lambda p: sum(img[i, j] for i, j in enumerate(p)) - 0.2 * sum(abs(a - b) for a, b in zip(p, p[1:]))
-    best = {(j,): img[0, j] for j in range(5)}
-    for i in range(1, 7):
-        best = {p + (j,): s + img[i, j] - 0.2 * abs(p[-1] - j) for p, s in best.items() for j in range(5) if abs(p[-1] - j) <= 2}
-    path = [r.off + 2 for r in got]
-    assert all(abs(a - b) <= 2 for a, b in zip(path, path[1:])) and value(path) == pytest.approx(max(best.values()))
-
-
 def test_peak_shift_finds_a_parabola(spark):
     df = spark.createDataFrame([(1, k, 5.0 - (k - 2.3) ** 2) for k in range(-10, 11)] + [(2, k, 0.0) for k in range(-1, 2)], "profile_id long, k int, v double")
     got = {r.profile_id: r.shift for r in relocate.peak_shift(df, "v", [1.0] * 21, 8.0).collect()}
@@ -84,8 +71,8 @@ def test_peak_shift_finds_a_parabola(spark):
 
 
 def test_cubic_background_is_removed(spark):
-    rows = [(1, float(x), 1 + 0.01 * x + 1e-6 * x**3 + (3.0 if abs(x) < 20 else 0.0)) for x in range(-200, 201, 5)]
-    df = spark.createDataFrame(rows, "profile_id long, xs double, par double")
+    rows = [(1, x, float(x), 1 + 0.01 * x + 1e-6 * x**3 + (3.0 if abs(x) < 20 else 0.0)) for x in range(-200, 201, 5)]
+    df = spark.createDataFrame(rows, "profile_id long, event_id long, xs double, par double")
     res = {r.xs: r.par_res for r in analyse.detrend(df, "par", 20.0, 200.0).collect()}
     assert abs(res[-100.0]) < 1e-6 and res[0.0] == pytest.approx(3.0, abs=1e-6)
 
@@ -108,30 +95,6 @@ def test_vertical_patch_uses_the_special_case(spark):
     assert vertical[0][1] == pytest.approx(-vertical[1][1], abs=1e-6)  # odd across the fault
 
 
-def test_bounded_and_whitened_solve(spark):
-    rng = np.random.default_rng(1)
-    g = rng.normal(size=(40, 3))
-    d = g @ np.array([1.0, -2.0, 0.5]) + 0.1 * rng.normal(size=40)
-    c = np.exp(-np.abs(np.subtract.outer(np.arange(40), np.arange(40))) / 5.0)
-    gt = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(40) for j in range(3)], "row_id long, col_id long, v double")
-    dt = spark.createDataFrame([(i, float(d[i]), 0) for i in range(40)], "row_id long, v double, block int")
-    ct = spark.createDataFrame([(0, i, j, float(c[i, j])) for i in range(40) for j in range(40)], "block int, i long, j long, v double")
-    white = inversion.whiten(gt, dt, ct)
-    sums = inversion.normal_equations(white.where("col_id >= 0"), white.where("col_id = -1").select("row_id", "v", F.lit(1.0).alias("w")))
-    w = np.linalg.inv(c)
-    free = [r.m for r in inversion.solve(*sums).orderBy("col_id").collect()]
-    assert np.allclose(free, np.linalg.solve(g.T @ w @ g, g.T @ w @ d))
-    held = [r.m for r in inversion.solve(*sums, (-1.0, 1.0)).orderBy("col_id").collect()]
-    assert all(-1 <= m <= 1 for m in held) and held[1] == pytest.approx(-1.0)
-
-
-def test_missing_values_become_null(spark):
-    g = spark.createDataFrame([(0, 0, 0.0, 0.0, float("nan")), (0, 1, 1.0, 0.0, 2.0)], "row int, col int, x double, y double, v double")
-    got = {(r.row, r.col): (r.ew, r.ns) for r in io.read_pixels(g, g.where("col = 1")).collect()}
-    assert got == {(0, 0): (None, None), (0, 1): (2.0, 2.0)}
-    assert io.read_los(g).count() == 1
-
-
 def test_prior_draws_keep_their_bounds(spark):
     rows = QUERIES["k16_prior_draws"](spark, SF).groupBy("label").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()
-    assert all(r.n == 200 for r in rows) and all(3 <= r.lo and r.hi <= 12 for r in rows if r.label % 3)
+    assert len(rows) == 200 and all(r.n == 20 for r in rows) and all(3 <= r.lo and r.hi <= 12 for r in rows if r.label % 3)

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 from tremor.operators import relocate as rl
 from tremor.operators import swathe as sw
+from tremor.operators.inversion import uniform
+from tremor.sources.io import staged
 
 
-def cubic_fit(samples: DataFrame, value: str, scale: float) -> DataFrame:
-    """(profile_id, p0..p3) of a cubic in xs / scale: power sums in one aggregate, a 4 by 4 solve for each profile's row of sums."""
+def cubic_fit(samples: DataFrame, value: str, scale: float, keys: tuple[str, ...] = ("profile_id",)) -> DataFrame:
+    """(keys, p0..p3) of a cubic in xs / scale: power sums in one aggregate, a 4 by 4 solve for each group's row of sums; none under five samples."""
     u = F.col("xs") / scale
-    sums = samples.where(F.col(value).isNotNull()).groupBy("profile_id").agg(F.count("*").alias("n"), *(F.sum(F.pow(u, F.lit(k))).alias(f"s{k}") for k in range(7)), *(F.sum(F.pow(u, F.lit(k)) * F.col(value)).alias(f"t{k}") for k in range(4)))
+    sums = samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.pow(u, F.lit(k))).alias(f"s{k}") for k in range(7)), *(F.sum(F.pow(u, F.lit(k)) * F.col(value)).alias(f"t{k}") for k in range(4)))
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             m = np.stack([np.stack([p[f"s{i + j}"] for j in range(4)], 1) for i in range(4)], 1) + 1e-12 * np.eye(4)
             c = np.linalg.solve(m, np.stack([p[f"t{k}"] for k in range(4)], 1)[..., None])[..., 0] if len(p) else np.zeros((0, 4))
-            yield pd.DataFrame({"profile_id": p["profile_id"], **{f"p{k}": c[:, k] for k in range(4)}})
+            yield pd.DataFrame({**{k: p[k] for k in keys}, **{f"p{k}": c[:, k] for k in range(4)}})
 
-    return sums.where("n >= 5").mapInPandas(solve, "profile_id long, p0 double, p1 double, p2 double, p3 double")
+    types = dict(samples.dtypes)
+    return sums.where("n >= 5").mapInPandas(solve, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "p0 double, p1 double, p2 double, p3 double"]))
 
 
 def cubic(scale: float) -> Column:
@@ -32,14 +35,38 @@ def cubic(scale: float) -> Column:
     return F.col("p0") + u * (F.col("p1") + u * (F.col("p2") + u * F.col("p3")))
 
 
-def detrend(samples: DataFrame, value: str, inner: float, scale: float, trim: float = 2.5, threshold: float = 2.0) -> DataFrame:
-    """Adds ``<value>_res`` and ``threshold``: the rest after a cubic through the samples outside +-inner, fitted again without those beyond ``trim`` spreads."""
-    outside = samples.where(F.abs("xs") >= inner)
-    rest = outside.join(cubic_fit(outside, value, scale), "profile_id").withColumn("_r", F.col(value) - cubic(scale)).drop("p0", "p1", "p2", "p3")
-    good = rest.join(rest.groupBy("profile_id").agg(F.stddev_pop("_r").alias("_s")), "profile_id").where(F.abs("_r") <= trim * F.col("_s"))
-    fit = cubic_fit(good.select(*samples.columns), value, scale)
-    spread = outside.join(fit, "profile_id").groupBy("profile_id").agg((threshold * F.stddev_pop(F.col(value) - cubic(scale))).alias("threshold"))
-    return samples.join(fit, "profile_id").join(spread, "profile_id").withColumn(f"{value}_res", F.col(value) - cubic(scale)).drop("p0", "p1", "p2", "p3")
+def most_agreed(tried: DataFrame, keys: list[str], miss: Column, limit: Column) -> DataFrame:
+    """(keys, trial) of the trial on whose hypothesis most samples lie within ``limit``; of several the one with the least sum of squares there, then the
+    first. ``tried`` has a row for each sample and trial."""
+    inside = F.abs(miss) <= limit
+    votes = tried.groupBy(*keys, "trial").agg(F.count_if(inside).alias("_k"), F.round(F.sum(F.when(inside, miss * miss).otherwise(0.0)), 9).alias("_ss"))
+    return votes.where("_k > 0").groupBy(*keys).agg(F.max_by("trial", F.struct("_k", -F.col("_ss"), -F.col("trial"))).alias("trial"))
+
+
+def detrend(samples: DataFrame, value: str, inner: float, scale: float, key: str = "event_id", trials: int = 20, share: float = 0.6, near: float = 0.2, threshold: float = 2.0, seed: int = 5) -> DataFrame:
+    """Adds ``<value>_res``, ``threshold`` and ``r2``: the rest after a cubic background through the samples (profile_id, key, xs, value) outside +-inner.
+
+    The background is a consensus: in each of ``trials`` trials about ``share`` of the samples, drawn by a digest of (profile, key, trial), give a
+    cubic; the one that most samples lie near, within ``near`` spreads of the background, is fitted again to those. ``threshold`` spreads of
+    what is left of all background samples make the threshold, and r2 is the fit's over the agreeing ones. A profile without five
+    background samples keeps its values, with threshold 0 and no r2."""
+    outside = samples.where((F.abs("xs") >= inner) & F.col(value).isNotNull()).select("profile_id", key, "xs", value)
+    limit = outside.groupBy("profile_id").agg((near * F.stddev_pop(value)).alias("_limit"))
+    every = outside.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    fits = cubic_fit(every.where(uniform(seed, F.col("profile_id"), F.col(key), F.col("trial")) < share), value, scale, ("profile_id", "trial"))
+    fits = staged(fits.join(limit, "profile_id"), "consensus")
+    # all hypotheses of a profile stand in one row, so that samples meet them without a shuffle for each trial
+    hypotheses = fits.groupBy("profile_id").agg(F.collect_list(F.struct("trial", "p0", "p1", "p2", "p3", "_limit")).alias("h"))
+    tried = outside.join(hypotheses, "profile_id").withColumn("h", F.explode("h")).select("profile_id", "xs", value, "h.*")
+    best = fits.join(most_agreed(tried, ["profile_id"], F.col(value) - cubic(scale), F.col("_limit")), ["profile_id", "trial"])
+    agreed = outside.join(best, "profile_id").where(F.abs(F.col(value) - cubic(scale)) <= F.col("_limit")).select(*outside.columns)
+    fit = staged(cubic_fit(agreed, value, scale), "background")
+    left = F.col(value) - cubic(scale)
+    r2 = agreed.join(fit, "profile_id").groupBy("profile_id").agg((1 - F.try_divide(F.sum(left * left), F.var_pop(value) * F.count("*"))).alias("r2"))
+    spread = outside.join(fit, "profile_id").groupBy("profile_id").agg((threshold * F.stddev_pop(left)).alias("threshold"))
+    facts = fit.join(spread, "profile_id").join(r2, "profile_id", "left")
+    out = samples.join(facts, "profile_id", "left").withColumn(f"{value}_res", F.col(value) - F.coalesce(cubic(scale), F.lit(0.0)))
+    return out.withColumn("threshold", F.coalesce("threshold", F.lit(0.0))).drop("p0", "p1", "p2", "p3")
 
 
 def zone_width(samples: DataFrame, value: str, threshold: Column) -> DataFrame:
@@ -49,31 +76,62 @@ def zone_width(samples: DataFrame, value: str, threshold: Column) -> DataFrame:
     return out.withColumn("width", F.col("x_max") - F.col("x_min"))
 
 
-def offset(samples: DataFrame, value: str, inner: float, outer: float, trim: float = 3.0) -> DataFrame:
-    """(profile_id, offset, std): difference at 0 of lines through windows beyond the zone edges x_min and x_max of each sample's profile;
-    samples beyond ``trim`` spreads of a first line are left out of the second."""
+def consensus_lines(samples: DataFrame, keys: list[str], value: str, trim: float, trials: int, key: str, seed: int) -> DataFrame:
+    """(keys, m, b, std, x_first, x_last, n_agreed): a line through each group's samples (xs, value). A trial's line goes through two samples, drawn by a
+    digest of the group and the trial; the line that most samples lie near, within ``trim`` spreads of the values, is fitted again to
+    those. std is the spread of all samples of the group around it. Groups of under two samples have none."""
+    s = samples.where(F.col(value).isNotNull())
+    by = Window.partitionBy(*keys).orderBy("xs", key)  # the window of one profile on one side
+    s = s.withColumns({"_r": F.row_number().over(by), "_n": F.count("*").over(Window.partitionBy(*keys)), "_limit": trim * F.stddev_pop(value).over(Window.partitionBy(*keys))})
+    s = staged(s.select(*keys, "xs", F.col(value).alias("_y"), "_r", "_n", "_limit"), "windows")
+    draw = lambda k: uniform(seed, *(F.col(c) for c in keys), F.col("trial"), F.lit(k))
+    h = s.where("_r = 1 and _n >= 2").select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    h = h.withColumns({"_i": (1 + F.floor(draw(0) * F.col("_n"))).cast("int"), "_j": (1 + F.floor(draw(1) * (F.col("_n") - 1))).cast("int")})
+    h = h.withColumn("_j", F.when(F.col("_j") >= F.col("_i"), F.col("_j") + 1).otherwise(F.col("_j")))
+    for one in "ij":
+        h = h.join(s.select(*keys, F.col("_r").alias(f"_{one}"), F.col("xs").alias(f"_x{one}"), F.col("_y").alias(f"_y{one}")), [*keys, f"_{one}"])
+    h = h.where("_xi <> _xj").withColumn("_m", (F.col("_yj") - F.col("_yi")) / (F.col("_xj") - F.col("_xi"))).withColumn("_b", F.col("_yi") - F.col("_m") * F.col("_xi"))
+    h = staged(h.groupBy(*keys).agg(F.collect_list(F.struct("trial", "_m", "_b")).alias("h")), "lines")
+    miss = F.col("_y") - F.col("_b") - F.col("_m") * F.col("xs")
+    tried = s.join(h, keys).withColumn("h", F.explode("h")).select(*keys, "xs", "_y", "_limit", "h.*")
+    best = h.join(most_agreed(tried, keys, miss, F.col("_limit")), keys).withColumn("h", F.filter("h", lambda x: x["trial"] == F.col("trial"))[0]).select(*keys, "h._m", "h._b")
+    agreed = s.join(best, keys).where(F.abs(miss) <= F.col("_limit"))
+    line = agreed.groupBy(*keys).agg(F.regr_slope("_y", "xs").alias("m"), F.regr_intercept("_y", "xs").alias("b"), F.count("*").alias("n_agreed")).where("m is not null")
+    rest = F.col("_y") - F.col("b") - F.col("m") * F.col("xs")
+    return s.join(line, keys).groupBy(*keys).agg(F.first("m").alias("m"), F.first("b").alias("b"), F.stddev_pop(rest).alias("std"), F.min("xs").alias("x_first"), F.max("xs").alias("x_last"), F.first("n_agreed").alias("n_agreed"))
+
+
+def offset(samples: DataFrame, value: str, inner: float, outer: float, trim: float = 3.0, trials: int = 30, key: str = "event_id", seed: int = 9) -> DataFrame:
+    """(profile_id, offset, std, left_first, left_last, right_first, right_last): difference at 0 of consensus lines through windows beyond the zone
+    edges x_min and x_max of each sample's profile. A side without a line counts as 0, as in an empty window."""
     right = F.col("xs").between(F.col("x_max") + inner, F.col("x_max") + outer)
     left = F.col("xs").between(F.col("x_min") - outer, F.col("x_min") - inner)
     side = samples.withColumn("side", F.when(right, "r").when(left, "l")).where("side is not null")
-    def line(d: DataFrame) -> DataFrame:
-        return d.groupBy("profile_id", "side").agg(F.regr_slope(value, "xs").alias("m"), F.regr_intercept(value, "xs").alias("b"))
-
-    first = side.join(line(side), ["profile_id", "side"])
-    spread = side.groupBy("profile_id", "side").agg(F.stddev_pop(value).alias("s"))
-    kept = first.join(spread, ["profile_id", "side"]).where(F.abs(F.col(value) - F.col("b") - F.col("m") * F.col("xs")) <= trim * F.col("s")).select(*side.columns)
-    last = side.join(line(kept), ["profile_id", "side"]).groupBy("profile_id", "side").agg(F.first("b").alias("b"), F.var_pop(F.col(value) - F.col("b") - F.col("m") * F.col("xs")).alias("v"))
-    return last.groupBy("profile_id").agg((F.max(F.when(F.col("side") == "r", F.col("b"))) - F.max(F.when(F.col("side") == "l", F.col("b")))).alias("offset"), F.sqrt(F.sum("v")).alias("std"))
-
-
-def analyse_profiles(samples: DataFrame, threshold: float, near: tuple[float, float], far: tuple[float, float]) -> DataFrame:
-    """One row of named results for each profile: zone of |nrm| over the threshold, near and far offsets, step width, counts."""
-    zone = zone_width(samples.withColumn("_s", F.abs("nrm")), "_s", F.lit(threshold))
-    at = samples.join(zone.where("x_min is not null and x_max is not null"), "profile_id")
-    out = zone
-    for name, limits in (("near", near), ("far", far)):
-        out = out.join(offset(at, "par", *limits).withColumnsRenamed({"offset": f"offset_{name}", "std": f"std_{name}"}), "profile_id", "left")
-    counts = samples.groupBy("profile_id").agg(F.count("*").alias("n"), F.min("xs").alias("from_x"), F.max("xs").alias("to_x"), F.avg("par").alias("par_mean"), F.avg("nrm").alias("nrm_mean"))
-    return out.join(sw.step_width(samples).withColumnRenamed("width", "step_width"), "profile_id", "left").join(counts, "profile_id")
+    lines = consensus_lines(side, ["profile_id", "side"], value, trim, trials, key, seed)
+    of = lambda c, k: F.max(F.when(F.col("side") == k, F.col(c)))
+    out = lines.groupBy("profile_id").agg((F.coalesce(of("b", "r"), F.lit(0.0)) - F.coalesce(of("b", "l"), F.lit(0.0))).alias("offset"), F.sqrt(F.sum(F.col("std") ** 2)).alias("std"),
+                                          of("x_first", "l").alias("left_first"), of("x_last", "l").alias("left_last"), of("x_first", "r").alias("right_first"), of("x_last", "r").alias("right_last"))
+    return out
+
+
+def analyse_profiles(samples: DataFrame, background: float, scale: float, near: tuple[float, float], far: tuple[float, float], threshold: float = 2.0, key: str = "event_id", trials: int = 20,
+                     weight: Column | None = None) -> DataFrame:
+    """One row of named results for each profile of ``samples(profile_id, key, xs, shear, dilatation, par)``.
+
+    Shear is freed of its background; where it and the dilatation, times ``weight``, fall under the threshold on either side of 0 is the
+    fault zone. Offsets of ``par`` are taken near and far from the shear zone and near the dilatation zone, each with its spread
+    and the ends of its windows. Peaks, the place of the shear's peak, r2 of the background and the step width end the row."""
+    w = F.lit(1.0) if weight is None else weight
+    s = staged(detrend(samples.select("profile_id", key, "xs", "shear", "dilatation", "par"), "shear", background, scale, key, trials, threshold=threshold).withColumns({"_s": F.col("shear_res") * w, "_d": F.col("dilatation") * w}), "detrended")
+    zone, wide = (zone_width(s, c, F.col("threshold")) for c in ("_s", "_d"))
+    out = zone.join(wide.withColumnsRenamed({"x_min": "x_min_dil", "x_max": "x_max_dil", "width": "width_dil"}), "profile_id")
+    for name, edges, limits in (("near", zone, near), ("far", zone, far), ("dil", wide, near)):
+        at = s.join(edges.where("x_min is not null and x_max is not null"), "profile_id")
+        got = offset(at, "par", *limits, key=key, trials=trials)
+        out = out.join(got.withColumnsRenamed({c: f"{c}_{name}" for c in got.columns if c != "profile_id"}), "profile_id", "left")
+    facts = s.groupBy("profile_id").agg(F.count("*").alias("n"), F.min("xs").alias("from_x"), F.max("xs").alias("to_x"), F.first("threshold").alias("threshold"), F.first("r2").alias("r2"), F.max("shear_res").alias("peak_shear"),
+                                        F.max("dilatation").alias("peak_dilatation"), F.max_by("xs", F.struct(F.round("_s", 12), -F.col("xs"))).alias("x_shift"), F.avg("par").alias("par_mean"))
+    return out.join(sw.step_width(samples).withColumnsRenamed({"width": "step_width", "amplitude": "step_amplitude"}), "profile_id", "left").join(facts, "profile_id")
 
 
 def along_fault(centres: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -110,10 +168,12 @@ def fault_aligned(px: DataFrame, centres: DataFrame, plen: int, half: int, cap:
     return stacked.join(shifts.select("profile_id", "shift"), "profile_id").select("profile_id", "k", "shift", "par_med", "par_std", "nrm_med", "nrm_std")
 
 
-def second_shift(cube: DataFrame, column: str, plen: int, cap: float, sigma: float) -> DataFrame:
-    """Finer shifts of stacked samples: peaks within ``cap``, failures filled, smoothed along the fault, applied."""
+def second_shift(cube: DataFrame, column: str, plen: int, cap: float, sigma: float, strands: DataFrame | None = None) -> DataFrame:
+    """Finer shifts of stacked samples: peaks within ``cap``, failures filled, smoothed along the fault, applied. ``strands`` (profile_id, strand_id)
+    says which profiles are neighbours; without it all lie on one strand."""
     from tremor.operators.stencil import nan_gaussian_1d
 
-    shifts = rl.peak_shift(cube, column, rl.boxcar_weights(plen, plen, 2.0), cap).withColumn("strand", F.lit(0))
-    smooth = nan_gaussian_1d(rl.fill_failed(shifts, ["strand"], "profile_id"), ["strand"], "profile_id", "shift", sigma)
+    shifts = rl.peak_shift(cube, column, rl.boxcar_weights(plen, plen, 2.0), cap)
+    shifts = shifts.withColumn("strand_id", F.lit(0)) if strands is None else shifts.join(strands, "profile_id")
+    smooth = nan_gaussian_1d(rl.fill_failed(shifts, ["strand_id"], "profile_id"), ["strand_id"], "profile_id", "shift", sigma)
     return rl.apply_shift(cube, smooth.select("profile_id", "shift"), [column])

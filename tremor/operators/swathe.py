@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators import quantile as qt
-from tremor.operators.spatialjoin import bucketed_join, interval_join, small
+from tremor.operators.spatialjoin import bucketed_join, cell_of, interval_join, small
 from tremor.sources.io import staged
 
 
@@ -152,6 +152,49 @@ def localised(points: DataFrame, least_share: float, least_quality: float) -> Da
     return out.withColumn("localised", (F.col("support") >= least_share) & (F.col("quality") >= least_quality))
 
 
+def scale_strikes(points: DataFrame, picks: DataFrame, windows: list[float]) -> DataFrame:
+    """(pick_id, window, strike): the strike of each pick (pick_id, strand_id, s) at each length scale, by total least squares through the points
+    (strand_id, s, x, y) of its strand within +-window metres of arc length, along the strand. Points and picks meet by pieces of
+    the strand as long as the largest window."""
+    reach = max(windows)
+    piece = F.explode(F.sequence(cell_of(F.col("_s") - reach, reach), cell_of(F.col("_s") + reach, reach)))
+    at = picks.select("pick_id", "strand_id", F.col("s").alias("_s")).withColumn("_p", piece).join(points.select("strand_id", "s", "x", "y", cell_of(F.col("s"), reach).alias("_p")), ["strand_id", "_p"])
+    at = at.withColumn("window", F.explode(F.array(*(F.lit(float(w)) for w in windows)))).where(F.abs(F.col("s") - F.col("_s")) <= F.col("window"))
+    ends = at.groupBy("pick_id", "window").agg((0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("_t"), (F.max_by("x", "s") - F.min_by("x", "s")).alias("_dx"), (F.max_by("y", "s") - F.min_by("y", "s")).alias("_dy"))
+    turn = F.when(F.cos("_t") * F.col("_dx") + F.sin("_t") * F.col("_dy") < 0, F.pi()).otherwise(0.0)
+    return ends.select("pick_id", "window", ((90 - F.degrees(F.col("_t") + turn) + 720) % 360).alias("strike"))
+
+
+def circular_median(df: DataFrame, keys: list[str], angle: str, order: str) -> DataFrame:
+    """(keys, angle): median of angles in degrees, taken relative to the group's first so that 0 and 360 are neighbours."""
+    first = df.groupBy(*keys).agg(F.min_by(angle, order).alias("_first"))
+    rel = df.join(first, keys).withColumn("_rel", (F.col(angle) - F.col("_first") + 540) % 360 - 180)
+    return rel.groupBy(*keys).agg(((F.first("_first") + F.percentile("_rel", F.lit(0.5)) + 360) % 360).alias(angle))  # one value a length scale
+
+
+def multi_strike(px: DataFrame, distance: DataFrame, centres: DataFrame, strikes: DataFrame, edges: list[float], half_width: float, half_length: float, spans: DataFrame, least: int) -> DataFrame:
+    """(pick_id, bin, x, par_med, par_std, nrm_med, nrm_std, scatter, n): one swathe across the fault for each strike (pick_id, window, strike) of a pick.
+
+    Pixels (row, col, x, y, ew, ns) of each swathe, ``half_width`` along and ``half_length`` across from ``centres(pick_id, x, y)``, are binned by their
+    signed ``distance(row, col, d)`` from the fault; a bin's value is the median of at least ``least`` pixels along and to the left of the
+    swathe's own strike. Bins that all swathes of the pick fill, whose x lies in ``spans(pick_id, lo, hi)``, are kept; each swathe is moved to
+    the pick's mean level over these; then medians and sample spreads over the swathes, and medians of pixel scatter and count."""
+    frames = strikes.join(centres.select("pick_id", F.col("x").alias("cx"), F.col("y").alias("cy")), "pick_id").withColumn("profile_id", F.struct("pick_id", "window"))
+    hit = frame_pixels(px, frames.select("profile_id", "cx", "cy", "strike"), half_width, half_length).join(distance, ["row", "col"])
+    turned = hit.join(small(strikes.select(F.struct("pick_id", "window").alias("profile_id"), "strike")), "profile_id").withColumns({"_a": F.radians("strike")})
+    turned = turned.select("profile_id.pick_id", "profile_id.window", "d", (F.col("ew") * F.sin("_a") + F.col("ns") * F.cos("_a")).alias("par"), (-F.col("ew") * F.cos("_a") + F.col("ns") * F.sin("_a")).alias("nrm"))
+    stacks = staged(robust_stack(turned.where("par is not null and nrm is not null"), edges, "d", ["par", "nrm"], least, ["pick_id", "window"]), "swathes")
+    filled = stacks.where("par_med is not null and nrm_med is not null")
+    n = strikes.groupBy("pick_id").agg(F.count("*").alias("_n"))
+    common = filled.groupBy("pick_id", "bin").agg(F.count("*").alias("_k"), F.percentile("x", F.lit(0.5)).alias("x")).join(n, "pick_id").where("_k = _n").join(spans, "pick_id").where(F.col("x").between(F.col("lo"), F.col("hi")))
+    kept = staged(filled.drop("x").join(common.select("pick_id", "bin", "x"), ["pick_id", "bin"]), "common")
+    own = kept.groupBy("pick_id", "window").agg(F.avg("par_med").alias("_p"), F.avg("nrm_med").alias("_q"))
+    level = own.groupBy("pick_id").agg(F.avg("_p").alias("_pm"), F.avg("_q").alias("_qm"))
+    moved = kept.join(own, ["pick_id", "window"]).join(level, "pick_id").withColumns({"par": F.col("par_med") - F.col("_p") + F.col("_pm"), "nrm": F.col("nrm_med") - F.col("_q") + F.col("_qm")})
+    half = F.lit(0.5)
+    return moved.groupBy("pick_id", "bin").agg(F.first("x").alias("x"), *(f for c in ("par", "nrm") for f in (F.percentile(c, half).alias(f"{c}_med"), F.stddev_samp(c).alias(f"{c}_std"))), F.percentile("par_rstd", half).alias("scatter"), F.percentile("n", half).alias("n"))
+
+
 def ensemble(swathes: DataFrame, value: str) -> DataFrame:
     """Means by profile and bin of several swathes (profile_id, swathe, bin, value): each swathe is moved to its profile's mean, then the
     median and sample spread of the bins that all swathes fill."""

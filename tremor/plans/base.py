@@ -12,6 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def sql_uniform(text: str) -> str:
+    """DuckDB text of a number inside (0, 1) by a digest of ``text``, as ``inversion.uniform`` draws it."""
+    digits = f"list_transform(range(1, 13), lambda z: CAST(instr('0123456789abcdef', substr(md5({text}), CAST(z AS INT), 1)) - 1 AS DOUBLE))"
+    return f"(list_reduce(list_prepend(CAST(0 AS DOUBLE), {digits}), lambda s, x: s * 16 + x) + 0.5) / 281474976710656"
+
+
 def query(sql: str | None = None):
     """Register a function of named views, given by its parameter names, under its own name."""
 

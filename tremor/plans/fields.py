@@ -239,3 +239,8 @@ def f9_marginal_outliers(fx_pixels: DataFrame) -> DataFrame:
 @query(f"WITH {_CLEAN} SELECT a.row, a.col, round(CASE WHEN 2 * count(*) FILTER (abs(b.ns - a.ns) <= 0.2) > count(b.ns) THEN any_value(a.ns) END, 9) AS ns FROM c a LEFT JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY a.row, a.col")
 def f10_majority_filter(fx_pixels: DataFrame) -> DataFrame:
     return rounded(st.majority_filter(coords.clear_empty(fx_pixels), "ns", 1, 0.2), "ns", digits=9)
+
+
+@query(f"WITH {_CLEAN} SELECT a.row, a.col, round(CASE WHEN 2 * count(*) FILTER (abs(b.ew - a.ew) <= 0.08) > count(b.ew) OR stddev_pop(b.ew) <= 0.08 THEN any_value(a.ew) END, 9) AS ew FROM c a LEFT JOIN c b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 AND (a.row <> b.row OR a.col <> b.col) GROUP BY a.row, a.col")
+def f10_delta_or_majority(fx_pixels: DataFrame) -> DataFrame:
+    return rounded(st.majority_filter(coords.clear_empty(fx_pixels), "ew", 2, 0.08, flat=True), "ew", digits=9)

@@ -14,7 +14,7 @@ from tremor.operators import ridge as rg
 from tremor.operators import stencil as st
 from tremor.operators import swathe as sw
 from tremor.plans.geometry import _SEG
-from tremor.plans.base import query
+from tremor.plans.base import query, sql_uniform
 from tremor.sources.io import staged
 
 _CLEAN = "c AS (SELECT row, col, x, y, nullif(ew, 0) AS ew, nullif(ns, 0) AS ns FROM fx_pixels)"
@@ -90,10 +90,15 @@ def g9_robust_stack(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {_PTS}, s AS (SELECT *, sign(xs) AS g FROM e WHERE abs(xs) BETWEEN 30 AND 200), m AS (SELECT profile_id, count(*)::DOUBLE AS n, sum(xs) AS x, sum(g) AS g, sum(xs * xs) AS xx, sum(xs * g) AS xg, sum(g * g) AS gg, sum(par) AS y, sum(xs * par) AS xy, sum(g * par) AS gy FROM s GROUP BY profile_id HAVING count(*) >= 6 AND count(*) FILTER (xs < 0) >= 2 AND count(*) FILTER (xs > 0) >= 2),
-d AS (SELECT *, n * (xx * gg - xg * xg) - x * (x * gg - xg * g) + g * (x * xg - xx * g) AS det FROM m)
-SELECT profile_id, round(2 * (n * (xx * gy - xy * xg) - x * (x * gy - xy * g) + y * (x * xg - xx * g)) / det, 4) AS amplitude FROM d WHERE det <> 0""")
+d AS (SELECT *, n * (xx * gg - xg * xg) - x * (x * gg - xg * g) + g * (x * xg - xx * g) AS det FROM m),
+f AS (SELECT profile_id, (y * (xx * gg - xg * xg) - x * (xy * gg - gy * xg) + g * (xy * xg - gy * xx)) / det AS c0, (n * (xy * gg - gy * xg) - y * (x * gg - xg * g) + g * (x * gy - xy * g)) / det AS c1,
+  (n * (xx * gy - xy * xg) - x * (x * gy - xy * g) + y * (x * xg - xx * g)) / det AS c2 FROM d WHERE det <> 0),
+z AS (SELECT e.profile_id, xs, par, max((par - c0 - c1 * xs) / (2 * c2) + 0.5) OVER (PARTITION BY e.profile_id ORDER BY xs, par ROWS UNBOUNDED PRECEDING) AS z FROM e JOIN f USING (profile_id) WHERE abs(xs) <= 200),
+l AS (SELECT *, lag(xs) OVER w AS px, lag(z) OVER w AS pz FROM z WINDOW w AS (PARTITION BY profile_id ORDER BY xs, par)),
+k AS (SELECT profile_id, max(xs) AS last, min(CASE WHEN z >= 0.9 AND (pz IS NULL OR pz < 0.9) THEN CASE WHEN pz IS NULL THEN xs ELSE px + (xs - px) * (0.9 - pz) / (z - pz) END END) AS hi, min(CASE WHEN z >= 0.1 AND (pz IS NULL OR pz < 0.1) THEN CASE WHEN pz IS NULL THEN xs ELSE px + (xs - px) * (0.1 - pz) / (z - pz) END END) AS lo FROM l GROUP BY profile_id)
+SELECT profile_id, round(coalesce(hi, last) - coalesce(lo, last), 4) AS width, round(2 * c2, 4) AS amplitude FROM k JOIN f USING (profile_id)""")
 def g10_step(fx_profile_points: DataFrame) -> DataFrame:
-    return rounded(sw.step_width(fx_profile_points, half=200.0, inner=30.0).select("profile_id", "amplitude"), "amplitude", digits=4)
+    return rounded(sw.step_width(fx_profile_points, half=200.0, inner=30.0).select("profile_id", "width", "amplitude"), "width", "amplitude", digits=4)
 
 
 @query(None)
@@ -119,11 +124,39 @@ def g13_near_fault_cloud(fx_pixels: DataFrame, nation: DataFrame) -> DataFrame:
     return rounded(_swathes(fx_pixels, nation).where("abs(xs) <= 60").select("profile_id", F.col("xs").alias("d"), "par", "nrm"), "d", "par", "nrm")
 
 
-@query(f"""WITH {_SW}, b AS (SELECT profile_id, row % 3 AS swathe, CAST(floor(xs / 50) AS INT) AS bin, avg(par) AS v FROM sw GROUP BY ALL), o AS (SELECT profile_id, swathe, avg(v) AS own FROM b GROUP BY ALL), m AS (SELECT profile_id, avg(own) AS mean, count(*) AS n FROM o GROUP BY ALL),
-t AS (SELECT b.profile_id, b.swathe, bin, v - own + mean AS v, n FROM b JOIN o ON o.profile_id = b.profile_id AND o.swathe = b.swathe JOIN m ON m.profile_id = b.profile_id) SELECT profile_id, bin, round(quantile_cont(v, 0.5), 6) AS med, round(stddev_samp(v), 6) AS std FROM t GROUP BY profile_id, bin, n HAVING count(DISTINCT swathe) = n""")
-def g14_ensemble(fx_pixels: DataFrame, nation: DataFrame) -> DataFrame:
-    bins = _swathes(fx_pixels, nation).groupBy("profile_id", (F.col("row") % 3).alias("swathe"), F.floor(F.col("xs") / 50).cast("int").alias("bin")).agg(F.avg("par").alias("v"))
-    return rounded(sw.ensemble(bins, "v"), "med", "std")
+_SCALES = [120.0, 400.0, 1500.0]
+_LEGS = "leg AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len, coalesce(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM seg)"
+
+
+@query(f"""WITH {_DIST}, {_LEGS}, tot AS (SELECT max(s0 + len) AS total FROM leg), pts AS (SELECT 25.0 * k AS s, x0 + (x1 - x0) * (25.0 * k - s0) / len AS x, y0 + (y1 - y0) * (25.0 * k - s0) / len AS y FROM tot, range(0, CAST(floor(total / 25) AS BIGINT) + 1) AS r(k), leg WHERE 25.0 * k >= s0 AND (25.0 * k < s0 + len OR (s0 + len = total AND 25.0 * k >= s0 + len))),
+pick AS (SELECT s_suppkey AS pick_id, 15980.0 - 10 * s_suppkey AS s FROM supplier), cen AS (SELECT pick_id, x0 + (x1 - x0) * (s - s0) / len AS cx, y0 + (y1 - y0) * (s - s0) / len AS cy FROM pick, leg WHERE s >= s0 AND s < s0 + len),
+sc AS (SELECT pick_id, w, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t, max_by(x, p.s) - min_by(x, p.s) AS dx, max_by(y, p.s) - min_by(y, p.s) AS dy FROM pick, (SELECT unnest({_SCALES!r}::DOUBLE[]) AS w), pts p WHERE abs(p.s - pick.s) <= w GROUP BY ALL),
+st AS (SELECT pick_id, w, radians((90 - degrees(t + CASE WHEN cos(t) * dx + sin(t) * dy < 0 THEN pi() ELSE 0 END) + 720) % 360) AS a FROM sc),
+fr AS (SELECT pick_id, w, d, ew * sin(a) + ns * cos(a) AS par, -ew * cos(a) + ns * sin(a) AS nrm FROM (SELECT sd.*, p.x, p.y FROM sd JOIN fx_pixels p USING (row, col)) q, st JOIN cen USING (pick_id)
+  WHERE (x - cx) * sin(a) + (y - cy) * cos(a) >= -60 AND (x - cx) * sin(a) + (y - cy) * cos(a) < 60 AND -(x - cx) * cos(a) + (y - cy) * sin(a) >= -300 AND -(x - cx) * cos(a) + (y - cy) * sin(a) < 300),
+g AS (SELECT CAST(k - 1 AS INT) AS bin, e[k] AS lo, e[k + 1] AS hi FROM (SELECT {_STACK!r}::DOUBLE[] AS e), range(1, {len(_STACK)}) AS r(k)), m AS (SELECT pick_id, w, bin, d, par, nrm, quantile_cont(par, 0.5) OVER v AS pm, quantile_cont(nrm, 0.5) OVER v AS qm FROM fr JOIN g ON d >= lo AND d < hi WINDOW v AS (PARTITION BY pick_id, w, bin)),
+b AS (SELECT pick_id, w, bin, count(*) AS n, quantile_cont(d, 0.5) AS x, any_value(pm) AS pm, any_value(qm) AS qm, 1.4826 * quantile_cont(abs(par - pm), 0.5) AS sp FROM m GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT pick_id, bin, quantile_cont(x, 0.5) AS x FROM b GROUP BY ALL HAVING count(*) = {len(_SCALES)} AND quantile_cont(x, 0.5) BETWEEN -250 AND 220), k AS (SELECT b.pick_id, b.w, b.bin, c.x, pm, qm, sp, n FROM b JOIN c ON c.pick_id = b.pick_id AND c.bin = b.bin),
+o AS (SELECT pick_id, w, avg(pm) AS p, avg(qm) AS q FROM k GROUP BY ALL), lv AS (SELECT pick_id, avg(p) AS p, avg(q) AS q FROM o GROUP BY pick_id),
+f AS (SELECT k.pick_id, bin, x, pm - o.p + lv.p AS par, qm - o.q + lv.q AS nrm, sp, n FROM k JOIN o ON o.pick_id = k.pick_id AND o.w = k.w JOIN lv ON lv.pick_id = k.pick_id)
+SELECT pick_id, bin, round(any_value(x), 5) AS x, round(quantile_cont(par, 0.5), 5) AS par_med, round(stddev_samp(par), 5) AS par_std, round(quantile_cont(nrm, 0.5), 5) AS nrm_med, round(stddev_samp(nrm), 5) AS nrm_std, round(quantile_cont(sp, 0.5), 5) AS scatter, quantile_cont(n, 0.5) AS n FROM f GROUP BY pick_id, bin""")
+def g14_ensemble(fx_pixels: DataFrame, fx_trace: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Picks along the first strand, each with a strike and a swathe for three length scales."""
+    fault = fx_trace.where("strand_id = 0")
+    picks = supplier.select(F.col("s_suppkey").alias("pick_id"), F.lit(0).alias("strand_id"), (15980.0 - 10 * F.col("s_suppkey")).alias("s"))
+    centres = pl.interpolate(picks, fault).select("pick_id", "x", "y")
+    strikes = staged(sw.scale_strikes(pl.resample(fault, 25.0), picks, _SCALES), "strikes")
+    px = coords.flatten(coords.clear_empty(fx_pixels))
+    far = pl.signed_distance(px, fault, ["row", "col"], 500.0).select("row", "col", "d")
+    spans = picks.select("pick_id", F.lit(-250.0).alias("lo"), F.lit(220.0).alias("hi"))
+    out = sw.multi_strike(px, far, centres, strikes, _STACK, 60.0, 300.0, spans, 3)
+    return rounded(out, "x", "par_med", "par_std", "nrm_med", "nrm_std", "scatter", digits=5)
+
+
+@query("""WITH z AS (SELECT o_orderkey % 500 AS g, o_orderkey AS k, (o_custkey * 7 % 720) / 2.0 AS a FROM orders), f AS (SELECT g, arg_min(a, k) AS first FROM z GROUP BY g) SELECT g, round((any_value(first) + quantile_cont((a - first + 540) % 360 - 180, 0.5) + 360) % 360, 6) AS a FROM z JOIN f USING (g) GROUP BY g""")
+def g14_circular_median(orders: DataFrame) -> DataFrame:
+    z = orders.select((F.col("o_orderkey") % 500).alias("g"), F.col("o_orderkey").alias("k"), ((F.col("o_custkey") * 7 % 720) / 2).alias("a"))
+    return rounded(sw.circular_median(z, ["g"], "a", "k"), "a")
 
 
 @query(f"WITH {_PTS}, {_SPAN} SELECT profile_id, event_id FROM e JOIN o USING (profile_id) WHERE xs BETWEEN a + 5 AND b + 5")
@@ -346,10 +379,28 @@ def h22_sigmoid(part: DataFrame) -> DataFrame:
     return rounded(part.select("p_partkey", rl.sigmoid(F.col("p_size"), 3.0, 25.0, 0.2, 2.0).alias("v")), "v")
 
 
-@query(None)
+def _cubic_sql(source: str, keys: str) -> str:
+    """Rows (keys, c) of cubic coefficients by power sums and elimination, from (keys, xs, par); needs WITH RECURSIVE."""
+    sums = ", ".join([*(f"sum(pow(xs / 200.0, {k})) AS s{k}" for k in range(7)), *(f"sum(pow(xs / 200.0, {k}) * par) AS t{k}" for k in range(4))])
+    rows = ", ".join("[" + ", ".join([*(f"s{i + j} + {1e-12 if i == j else 0}" for j in range(4)), f"t{i}"]) + "]" for i in range(4))
+    return f"""{source}_p AS (SELECT {keys}, {sums} FROM {source} GROUP BY {keys} HAVING count(*) >= 5), {source}_e AS (SELECT {keys}, 0 AS k, [{rows}] AS a FROM {source}_p UNION ALL
+  SELECT {keys}, k + 1, list_transform(range(1, 5), lambda i: CASE WHEN i = k + 1 THEN list_transform(a[k + 1], lambda x: x / a[k + 1][k + 1]) ELSE list_transform(range(1, 6), lambda j: a[i][j] - a[i][k + 1] / a[k + 1][k + 1] * a[k + 1][j]) END) FROM {source}_e WHERE k < 4),
+{source}_c AS (SELECT {keys}, a[1][5] AS p0, a[2][5] AS p1, a[3][5] AS p2, a[4][5] AS p3 FROM {source}_e WHERE k = 4)"""
+
+
+_AT = "(p0 + xs / 200.0 * (p1 + xs / 200.0 * (p2 + xs / 200.0 * p3)))"
+
+
+@query(f"""WITH RECURSIVE {_PTS}, o AS (SELECT * FROM e WHERE abs(xs) >= 20), lim AS (SELECT profile_id, CAST(0.2 AS DOUBLE) * stddev_pop(par) AS lim FROM o GROUP BY profile_id),
+dr AS (SELECT profile_id, event_id, trial, xs, par FROM o, range(0, 8) AS t(trial) WHERE {sql_uniform("concat('5:', profile_id, ':', event_id, ':', trial)")} < 0.6), {_cubic_sql('dr', 'profile_id, trial')},
+v AS (SELECT profile_id, trial, count(*) FILTER (abs(par - {_AT}) <= lim) AS k, round(sum(CASE WHEN abs(par - {_AT}) <= lim THEN (par - {_AT}) ** 2 ELSE 0 END), 9) AS ss FROM o JOIN dr_c USING (profile_id) JOIN lim USING (profile_id) GROUP BY ALL),
+b AS (SELECT profile_id, trial FROM v WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY k DESC, ss, trial) = 1),
+ag AS (SELECT profile_id, xs, par FROM o JOIN b USING (profile_id) JOIN dr_c USING (profile_id, trial) JOIN lim USING (profile_id) WHERE abs(par - {_AT}) <= lim), {_cubic_sql('ag', 'profile_id')},
+r AS (SELECT profile_id, 1 - sum((par - {_AT}) ** 2) / nullif(var_pop(par) * count(*), 0) AS r2 FROM ag JOIN ag_c USING (profile_id) GROUP BY profile_id), th AS (SELECT profile_id, 2 * stddev_pop(par - {_AT}) AS threshold FROM o JOIN ag_c USING (profile_id) GROUP BY profile_id)
+SELECT e.profile_id, event_id, round(par - coalesce({_AT}, 0), 6) AS par_res, round(coalesce(threshold, 0), 6) AS threshold, round(r2, 6) AS r2 FROM e LEFT JOIN ag_c USING (profile_id) LEFT JOIN th USING (profile_id) LEFT JOIN r USING (profile_id)""")
 def i1_detrend(fx_profile_points: DataFrame) -> DataFrame:
-    out = an.detrend(fx_profile_points.select("profile_id", "xs", "par"), "par", 20.0, 200.0)
-    return rounded(out.select("profile_id", "xs", "par_res", "threshold"), "xs", "par_res", "threshold")
+    out = an.detrend(fx_profile_points.select("profile_id", "event_id", "xs", "par"), "par", 20.0, 200.0, trials=8)
+    return rounded(out.select("profile_id", "event_id", "par_res", "threshold", "r2"), "par_res", "threshold", "r2")
 
 
 @query(f"WITH {_PTS}, z AS (SELECT profile_id, max(CASE WHEN abs(nrm) < 0.04 AND xs <= 0 THEN xs END) AS x_min, min(CASE WHEN abs(nrm) < 0.04 AND xs >= 0 THEN xs END) AS x_max FROM e GROUP BY profile_id) SELECT profile_id, round(x_min, 6) AS x_min, round(x_max, 6) AS x_max, round(x_max - x_min, 6) AS width FROM z")
@@ -357,19 +408,29 @@ def i2_zone_width(fx_profile_points: DataFrame) -> DataFrame:
     return rounded(an.zone_width(fx_profile_points.withColumn("s", F.abs("nrm")), "s", F.lit(0.04)), "x_min", "x_max", "width")
 
 
-_OFF = f"""{_PTS}, z AS (SELECT *, CASE WHEN xs BETWEEN 5 AND 150 THEN 'r' WHEN xs BETWEEN -150 AND -5 THEN 'l' END AS side FROM e), a AS (SELECT * FROM z WHERE side IS NOT NULL), f AS (SELECT profile_id, side, regr_slope(par, xs) AS m, regr_intercept(par, xs) AS b, stddev_pop(par) AS s FROM a GROUP BY ALL),
-k AS (SELECT a.* FROM a JOIN f USING (profile_id, side) WHERE abs(par - b - m * xs) <= 1.2 * s), g AS (SELECT profile_id, side, regr_slope(par, xs) AS m, regr_intercept(par, xs) AS b FROM k GROUP BY ALL), v AS (SELECT profile_id, side, any_value(b) AS b, var_pop(par - b - m * xs) AS v FROM a JOIN g USING (profile_id, side) GROUP BY ALL)"""
+_OFF = f"""{_PTS}, z AS (SELECT *, CASE WHEN xs BETWEEN 5 AND 150 THEN 'r' WHEN xs BETWEEN -150 AND -5 THEN 'l' END AS side FROM e),
+a AS (SELECT *, row_number() OVER (PARTITION BY profile_id, side ORDER BY xs, event_id) AS r, count(*) OVER w AS n, 1.2 * stddev_pop(par) OVER w AS lim FROM z WHERE side IS NOT NULL WINDOW w AS (PARTITION BY profile_id, side)),
+h0 AS (SELECT profile_id, side, n, trial, 1 + floor({sql_uniform("concat('9:', profile_id, ':', side, ':', trial, ':0')")} * n) AS i, 1 + floor({sql_uniform("concat('9:', profile_id, ':', side, ':', trial, ':1')")} * (n - 1)) AS j FROM a, range(0, 12) AS t(trial) WHERE r = 1 AND n >= 2),
+h1 AS (SELECT h.profile_id, h.side, h.trial, p.xs AS xi, p.par AS yi, q.xs AS xj, q.par AS yj FROM h0 h JOIN a p ON p.profile_id = h.profile_id AND p.side = h.side AND p.r = h.i JOIN a q ON q.profile_id = h.profile_id AND q.side = h.side AND q.r = CASE WHEN h.j >= h.i THEN h.j + 1 ELSE h.j END),
+h AS (SELECT profile_id, side, trial, (yj - yi) / (xj - xi) AS m, yi - (yj - yi) / (xj - xi) * xi AS b FROM h1 WHERE xi <> xj),
+v AS (SELECT profile_id, side, trial, count(*) FILTER (abs(par - b - m * xs) <= lim) AS k, round(sum(CASE WHEN abs(par - b - m * xs) <= lim THEN (par - b - m * xs) ** 2 ELSE 0 END), 9) AS ss FROM a JOIN h USING (profile_id, side) GROUP BY ALL),
+c AS (SELECT profile_id, side, trial FROM v WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY profile_id, side ORDER BY k DESC, ss, trial) = 1),
+f AS (SELECT profile_id, side, regr_slope(par, xs) AS m, regr_intercept(par, xs) AS b FROM a JOIN c USING (profile_id, side) JOIN h USING (profile_id, side, trial) WHERE abs(par - h.b - h.m * xs) <= lim GROUP BY ALL),
+g AS (SELECT profile_id, side, any_value(b) AS b, stddev_pop(par - b - m * xs) AS s, min(xs) AS x0, max(xs) AS x1 FROM a JOIN f USING (profile_id, side) WHERE m IS NOT NULL GROUP BY ALL)"""
 
 
-@query(f"WITH {_OFF} SELECT profile_id, round(max(CASE WHEN side = 'r' THEN b END) - max(CASE WHEN side = 'l' THEN b END), 6) AS \"offset\", round(sqrt(sum(v)), 6) AS std FROM v GROUP BY profile_id")
+@query(f"""WITH {_OFF} SELECT profile_id, round(coalesce(max(b) FILTER (side = 'r'), 0) - coalesce(max(b) FILTER (side = 'l'), 0), 6) AS "offset", round(sqrt(sum(s * s)), 6) AS std,
+round(max(x0) FILTER (side = 'l'), 6) AS left_first, round(max(x1) FILTER (side = 'l'), 6) AS left_last, round(max(x0) FILTER (side = 'r'), 6) AS right_first, round(max(x1) FILTER (side = 'r'), 6) AS right_last FROM g GROUP BY profile_id""")
 def i3_offset(fx_profile_points: DataFrame) -> DataFrame:
     at = fx_profile_points.withColumns({"x_min": F.lit(0.0), "x_max": F.lit(0.0)})
-    return rounded(an.offset(at, "par", 5.0, 150.0, 1.2), "offset", "std")
+    return rounded(an.offset(at, "par", 5.0, 150.0, 1.2, 12), "offset", "std", "left_first", "left_last", "right_first", "right_last")
 
 
 @query(None)
 def i4_analyse_profiles(fx_profile_points: DataFrame) -> DataFrame:
-    out = an.analyse_profiles(fx_profile_points.select("profile_id", "xs", "par", "nrm"), 0.04, (0.0, 150.0), (50.0, 400.0))
+    """The whole record; its parts are checked by i1, i2, i3 and g10, the record against them in tests/test_analysis.py."""
+    s = fx_profile_points.select("profile_id", "event_id", "xs", "par", F.abs("nrm").alias("shear"), F.col("nrm").alias("dilatation"))
+    out = an.analyse_profiles(s, 20.0, 200.0, (0.0, 150.0), (50.0, 400.0), 1.0, trials=8)
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
