@@ -13,6 +13,8 @@ NAMES = ["a9_rasterise_grid", "b5_utm", "b10_near_trace", "c7_signed_distance",
 
 
 def main() -> None:
+    here = os.path.dirname(os.path.abspath(__file__))  # for the Python workers, wherever this is started from
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [here, os.environ.get("PYTHONPATH")]))
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")

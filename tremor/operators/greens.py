@@ -8,36 +8,42 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.operators.mesh import patch_geometry
-from tremor.operators.spatialjoin import few
+from tremor.operators.spatialjoin import SMALL, few
 
 EPS = 1e-10
 EDGE = 1e-6  # metres: a point this close to a corner at the surface has no finite displacement
 RATIO = 0.5  # mu / (lambda + mu) of a Poisson solid
 
 
-def _corner(df: DataFrame, k: int, sd: Column, cd: Column) -> DataFrame:
-    """``df`` with the displacement terms of corner ``k`` from xi{k}, eta{k}, q: strike_x{k} ... dip_z{k}, after the published closed form for a finite
-    rectangle. The steps are columns, so that each stands once in the generated code."""
-    c = lambda n: F.col(f"{n}{k}")
-    add = lambda df, /, **new: df.withColumns({f"{n}{k}": v for n, v in new.items()})
-    q, flat = F.col("q"), F.abs(cd) < EPS
-    near = lambda v, w: F.when(F.abs(v) < EPS, 0.0).otherwise(w)
-    over = lambda v: F.when(F.abs(c("rx")) < EPS, 0.0).otherwise(v / F.when(F.abs(c("rx")) < EPS, 1.0).otherwise(c("rx")))
-    df = add(df, y=c("eta") * cd + q * sd, d=c("eta") * sd - q * cd, r=F.sqrt(c("xi") * c("xi") + c("eta") * c("eta") + q * q), x=F.sqrt(c("xi") * c("xi") + q * q))
-    df = add(df, r=F.when(c("r") + c("d") > EDGE, c("r")))
-    df = add(df, ld=c("r") + c("d"), le=F.log(c("r") + c("eta")), re=c("r") * (c("r") + c("eta")), rx=c("r") * (c("r") + c("xi")), an=near(q, F.atan(c("xi") * c("eta") / F.when(F.abs(q) < EPS, 1.0).otherwise(q * c("r")))))
-    tilt = (c("eta") * (c("x") + q * cd) + c("x") * (c("r") + c("x")) * sd) / F.when(F.abs(c("xi")) < EPS, 1.0).otherwise(c("xi") * (c("r") + c("x")) * cd)
-    df = add(df, i5=F.when(flat, -RATIO * c("xi") * sd / c("ld")).otherwise(near(c("xi"), RATIO * 2 / cd * F.atan(tilt))), i4=F.when(flat, -RATIO * q / c("ld")).otherwise(RATIO / cd * (F.log(c("ld")) - sd * c("le"))))
-    df = add(df, i3=F.when(flat, RATIO / 2 * (c("eta") / c("ld") + c("y") * q / (c("ld") * c("ld")) - c("le"))).otherwise(RATIO * (c("y") / (cd * c("ld")) - c("le")) + sd / cd * c("i4")),
-             i1=F.when(flat, -RATIO / 2 * c("xi") * q / (c("ld") * c("ld"))).otherwise(-RATIO * c("xi") / (cd * c("ld")) - sd / cd * c("i5")))
-    df = add(df, strike_x=c("xi") * q / c("re") + c("an") + c("i1") * sd, strike_y=c("y") * q / c("re") + q * cd / (c("r") + c("eta")) + (-RATIO * c("le") - c("i3")) * sd, strike_z=c("d") * q / c("re") + q * sd / (c("r") + c("eta")) + c("i4") * sd,
-             dip_x=q / c("r") - c("i3") * sd * cd, dip_y=over(c("y") * q) + cd * c("an") - c("i1") * sd * cd, dip_z=over(c("d") * q) + sd * c("an") - c("i5") * sd * cd)
-    return df.drop(*(f"{n}{k}" for n in ("xi", "eta", "y", "d", "r", "x", "ld", "le", "re", "rx", "an", "i1", "i3", "i4", "i5")))
+def _corner(xi: np.ndarray, eta: np.ndarray, q: np.ndarray, sd: np.ndarray, cd: np.ndarray) -> list[np.ndarray]:
+    """Displacement terms of one corner, strike-slip x, y, z and dip-slip x, y, z, after the published closed form for a finite rectangle; NaN where a
+    corner at the surface is too near."""
+    flat = np.abs(cd) < EPS
+    slope = np.where(flat, 1.0, cd)
+    y, d = eta * cd + q * sd, eta * sd - q * cd
+    r = np.sqrt(xi * xi + eta * eta + q * q)
+    r = np.where(r + d > EDGE, r, np.nan)
+    le, ld = np.log(r + eta), r + d
+    x = np.sqrt(xi * xi + q * q)
+    small = lambda v, w: np.where(np.abs(v) < EPS, 0.0, w)
+    safe = lambda v: np.where(np.abs(v) < EPS, 1.0, v)
+    turn = np.arctan((eta * (x + q * cd) + x * (r + x) * sd) / np.where(np.abs(xi) < EPS, 1.0, xi * (r + x) * slope))
+    i5 = np.where(flat, -RATIO * xi * sd / ld, small(xi, RATIO * 2 / slope * turn))
+    i4 = np.where(flat, -RATIO * q / ld, RATIO / slope * (np.log(ld) - sd * le))
+    i3 = np.where(flat, RATIO / 2 * (eta / ld + y * q / (ld * ld) - le), RATIO * (y / (slope * ld) - le) + sd / slope * i4)
+    i1 = np.where(flat, -RATIO / 2 * xi * q / (ld * ld), -RATIO * xi / (slope * ld) - sd / slope * i5)
+    angle = small(q, np.arctan(xi * eta / np.where(np.abs(q) < EPS, 1.0, q * r)))
+    re, rx = r * (r + eta), r * (r + xi)
+    yx, dx = small(rx, y * q / safe(rx)), small(rx, d * q / safe(rx))
+    return [xi * q / re + angle + i1 * sd, y * q / re + q * cd / (r + eta) - (RATIO * le + i3) * sd, d * q / re + q * sd / (r + eta) + i4 * sd,
+            q / r - i3 * sd * cd, yx + cd * angle - i1 * sd * cd, dx + sd * angle - i5 * sd * cd]
 
 
 def _all(c: Column | str) -> Column:
@@ -45,25 +51,46 @@ def _all(c: Column | str) -> Column:
     return F.when(F.count(c) == F.count("*"), F.sum(c))
 
 
-def rectangle_pairs(obs: DataFrame, patches: DataFrame) -> DataFrame:
+def rectangle_pairs(obs: DataFrame, patches: DataFrame, rows: int = 2048) -> DataFrame:
     """(obs_id, patch_id, cell_id, slip_comp, e, n, u): surface displacement of unit strike-slip and dip-slip on rectangles at points
-    (obs_id, x, y). The four signed corners of a pair stand in its row, so pairs are neither exploded nor shuffled. At a corner that
-    reaches the surface the closed form is singular: e, n and u are null there. Patches of over SMALL rows are refused: the pair
-    table would be a cross join of two large sides; give them in parts."""
-    p = patch_geometry(patches).withColumns({"sx": (F.col("x1") - F.col("x0")) / F.col("length"), "sy": (F.col("y1") - F.col("y0")) / F.col("length")})
-    j = obs.select("obs_id", "x", "y").join(few(p.select("patch_id", "cell_id", "x0", "y0", "z0", "dip", "length", "width", "sx", "sy")))
-    along = (F.col("x") - F.col("x0")) * F.col("sx") + (F.col("y") - F.col("y0")) * F.col("sy")
-    across = -(F.col("x") - F.col("x0")) * F.col("sy") + (F.col("y") - F.col("y0")) * F.col("sx")
-    j = j.withColumns({"xs": along, "yo": F.col("width") * F.cos("dip") - across, "sd": F.sin("dip"), "cd": F.cos("dip")})
-    j = j.withColumns({"ps": F.col("yo") * F.col("cd") + F.col("z0") * F.col("sd"), "q": F.col("yo") * F.col("sd") - F.col("z0") * F.col("cd")})
-    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
-    j = j.select("obs_id", "patch_id", "cell_id", "sx", "sy", "sd", "cd", "q", *((F.col("xs") - a * F.col("length")).alias(f"xi{k}") for k, (a, _) in enumerate(corners)), *((F.col("ps") - b * F.col("width")).alias(f"eta{k}") for k, (_, b) in enumerate(corners)))
-    for k in range(4):
-        j = _corner(j, k, F.col("sd"), F.col("cd"))
-    total = lambda n: sum((F.col(f"{n}{k}") * ((1 - 2 * ((a + b) % 2)) / (-2 * math.pi)) for k, (a, b) in enumerate(corners)), F.lit(0.0)).alias(n)
-    sums = j.select("obs_id", "patch_id", "cell_id", "sx", "sy", *(total(f"{s}_{k}") for s in ("strike", "dip") for k in "xyz"))
-    comp = lambda s: F.struct(F.lit(s).alias("slip_comp"), (F.col(f"{s}_x") * F.col("sx") + F.col(f"{s}_y") * F.col("sy")).alias("e"), (F.col(f"{s}_x") * F.col("sy") - F.col(f"{s}_y") * F.col("sx")).alias("n"), F.col(f"{s}_z").alias("u"))
-    return sums.select("obs_id", "patch_id", "cell_id", F.explode(F.array(comp("strike"), comp("dip"))).alias("g")).select("obs_id", "patch_id", "cell_id", "g.*")
+    (obs_id, x, y). At a corner that reaches the surface the closed form is singular: e, n and u are null there, as for null coordinates.
+
+    Each task holds the patches, at most SMALL of them (more are refused), and evaluates blocks of points against them in numpy:
+    pairs are neither joined nor shuffled. As columns the form of four corners makes a method too long for the JVM to compile (over
+    8,000 bytes), and corners as rows have to be shuffled to be summed."""
+    p = patch_geometry(patches).select("patch_id", "cell_id", "x0", "y0", "x1", "y1", "z0", "dip", "length", "width").limit(SMALL + 1).toPandas()
+    if len(p) > SMALL:
+        raise ValueError(f"over {SMALL} patches would meet every point; give them in parts")
+    types = dict(obs.dtypes) | dict(patches.dtypes)
+    schema = f"obs_id {types['obs_id']}, patch_id {types['patch_id']}, cell_id {types['cell_id']}, slip_comp string, e double, n double, u double"
+    ids = [pa.Array.from_pandas(p[c]) for c in ("patch_id", "cell_id")]
+    x0, y0, z0, length, width, dip = (p[c].to_numpy(float)[None] for c in ("x0", "y0", "z0", "length", "width", "dip"))
+    sx, sy = (p["x1"].to_numpy(float)[None] - x0) / length, (p["y1"].to_numpy(float)[None] - y0) / length
+    sd, cd = np.sin(dip), np.cos(dip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, rows * 32 // max(1, len(p)))
+        for whole in batches:
+            for a in range(0, len(whole) if len(p) else 0, step):
+                batch = whole.slice(a, step)
+                m, k = len(batch), len(p)
+                px, py = (batch.column(c).to_numpy(zero_copy_only=False).astype(float)[:, None] for c in "xy")
+                with np.errstate(all="ignore"):
+                    xs, yo = (px - x0) * sx + (py - y0) * sy, width * cd - ((py - y0) * sx - (px - x0) * sy)
+                    ps, q = yo * cd + z0 * sd, yo * sd - z0 * cd
+                    total = [0.0] * 6
+                    for i in (0, 1):
+                        for j in (0, 1):
+                            total = [t + (1 - 2 * ((i + j) % 2)) * c for t, c in zip(total, _corner(xs - i * length, ps - j * width, q, sd, cd))]
+                    s1, s2, s3, d1, d2, d3 = (t / (-2 * math.pi) for t in total)
+                flat = [np.stack(two, 2).ravel() for two in ((s1 * sx + s2 * sy, d1 * sx + d2 * sy), (s1 * sy - s2 * sx, d1 * sy - d2 * sx), (s3, d3))]
+                null = ~np.isfinite(flat).all(0)
+                at = pa.array(np.tile(np.repeat(np.arange(k), 2), m))
+                names = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.array([0, 1], np.int8), m * k)), pa.array(["strike", "dip"])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("obs_id").take(pa.array(np.repeat(np.arange(m), 2 * k))), *(c.take(at) for c in ids), names, *(pa.array(v, mask=null) for v in flat)],
+                                                 ["obs_id", "patch_id", "cell_id", "slip_comp", "e", "n", "u"])
+
+    return obs.select("obs_id", "x", "y").mapInArrow(run, schema)
 
 
 def sum_cells(pairs: DataFrame) -> DataFrame:
