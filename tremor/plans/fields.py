@@ -97,11 +97,17 @@ u AS (SELECT row, col, ew, (x - mx) / sx AS u, (y - my) / sy AS v FROM c, m),
 s AS (SELECT count(*) AS n, sum(u) AS su, sum(v) AS sv, sum(u * v) AS suv, sum(u * u) AS suu, sum(v * v) AS svv, sum(u * u * v) AS suuv, sum(u * v * v) AS suvv, sum(u * u * v * v) AS suuvv, sum(ew) AS d, sum(u * ew) AS du, sum(v * ew) AS dv, sum(u * v * ew) AS duv FROM u WHERE ew IS NOT NULL)"""
 
 
-@query(f"WITH {_CLEAN}, p AS (SELECT *, ew + 0.001 * (col - 50) + 0.0000001 * row * col AS e2 FROM c WHERE ew IS NOT NULL) SELECT count(*) AS n, true AS uncorrelated FROM p")
+_BASIS = ["u", "v", "1", "u * v"]
+_RAMP = ", ".join("[" + ", ".join([*(f"sum({p} * {q})::DOUBLE" for q in _BASIS), f"sum({p} * ew)::DOUBLE"]) + "]" for p in _BASIS)
+
+
+@query(f"""WITH RECURSIVE {_CLEAN}, o AS (SELECT * FROM c WHERE ew IS NOT NULL), s AS (SELECT avg(x) AS mx, avg(y) AS my, max(x) - min(x) AS sx, max(y) - min(y) AS sy FROM o), b AS (SELECT row, col, ew, (x - mx) / sx AS u, (y - my) / sy AS v FROM o, s),
+e AS (SELECT 0 AS k, [{_RAMP}] AS a FROM b UNION ALL SELECT k + 1, list_transform(range(1, 5), lambda i: CASE WHEN i = k + 1 THEN list_transform(a[k + 1], lambda x: x / a[k + 1][k + 1]) ELSE list_transform(range(1, 6), lambda j: a[i][j] - a[i][k + 1] / a[k + 1][k + 1] * a[k + 1][j]) END) FROM e WHERE k < 4)
+SELECT row, col, round(ew - a[1][5] * u - a[2][5] * v - a[3][5] - a[4][5] * u * v, 6) + 0.0 AS ew_res FROM b, e WHERE k = 4""")
 def e2_detrend(fx_pixels: DataFrame) -> DataFrame:
-    """The rest has no correlation with any basis function of the ramp."""
+    """What is left of each pixel after the bilinear ramp."""
     out = cv.detrend_bilinear(coords.clear_empty(fx_pixels), ["ew"]).where("ew is not null")
-    return out.agg(F.count("*").alias("n"), (F.greatest(F.abs(F.avg("ew_res")), F.abs(F.corr("ew_res", "x")), F.abs(F.corr("ew_res", "y")), F.abs(F.corr("ew_res", F.col("x") * F.col("y") - 4e6 * F.col("x") - 5e5 * F.col("y")))) < 1e-6).alias("uncorrelated"))
+    return rounded(out.select("row", "col", "ew_res"), "ew_res")
 
 
 _ALL = "o AS (SELECT row * 100 + col AS id, x, y, ew FROM c WHERE ew IS NOT NULL)"

@@ -241,7 +241,9 @@ def h7_step_crossing(fx_pixels: DataFrame) -> DataFrame:
 
 @query(None)
 def h8_second_shift(fx_pixels: DataFrame) -> DataFrame:
-    return rounded(an.second_shift(_cube(fx_pixels), "v", 20, 12.0, 4.0), "v")
+    cube = _cube(fx_pixels)
+    strands = cube.select("profile_id", F.floor(F.col("profile_id") / 60).cast("int").alias("strand_id")).distinct()
+    return rounded(an.second_shift(cube, "v", 20, 12.0, 4.0, strands), "v")
 
 
 _NEARALL = f"{_SEG}, arcs AS (SELECT *, coalesce(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) OVER (PARTITION BY strand_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM seg), nb AS (SELECT d.*, a.s0 + f * a.len AS s, row_number() OVER (PARTITION BY row, col ORDER BY round(d2, 6), d.strand_id, d.seq) AS k FROM dist d JOIN arcs a ON a.strand_id = d.strand_id AND a.seq = d.seq)"
