@@ -82,7 +82,8 @@ def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def _plans(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.RecordBatch]:
-    """What goes from each text: places of lines or paragraphs, and of sentences; and its words in passages of others."""
+    """What goes from each text: places of lines or paragraphs, and of sentences; words of the passages that go, and of those that
+    stand in other texts."""
     for batch in batches:
         found, n = batch.column("found"), batch.num_rows
         units = found.flatten()
@@ -94,13 +95,14 @@ def _plans(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.Rec
         again = again[runs(text[again], place[again], words[again], run_words)]
         known = known[runs(text[known], place[known], words[known], run_words)]
         n_shared = np.bincount(text[known], words[known], n).astype(np.int64)
+        n_passage = np.bincount(text[again], words[again], n).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("mark"), _lists(text[whole], place[whole], n), _lists(text[again], place[again], n), pa.array(n_shared)],
-            names=["doc_id", "mark", "whole", "parts", "n_shared_words"])
+            [batch.column("doc_id"), batch.column("mark"), _lists(text[whole], place[whole], n), _lists(text[again], place[again], n), pa.array(n_passage), pa.array(n_shared)],
+            names=["doc_id", "mark", "whole", "parts", "n_passage_words", "n_shared_words"])
 
 
 def plans(docs: DataFrame, units: tuple[str, ...], min_words: int, run_words: int) -> DataFrame:
-    """(doc_id, mark, whole, parts, n_shared_words) of the texts with repeated units; ``docs`` has (doc_id, mark, text).
+    """(doc_id, mark, whole, parts, n_passage_words, n_shared_words) of the texts with repeated units; ``docs`` has (doc_id, mark, text).
 
     Null doc_ids rank last. Of rows alike in doc_id and text the first removes nothing of its own and the others are one
     with it, so copies under one doc_id keep the same units."""
@@ -116,7 +118,7 @@ def plans(docs: DataFrame, units: tuple[str, ...], min_words: int, run_words: in
                    .where("first <> last").drop("last"), "first")
     marked = again.join(first, key).select("doc_id", "mark", "unit", "place", "words", (~rank.eqNullSafe(F.col("first"))).alias("gone"), "shared").distinct()
     of_text = marked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct((F.col("unit") == "sentence").alias("sentence"), "place", "words", "gone", "shared")).alias("found"))
-    return staged(of_text.mapInArrow(lambda it: _plans(it, run_words), _KEY + "whole array<int>, parts array<int>, n_shared_words long"), "plans")
+    return staged(of_text.mapInArrow(lambda it: _plans(it, run_words), _KEY + "whole array<int>, parts array<int>, n_passage_words long, n_shared_words long"), "plans")
 
 
 def cut(text: str, unit: str, whole: list[int], parts: list[int]) -> tuple[str, list[tuple[int, int]], int]:
@@ -157,9 +159,13 @@ def _drop(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBat
 
 
 def dedup_lines(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, run_words: int = 0) -> DataFrame:
-    """One row for each row of ``documents``: doc_id, n_shared_words, n_units_removed, n_chars_removed, text (without repeated
-    units), text_sha256 (of that text), removed (start and size of each removed span in the original text, in code points, by
-    start).
+    """One row for each row of ``documents``: doc_id, n_shared_words, n_passage_words_removed, n_units_removed, n_chars_removed, text
+    (without repeated units), text_sha256 (of that text), removed (start and size of each removed span in the original text, in
+    code points, by start).
+
+    Two kinds of text go: repeated lines of any length, as of templates, and with ``run_words`` pasted passages, runs of repeated
+    sentences of that many words or more; n_passage_words_removed counts the words of the second kind, also where they are
+    whole lines.
 
     With ``run_words`` sentences are units too; n_shared_words counts the words of runs of that many words or more whose
     sentences all stand in other documents as well, kept here or not; else it is 0. Units under ``min_words`` words stay.
@@ -179,6 +185,6 @@ def dedup_lines(documents: DataFrame, unit: str = "line", min_words: int = MIN_W
     base = docs.withColumn("sha", sha("text")).alias("d")
     cuts = done.withColumn("sha", sha("kept")).alias("c")
     return (base.join(cuts, same("d", "c"), "left").join(plan.alias("p"), same("d", "p"), "left").select(
-        "d.doc_id", F.coalesce("p.n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"), F.coalesce("c.n_units_removed", F.lit(0)).cast("long").alias("n_units_removed"),
+        "d.doc_id", F.coalesce("p.n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"), F.coalesce("p.n_passage_words", F.lit(0)).cast("long").alias("n_passage_words_removed"), F.coalesce("c.n_units_removed", F.lit(0)).cast("long").alias("n_units_removed"),
         F.coalesce(F.aggregate("c.removed", F.lit(0).cast("long"), lambda s, r: s + r["size"]), F.lit(0)).cast("long").alias("n_chars_removed"),
         F.coalesce("c.kept", "d.text").alias("text"), F.coalesce("c.sha", "d.sha").alias("text_sha256"), F.coalesce("c.removed", F.array().cast(_SPANS)).alias("removed")))

@@ -21,7 +21,7 @@ def _removed(out: DataFrame) -> Column:
 
 def op1_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(_documents(spark, sf_dir), run_words=line_dedup.RUN_WORDS)
-    return out.select("doc_id", "n_shared_words", "n_units_removed", "n_chars_removed", F.col("text_sha256").alias("kept_sha256"), _removed(out))
+    return out.select("doc_id", "n_passage_words_removed", "n_units_removed", "n_chars_removed", F.col("text_sha256").alias("kept_sha256"), _removed(out))
 
 
 def op1_every_line(spark, sf_dir):
@@ -117,19 +117,19 @@ ORACLES: dict[str, str] = {
                 SELECT *, regexp_extract_all(line, '.*?[.!?](?:[\x20\x09\x0B-\x0D]+|$)|.+$') AS w FROM r)),
         s AS (SELECT *, CAST(pos + sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY j) - length(piece) AS BIGINT) AS start,
                 trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS words FROM c),
-        u AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS again, min(doc_id) OVER (PARTITION BY norm) <> max(doc_id) OVER (PARTITION BY norm) AS shared,
+        u AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS again,
                 row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS place FROM s WHERE words > 0),
-        i AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, again ORDER BY place) AS ra, place - row_number() OVER (PARTITION BY doc_id, shared ORDER BY place) AS rs FROM u),
-        v AS (SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, again, ra) >= 20 AS out, shared AND sum(words) OVER (PARTITION BY doc_id, shared, rs) >= 20 AS known FROM i),
-        x AS (SELECT s.doc_id, s.k, s.j, s.gone, s.start, s.piece, coalesce(v.out, false) AND NOT s.gone AS out, coalesce(v.known, false) AS known, s.words FROM s LEFT JOIN v USING (doc_id, k, j)),
+        i AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, again ORDER BY place) AS ra FROM u),
+        v AS (SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, again, ra) >= 20 AS out FROM i),
+        x AS (SELECT s.doc_id, s.k, s.j, s.gone, s.start, s.piece, coalesce(v.out, false) AND NOT s.gone AS out, coalesce(v.out, false) AS passage, s.words FROM s LEFT JOIN v USING (doc_id, k, j)),
         y AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, k, out ORDER BY j) AS run FROM x),
         spans AS (SELECT doc_id, k, min(start) AS a, max(start + length(piece)) AS b, count(*) AS n FROM y WHERE out GROUP BY doc_id, k, run
                   UNION ALL SELECT doc_id, k, pos, pos + length(line), 1 FROM r WHERE gone),
         g AS (SELECT doc_id, sum(n) AS n, sum(b - a) AS chars, string_agg(concat(a, ':', b), ',' ORDER BY a) AS removed FROM spans GROUP BY doc_id),
         t AS (SELECT doc_id, k, string_agg(piece, '' ORDER BY j) FILTER (NOT out) AS line FROM x GROUP BY doc_id, k),
         kept AS (SELECT r.doc_id, string_agg(coalesce(t.line, ''), chr(10) ORDER BY r.k) AS text FROM r LEFT JOIN t USING (doc_id, k) WHERE NOT r.gone GROUP BY r.doc_id),
-        z AS (SELECT doc_id, sum(words) FILTER (known) AS words FROM x GROUP BY doc_id)
-        SELECT doc_id, CAST(coalesce(z.words, 0) AS BIGINT) AS n_shared_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_units_removed, CAST(coalesce(g.chars, 0) AS BIGINT) AS n_chars_removed,
+        z AS (SELECT doc_id, sum(words) FILTER (passage) AS words FROM x GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(z.words, 0) AS BIGINT) AS n_passage_words_removed, CAST(coalesce(g.n, 0) AS BIGINT) AS n_units_removed, CAST(coalesce(g.chars, 0) AS BIGINT) AS n_chars_removed,
           sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(g.removed, '') AS removed
         FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op4_benchmark_decontamination": f"""
