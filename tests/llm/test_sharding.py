@@ -1,9 +1,10 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, frame
-from tremor.llm.sharding import hilbert_index, shard_documents, write_shards
+from tremor.llm.sharding import hilbert_index, shard_documents, text_cuts, write_shards
 
 
 def test_curve_visits_every_cell_by_unit_steps():
@@ -46,3 +47,24 @@ def test_written_shards_keep_rows(spark, tmp_path):
     docs = frame(spark, ["a", None, "c"] * 9)
     write_shards(docs, str(tmp_path / "out"), 4)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
+
+
+def test_cuts_stand_at_equal_parts_of_the_rows(spark):
+    values = ["b"] * 5 + ["a"] * 2 + [None] + ["d", "c"] * 4
+    docs = frame(spark, ["x"] * len(values)).drop("source").join(spark.createDataFrame(list(enumerate(values)), "doc_id long, source string"), "doc_id")
+    ordered = sorted(v or "" for v in values)
+    assert text_cuts(docs, "source", 2) == [ordered[-(-len(ordered) * k // 4) - 1] for k in (1, 2, 3)]
+    assert text_cuts(docs.where("false"), "source") == []
+
+
+def test_shards_are_skipped_by_each_dimension(spark):
+    """By the least and largest value of each shard, a filter on one language or source leaves most shards unread."""
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    rows = shard_documents(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").groupBy("shard").agg(
+        *(f(c).alias(f"{c}{k}") for c in ("lang", "source", "size") for k, f in ((0, F.min), (1, F.max)))).toPandas()
+    facts = docs.groupBy("lang").count().toPandas(), docs.groupBy("source").count().toPandas()
+    touched = lambda c, v: ((rows[f"{c}0"] <= v) & (rows[f"{c}1"] >= v)).sum()
+    by_lang = [touched("lang", v) for v in facts[0]["lang"]]
+    by_source = [touched("source", v) for v in facts[1]["source"]]
+    print("shards touched by lang", by_lang, "by source", by_source)
+    assert np.mean(by_lang) <= 16 and np.mean(by_source) <= 10

@@ -1,8 +1,9 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Each dimension is cut into 2**BITS levels: numbers at their quantiles over the whole table, strings by a hash, so that a
-level holds few values. Rows are sorted by the curve index of their levels and cut into runs of equal counts. Near rows of the
-curve are near in all dimensions, so a shard spans short ranges of each and files can be skipped by their minimum and maximum.
+Each dimension is cut into 2**BITS levels at its quantiles over the whole table, strings in their own order, so that a level's
+number says how many rows lie below it and a frequent value takes as many numbers as it has rows. Rows are sorted by the curve
+index of their levels and cut into runs of equal counts. Near rows of the curve are near in all dimensions, so a shard spans
+short ranges of each and files can be skipped by their minimum and maximum.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +59,31 @@ def number_level(df: DataFrame, column: str, bits: int = BITS) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(column))), F.lit(0)) if cuts else F.lit(0)
 
 
-def text_level(column: str, bits: int = BITS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(1 << bits)).cast("int")
+def text_cuts(df: DataFrame, column: str, bits: int = BITS) -> list[str]:
+    """The values at each 2**bits-th part of the rows of ``df`` in the order of a string column; null counts as empty. Rows are counted by value,
+    and values added up over ranges of them; the cuts alone, under 2**bits, reach the driver."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(value.alias("v")).agg(F.count("*").alias("n")).repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
+    counts = staged(counts, "values")
+    total, start = 0, {}
+    for r in counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one number for each partition
+        start[r.part] = total
+        total += r.n
+    if not total:
+        return []
+    ahead = F.create_map(*(F.lit(x) for kv in start.items() for x in kv))[F.col("part")]
+    last = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + ahead
+    levels = 1 << bits
+    spans = counts.withColumn("last", last).selectExpr("v", f"((last - n) * {levels}L) div {total} + 1 as lo", f"least((last * {levels}L) div {total}, {levels - 1}) as hi")
+    return [r.v for r in spans.where("lo <= hi").select("v", F.explode(F.sequence("lo", "hi")).alias("k")).orderBy("k").collect()]
+
+
+def text_level(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """Level of a string: the number of cuts below it."""
+    cuts = text_cuts(df, column, bits)
+    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
 
 
 def hilbert_shards(df: DataFrame, levels: list[Column], ties: list[str], shards: int) -> DataFrame:
@@ -97,11 +121,11 @@ def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
         F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col("source").cast("string"), F.col("lang").cast("string"))
     facts = staged(facts, "facts")
-    return hilbert_shards(facts, [number_level(facts, "size"), text_level("source"), text_level("lang")], ["text_crc32", "doc_id"], shards).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+    return hilbert_shards(facts, [number_level(facts, "size"), text_level(facts, "source"), text_level(facts, "lang")], ["text_crc32", "doc_id"], shards).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = 24) -> None:
     """Write whole documents, a folder for each shard, rows along the curve: readers skip files by their statistics."""
-    levels = [number_level(documents.withColumn("_size", F.octet_length("text")), "_size"), text_level("source"), text_level("lang")]
     sized = documents.withColumn("_size", F.octet_length("text"))
+    levels = [number_level(sized, "_size"), text_level(documents, "source"), text_level(documents, "lang")]
     hilbert_shards(sized, levels, ["doc_id"], shards).drop("_size").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
