@@ -90,7 +90,9 @@ def rectangle_pairs(obs: DataFrame, patches: DataFrame, rows: int = 2048) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column("obs_id").take(pa.array(np.repeat(np.arange(m), 2 * k))), *(c.take(at) for c in ids), names, *(pa.array(v, mask=null) for v in flat)],
                                                  ["obs_id", "patch_id", "cell_id", "slip_comp", "e", "n", "u"])
 
-    return obs.select("obs_id", "x", "y").mapInArrow(run, schema)
+    # a point makes many rows: points are dealt out first, as a small file of them would be one task
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return obs.select("obs_id", "x", "y").repartition(parts).mapInArrow(run, schema)
 
 
 def sum_cells(pairs: DataFrame) -> DataFrame:
