@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremor.functions.frames import rounded
 from tremor.operators import analyse as an
 from tremor.operators import coords
+from tremor.operators import picked as pk
 from tremor.operators import polyline as pl
 from tremor.operators import relocate as rl
 from tremor.operators import ridge as rg
@@ -102,15 +103,16 @@ def g10_step(fx_profile_points: DataFrame) -> DataFrame:
 
 
 @query(None)
-def g11_picked_swathes(fx_pixels: DataFrame, fx_trace: DataFrame, nation: DataFrame) -> DataFrame:
-    """All picks in one job: strand match, mean-strike frame, signed distance, rotation, robust stack by pick."""
-    picks = nation.sparkSession.sql(_CENT, nation=nation).select("profile_id", F.col("profile_id").alias("pick_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(2.0).alias("strike"))
-    strands = pl.match_strand(picks, fx_trace, 2000.0).select(F.col("pick_id").alias("profile_id"), "strand_id", "reversed")
-    frames = picks.select("profile_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "strike")
-    px = sw.frame_pixels(coords.flatten(coords.clear_empty(fx_pixels)), frames, 50.0, 400.0)
-    at = pl.signed_distance(coords.flatten(coords.clear_empty(fx_pixels)), fx_trace, ["row", "col"], 500.0).select("row", "col", "d")
-    joined = coords.rotate(px.join(at, ["row", "col"]).join(strands, "profile_id"), F.lit(2.0)).withColumn("d", F.when(F.col("reversed"), -F.col("d")).otherwise(F.col("d")))
-    return rounded(sw.robust_stack(joined, _STACK, "d", ["par", "nrm"], 3, ["profile_id"]), "x", "par_med", "par_rstd", "nrm_med", "nrm_rstd")
+def g11_picked_swathes(fx_pixels: DataFrame, fx_trace: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The whole driver over picks along the first strand, every second one against its direction; tests/test_picked.py holds it against a planted fault."""
+    fault = fx_trace.where("strand_id = 0")
+    at = supplier.select(F.col("s_suppkey").alias("pick_id"), F.lit(0).alias("strand_id"), (15980.0 - 10 * F.col("s_suppkey")).alias("s"))
+    picks = pl.interpolate(at, fault).select("pick_id", "x", "y", (2.0 + 180 * (F.col("pick_id") % 2)).alias("strike"), F.lit(-250.0).alias("lo"), F.lit(220.0).alias("hi"))
+    profiles, bins, _ = pk.picked_profiles(
+        coords.clear_empty(fx_pixels), fault, picks, pk.Raster((500000.0, 4000000.0), (10.0, -10.0)), _STACK, 400.0, strike_half=100.0, refine_half=200.0, step_search=100.0,
+        step_stack=60.0, branch=20, smooth=30.0, stages=((100.0, 40.0, 0.5), (40.0, 20.0, 0.5)), dn=5.0, offset_sigma=20.0, least=3, near=60.0, min_quality=1.5)
+    out = bins.join(profiles.select("pick_id", "strike", "step_shift", "total_shift", "support", "quality", "localised"), "pick_id")
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
 @query("SELECT profile_id, round(avg(CASE WHEN nrm > 0 THEN 1.0 ELSE 0.0 END), 6) AS support, round(quantile_cont(par, 0.5), 6) AS quality, avg(CASE WHEN nrm > 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AND quantile_cont(par, 0.5) >= 0 AS localised FROM fx_profile_points WHERE abs(xs) <= 100 GROUP BY profile_id")
