@@ -47,8 +47,8 @@ def detrend(samples: DataFrame, value: str, inner: float, scale: float, key: str
     """Adds ``<value>_res``, ``threshold`` and ``r2``: the rest after a cubic background through the samples (profile_id, key, xs, value) outside +-inner.
 
     The background is a consensus: in each of ``trials`` trials about ``share`` of the samples, drawn by a digest of (profile, key, trial), give a
-    cubic; the one that most samples lie near, within ``near`` spreads of the background, is fitted again to those. ``threshold`` spreads of
-    what is left of all background samples make the threshold, and r2 is the fit's over the agreeing ones. A profile without five
+    cubic; the one that most samples lie near, within ``near`` spreads of the background, is fitted again to those, or stays as it is
+    where those are under five. ``threshold`` spreads of what is left of all background samples make the threshold, and r2 is the fit's over the agreeing ones. A profile without five
     background samples keeps its values, with threshold 0 and no r2."""
     outside = samples.where((F.abs("xs") >= inner) & F.col(value).isNotNull()).select("profile_id", key, "xs", value)
     limit = outside.groupBy("profile_id").agg((near * F.stddev_pop(value)).alias("_limit"))
@@ -60,7 +60,9 @@ def detrend(samples: DataFrame, value: str, inner: float, scale: float, key: str
     tried = outside.join(hypotheses, "profile_id").withColumn("h", F.explode("h")).select("profile_id", "xs", value, "h.*")
     best = fits.join(most_agreed(tried, ["profile_id"], F.col(value) - cubic(scale), F.col("_limit")), ["profile_id", "trial"])
     agreed = outside.join(best, "profile_id").where(F.abs(F.col(value) - cubic(scale)) <= F.col("_limit")).select(*outside.columns)
-    fit = staged(cubic_fit(agreed, value, scale), "background")
+    terms = F.struct("p0", "p1", "p2", "p3")
+    again = cubic_fit(agreed, value, scale).select("profile_id", terms.alias("_again"))
+    fit = staged(best.select("profile_id", terms.alias("_own")).join(again, "profile_id", "left").select("profile_id", F.coalesce("_again", "_own").alias("_p")).select("profile_id", "_p.*"), "background")
     left = F.col(value) - cubic(scale)
     r2 = agreed.join(fit, "profile_id").groupBy("profile_id").agg((1 - F.try_divide(F.sum(left * left), F.var_pop(value) * F.count("*"))).alias("r2"))
     spread = outside.join(fit, "profile_id").groupBy("profile_id").agg((threshold * F.stddev_pop(left)).alias("threshold"))

@@ -81,14 +81,14 @@ def apply_shift(cube: DataFrame, shifts: DataFrame, columns: list[str]) -> DataF
     return got.groupBy("profile_id", F.col("_to").alias("k")).agg(*(F.when(F.count(f"_{c}") == F.count("*"), F.sum(F.col("w") * F.col(f"_{c}"))).alias(c) for c in columns))
 
 
-def stack(cube: DataFrame, order: str, columns: list[str], half: int, gate: int = 0) -> DataFrame:
+def stack(cube: DataFrame, order: str, columns: list[str], half: int, gate: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Medians and spreads along strike over the profiles from ``half`` before to ``half`` - 1 after, at each k; NULL where under ``gate`` places
-    of the profile have at least two thirds of the window."""
-    w = Window.partitionBy("k").orderBy(order).rowsBetween(-half, half - 1)
+    of the profile have at least two thirds of the window. ``by`` keeps strands apart."""
+    w = Window.partitionBy(*by, "k").orderBy(order).rowsBetween(-half, half - 1)
     out = cube.withColumns({f"{c}_{n}": f for c in columns for n, f in (("med", F.percentile(c, F.lit(0.5)).over(w)), ("std", F.stddev_pop(c).over(w)))})
     missing = F.count("*").over(w) - F.count(columns[0]).over(w)
     full = out.withColumn("_full", (missing < half // 3).cast("int"))
-    ok = F.sum("_full").over(Window.partitionBy(order)) >= gate
+    ok = F.sum("_full").over(Window.partitionBy(*by, order)) >= gate
     return full.withColumn("_ok", ok).withColumns({f"{c}_{n}": F.when(F.col("_ok"), F.col(f"{c}_{n}")) for c in columns for n in ("med", "std")}).drop("_full", "_ok")
 
 

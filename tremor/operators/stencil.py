@@ -84,14 +84,17 @@ def shear_along(strike: Column) -> Column:
     return tx * nx * F.col("exx") + (tx * ny + ty * nx) * F.col("exy") + ty * ny * F.col("eyy")
 
 
-def bilinear(px: DataFrame, pts: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """Values of ``columns`` at points with fractional (fr, fc); NULL unless all four pixels around have a value."""
+def bilinear(px: DataFrame, pts: DataFrame, columns: list[str] | dict[str, Column], key: list[str]) -> DataFrame:
+    """Values of ``columns`` at points with fractional (fr, fc); NULL unless all four pixels around have a value. Expressions, given by name, are
+    taken at each of the four pixels, and may use the key."""
+    wanted = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
     four = F.array(*(F.struct((F.floor("fr") + i).alias("row"), (F.floor("fc") + j).alias("col"),
                               ((F.col("fr") - F.floor("fr")) if i else (1 - (F.col("fr") - F.floor("fr")))).alias("a"), ((F.col("fc") - F.floor("fc")) if j else (1 - (F.col("fc") - F.floor("fc")))).alias("b")) for i in (0, 1) for j in (0, 1)))
     near = pts.select(*key, F.explode(four).alias("p")).select(*key, F.col("p.row").cast("long").alias("row"), F.col("p.col").cast("long").alias("col"), (F.col("p.a") * F.col("p.b")).alias("w"))
-    near = near.join(px.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *columns), ["row", "col"], "left")
-    value = lambda c: F.when(F.count(c) == 4, F.sum(F.col("w") * F.col(c))).alias(c)
-    return near.groupBy(*key).agg(*(value(c) for c in columns))
+    cells = px if isinstance(columns, dict) else px.select("row", "col", *columns)
+    near = near.join(cells.withColumns({c: F.col(c).cast("long") for c in ("row", "col")}), ["row", "col"], "left")
+    value = lambda c, v: F.when(F.count(v) == 4, F.sum(F.col("w") * v)).alias(c)
+    return near.groupBy(*key).agg(*(value(c, v) for c, v in wanted.items()))
 
 
 def marginal_outliers(px: DataFrame, column: str, centre: int, buffer: int, q: float) -> DataFrame:

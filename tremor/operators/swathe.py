@@ -79,11 +79,12 @@ def frame_pixels(px: DataFrame, profiles: DataFrame, half_width: float, half_len
 
 
 def decaying_edges(plen: float) -> list[float]:
-    """Fixed rule: 1 m steps to 30 m, growing 1.05 times to 200 m and 1.12 times beyond, 100 m at most; symmetric about 0."""
+    """Fixed rule: 1 m steps to 30 m, growing 1.05 times to 200 m and 1.12 times beyond, 100 m at most; symmetric about 0.
+    The last edge is the first at or beyond ``plen``."""
     out, at, step = [0.0], 0.0, 1.0
     while at < plen:
         step = 1.0 if at < 30 else min(step * (1.05 if at < 200 else 1.12), 100.0)
-        at = min(at + step, plen)
+        at += step
         out.append(at)
     return [-e for e in out[:0:-1]] + out
 

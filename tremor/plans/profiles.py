@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.frames import rounded
+from tremor.operators import aligned as al
 from tremor.operators import analyse as an
 from tremor.operators import coords
 from tremor.operators import picked as pk
@@ -343,9 +344,39 @@ def h14_refined_mesh_trace(fx_pixels: DataFrame, fx_trace: DataFrame) -> DataFra
     return rounded(out, "x", "y", "path_offset", "path_strain", "offset")
 
 
+def _rows_across(supplier: DataFrame) -> DataFrame:
+    """Centres down the middle of the raster, one for each supplier."""
+    k, row0 = F.col("s_suppkey").cast("long"), 1.4 * F.col("s_suppkey")
+    return supplier.select(k.alias("profile_id"), F.lit(0).alias("strand_id"), k.alias("i"), F.lit(500495.0).alias("x"), (4000000 - 10 * row0).alias("y"), row0.alias("row0"),
+                           F.lit(49.5).alias("col0"), (F.col("s_suppkey") % 9 - 4).cast("double").alias("strike"))
+
+
+def _aligned(px: DataFrame, supplier: DataFrame, picks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return al.aligned_profiles(coords.clear_empty(px), _rows_across(supplier), 30, 20, 4, 24, 12.0, 6.0, 10.0, 60.0, (0.0, 100.0), (50.0, 250.0), 1.0, 8, picks)
+
+
 @query(None)
-def h15_fault_aligned(fx_pixels: DataFrame, nation: DataFrame) -> DataFrame:
-    return rounded(an.fault_aligned(coords.clear_empty(fx_pixels), _centres(nation), 30, 4, 12.0), "shift", "par_med", "par_std", "nrm_med", "nrm_std")
+def h15_fault_aligned(fx_pixels: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Stacked samples of displacement and strain of the whole driver; tests/test_aligned.py holds it against a planted fault."""
+    out, _, _ = _aligned(fx_pixels, supplier)
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query(None)
+def h15_fault_aligned_records(fx_pixels: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The driver's record and refined place of each profile."""
+    _, records, trace = _aligned(fx_pixels, supplier)
+    out = records.join(trace, "profile_id")
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query(None)
+def h15_picked_aligned(fx_pixels: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The driver with each profile as a pick, whose second shift is its own."""
+    picks = supplier.select(F.lit(0).alias("strand_id"), F.col("s_suppkey").cast("long").alias("i"))
+    out, records, _ = _aligned(fx_pixels, supplier, picks)
+    out = out.join(records.select("profile_id", "total_shift", "offset_near", "width"), "profile_id")
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
 @query(f"WITH {_SHIFT}, q AS (SELECT *, quantile_cont(shift, 0.25) OVER w AS l, quantile_cont(shift, 0.75) OVER w AS h FROM z WINDOW w AS (PARTITION BY strand ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT i, strand, round(CASE WHEN shift BETWEEN l - 0.5 * (h - l) AND h + 0.5 * (h - l) THEN shift END, 6) AS shift FROM q")
@@ -400,8 +431,9 @@ dr AS (SELECT profile_id, event_id, trial, xs, par FROM o, range(0, 8) AS t(tria
 v AS (SELECT profile_id, trial, count(*) FILTER (abs(par - {_AT}) <= lim) AS k, round(sum(CASE WHEN abs(par - {_AT}) <= lim THEN (par - {_AT}) ** 2 ELSE 0 END), 9) AS ss FROM o JOIN dr_c USING (profile_id) JOIN lim USING (profile_id) GROUP BY ALL),
 b AS (SELECT profile_id, trial FROM v WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY k DESC, ss, trial) = 1),
 ag AS (SELECT profile_id, xs, par FROM o JOIN b USING (profile_id) JOIN dr_c USING (profile_id, trial) JOIN lim USING (profile_id) WHERE abs(par - {_AT}) <= lim), {_cubic_sql('ag', 'profile_id')},
-r AS (SELECT profile_id, 1 - sum((par - {_AT}) ** 2) / nullif(var_pop(par) * count(*), 0) AS r2 FROM ag JOIN ag_c USING (profile_id) GROUP BY profile_id), th AS (SELECT profile_id, 2 * stddev_pop(par - {_AT}) AS threshold FROM o JOIN ag_c USING (profile_id) GROUP BY profile_id)
-SELECT e.profile_id, event_id, round(par - coalesce({_AT}, 0), 6) AS par_res, round(coalesce(threshold, 0), 6) AS threshold, round(r2, 6) AS r2 FROM e LEFT JOIN ag_c USING (profile_id) LEFT JOIN th USING (profile_id) LEFT JOIN r USING (profile_id)""")
+fc AS (SELECT * FROM ag_c UNION ALL SELECT profile_id, p0, p1, p2, p3 FROM b JOIN dr_c USING (profile_id, trial) WHERE profile_id NOT IN (SELECT profile_id FROM ag_c)),
+r AS (SELECT profile_id, 1 - sum((par - {_AT}) ** 2) / nullif(var_pop(par) * count(*), 0) AS r2 FROM ag JOIN fc USING (profile_id) GROUP BY profile_id), th AS (SELECT profile_id, 2 * stddev_pop(par - {_AT}) AS threshold FROM o JOIN fc USING (profile_id) GROUP BY profile_id)
+SELECT e.profile_id, event_id, round(par - coalesce({_AT}, 0), 6) AS par_res, round(coalesce(threshold, 0), 6) AS threshold, round(r2, 6) AS r2 FROM e LEFT JOIN fc USING (profile_id) LEFT JOIN th USING (profile_id) LEFT JOIN r USING (profile_id)""")
 def i1_detrend(fx_profile_points: DataFrame) -> DataFrame:
     out = an.detrend(fx_profile_points.select("profile_id", "event_id", "xs", "par"), "par", 20.0, 200.0, trials=8)
     return rounded(out.select("profile_id", "event_id", "par_res", "threshold", "r2"), "par_res", "threshold", "r2")

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place of spark.checkpoint.dir, or a local one where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tremor-")
+    """A new folder in the shared place of spark.checkpoint.dir; where that is unset a local one, if Spark runs in this machine alone."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tremor-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
