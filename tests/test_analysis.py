@@ -177,3 +177,14 @@ def test_the_record_is_its_parts(spark):
         assert r["offset_near"] == pytest.approx(analyse.offset(at, "par", 0.0, 120.0, trials=20).first()["offset"])
         assert r["step_amplitude"] == pytest.approx(swathe.step_width(s).where(F.col("profile_id") == p).first()["amplitude"])
     assert out[3]["r2"] is None and out[3]["threshold"] == 0
+
+
+@pytest.mark.parametrize("sill,sigma,lam", [(0.4, 1.5, 200.0), (0.0, 0.3, 60.0)])
+def test_fitted_covariance_follows_a_planted_one(spark, sill, sigma, lam):
+    d = 20.0 + 40.0 * np.arange(15)
+    value = sill + sigma**2 * np.exp(-d / lam)
+    cvg = spark.createDataFrame([(k, float(x), float(v)) for k, (x, v) in enumerate(zip(d, value))], "bin int, distance double, value double")
+    fit = covariance.fit_covariance(cvg).first()
+    got = fit["sill"] + fit["sigma"] ** 2 * np.exp(-d / fit["lam"])
+    assert fit["cost"] == pytest.approx(np.abs(got - value).sum(), abs=1e-6)
+    assert fit["cost"] < 0.03 * np.abs(value - np.median(value)).sum() and fit["sigma"] >= 0 and fit["lam"] > 0

@@ -34,6 +34,7 @@ def test_same_rows(spark, con, name):
 
 #: Columns that name a row of the queries without SQL; their values are held in test_ridge.py, test_analysis.py and test_identities.py.
 KEYS = {
+    "e5_fitted_covariance": ["sigma", "lam"],
     "g11_picked_swathes": ["pick_id", "bin"], "h4_replace_outliers": ["i"], "h8_second_shift": ["profile_id", "k"], "h11_ridge_path": ["strand_id", "along"], "h12_refine_trace": ["strand_id", "k"],
     "h14_refined_mesh_trace": ["strand_id", "along"], "h15_fault_aligned": ["profile_id", "k"], "h15_fault_aligned_records": ["profile_id"],
     "h15_picked_aligned": ["profile_id", "k"], "i4_analyse_profiles": ["profile_id"], "k8_noise": ["row_id"], "k12_bounded_whitened": ["col_id"]}
