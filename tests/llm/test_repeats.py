@@ -74,3 +74,34 @@ def test_positions_beyond_the_low_bits(spark, monkeypatch):
             seen[t, w] = g
     assert set(seen) == {(t, w) for t in range(2) for w in range(off[t + 1] - off[t] - 39)}
     assert all(seen[1, 1000 + w] == seen[0, 100 + w] for w in range(300 - 39))
+
+
+def test_different_strings_of_equal_polynomial_hash(spark):
+    """Strings made to have equal polynomial hashes, with a tail that holds their anchor: no string of 400 bytes stands in both texts."""
+    import numpy as np
+
+    from tremor.llm.repeats import K, LENGTH, anchor_runs, span_hash
+    from tremor.llm.wordhash import prefix_hash
+
+    one, two = b"ponzunsphapqhvxachjbnvlenrhduqvczoikuucl", b"ggixbbvgdjxcegvwkofgphawwdclnkicoccpezcl"
+    tail = words(random.Random(5), 100)[: LENGTH - 40]
+    texts = [one.decode() + tail, two.decode() + tail]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    assert len(set(int(span_hash(prefix_hash(r), np.array([0]), np.array([LENGTH]))[0]) for r in raws)) == 1
+    assert len(set(int(anchor_runs(r, np.array([0, LENGTH]), LENGTH, K)[3][0]) for r in raws)) == 1
+    for case in (texts, ["first words before " + texts[0], "others " + texts[1]], [*texts, texts[0], "others " + texts[1] + " more"]):
+        assert result(remove_repeats(frame(spark, case))) == brute(list(enumerate(case)), LENGTH)
+
+
+def test_rows_of_a_frequent_key_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    from tremor.llm.repeats import HOT, rows_in
+
+    n = 3 * HOT
+    rows = spark.range(0, n, 1, 8).selectExpr("id", "if(id % 3 = 0, -1, id div 2) as key")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    got = rows_in(rows, groups, ["key"]).withColumn("part", F.spark_partition_id()).collect()
+    count = Counter(r.key for r in rows.collect())
+    assert sorted(r.id for r in got) == sorted(r.id for r in rows.collect() if count[r.key] > 1)
+    assert len({r.part for r in got if r.key == -1}) == 8
