@@ -100,8 +100,9 @@ def test_rows_of_a_frequent_key_stay_apart(spark):
 
     n = 3 * HOT
     rows = spark.range(0, n, 1, 8).selectExpr("id", "if(id % 3 = 0, -1, id div 2) as key")
-    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
     got = rows_in(rows, groups, ["key"]).withColumn("part", F.spark_partition_id()).collect()
     count = Counter(r.key for r in rows.collect())
     assert sorted(r.id for r in got) == sorted(r.id for r in rows.collect() if count[r.key] > 1)
+    assert {r.low for r in got if r.key == -1} == {0} and all(r.low == 2 * r.key for r in got if r.key >= 0)
     assert len({r.part for r in got if r.key == -1}) == 8
