@@ -92,7 +92,8 @@ def signed_distance(pts: DataFrame, trace: DataFrame, key: list[str], radius: fl
 def fit_strike(pts: DataFrame, half: int) -> DataFrame:
     """Total least squares strike over +-half samples, along the polyline's direction."""
     w = _strand().orderBy("k").rowsBetween(-half, half)
-    th = 0.5 * F.atan2(2 * F.covar_pop("x", "y").over(w), F.var_pop("x").over(w) - F.var_pop("y").over(w))
+    # y before x: far from the origin the noise of this sum tells a strike due north as 0 or 360, and so it is that of the SQL
+    th = 0.5 * F.atan2(2 * F.covar_pop("y", "x").over(w), F.var_pop("x").over(w) - F.var_pop("y").over(w))
     out = pts.withColumns({"_t": th, "_dx": F.last("x").over(w) - F.first("x").over(w), "_dy": F.last("y").over(w) - F.first("y").over(w)})
     turn = F.when(F.cos("_t") * F.col("_dx") + F.sin("_t") * F.col("_dy") < 0, F.pi()).otherwise(0.0)
     return out.withColumn("strike", (90 - F.degrees(F.col("_t") + turn) + 720) % 360).drop("_t", "_dx", "_dy")
