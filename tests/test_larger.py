@@ -40,3 +40,11 @@ def test_strike_due_north_far_from_the_origin(spark, tmp_path):
     values = ", ".join(f"({438300 + k}, {n})" for k, n in enumerate(nations))
     folder = made(tmp_path, customer=f"SELECT CAST(k AS BIGINT) AS c_custkey, CAST(n AS INT) AS c_nationkey FROM (VALUES {values}) t(k, n)")
     same(spark, "c8_fit_strike", folder)
+
+
+def test_place_beyond_the_strand_is_no_pick(spark, tmp_path):
+    """Pixels around the strand's start, which places before it were moved to."""
+    orders = "SELECT * FROM '{sf}/orders.parquet' UNION ALL SELECT * REPLACE (o_orderkey + 159000 AS o_orderkey) FROM '{sf}/orders.parquet'"
+    supplier = "SELECT * REPLACE (s_suppkey * 180 AS s_suppkey) FROM '{sf}/supplier.parquet' UNION ALL SELECT * REPLACE (1590 + s_suppkey AS s_suppkey) FROM '{sf}/supplier.parquet'"
+    want = same(spark, "g14_ensemble", made(tmp_path, orders=orders, supplier=supplier))
+    assert want

@@ -144,9 +144,10 @@ o AS (SELECT pick_id, w, avg(pm) AS p, avg(qm) AS q FROM k GROUP BY ALL), lv AS
 f AS (SELECT k.pick_id, bin, x, pm - o.p + lv.p AS par, qm - o.q + lv.q AS nrm, sp, n FROM k JOIN o ON o.pick_id = k.pick_id AND o.w = k.w JOIN lv ON lv.pick_id = k.pick_id)
 SELECT pick_id, bin, round(any_value(x), 5) AS x, round(quantile_cont(par, 0.5), 5) AS par_med, round(stddev_samp(par), 5) AS par_std, round(quantile_cont(nrm, 0.5), 5) AS nrm_med, round(stddev_samp(nrm), 5) AS nrm_std, round(quantile_cont(sp, 0.5), 5) AS scatter, quantile_cont(n, 0.5) AS n FROM f GROUP BY pick_id, bin""")
 def g14_ensemble(fx_pixels: DataFrame, fx_trace: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Picks along the first strand, each with a strike and a swathe for three length scales."""
+    """Picks along the first strand, each with a strike and a swathe for three length scales; a place beyond the strand's ends is no pick."""
     fault = fx_trace.where("strand_id = 0")
     picks = supplier.select(F.col("s_suppkey").alias("pick_id"), F.lit(0).alias("strand_id"), (15980.0 - 10 * F.col("s_suppkey")).alias("s"))
+    picks = picks.join(F.broadcast(pl.totals(fault)), "strand_id").where("s >= 0 and s < total").drop("total")  # one row
     centres = pl.interpolate(picks, fault).select("pick_id", "x", "y")
     strikes = staged(sw.scale_strikes(pl.resample(fault, 25.0), picks, _SCALES), "strikes")
     px = coords.flatten(coords.clear_empty(fx_pixels))
