@@ -4,6 +4,7 @@ import os
 
 import duckdb
 from tests.test_oracles import SF, TABLES, rows
+from tremor.operators import relocate
 from tremor.plans.registry import ORACLES, QUERIES
 
 
@@ -48,3 +49,11 @@ def test_place_beyond_the_strand_is_no_pick(spark, tmp_path):
     supplier = "SELECT * REPLACE (s_suppkey * 180 AS s_suppkey) FROM '{sf}/supplier.parquet' UNION ALL SELECT * REPLACE (1590 + s_suppkey AS s_suppkey) FROM '{sf}/supplier.parquet'"
     want = same(spark, "g14_ensemble", made(tmp_path, orders=orders, supplier=supplier))
     assert want
+
+
+def test_gaps_are_filled_by_frames_that_grow(spark):
+    df = spark.createDataFrame([(0, k, float(v)) for k, v in enumerate([0, 2, 0, 0, 8, 0, 5, 0])], "g int, k int, shift double")
+    out = relocate.fill_failed(df, ["g"], "k")
+    assert [r.shift for r in out.orderBy("k").collect()] == [0, 2, 4, 6, 8, 6.5, 5, 0]
+    # a frame up to the group's end is read anew for each row, the square of the group in all
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()
