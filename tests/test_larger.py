@@ -57,3 +57,13 @@ def test_gaps_are_filled_by_frames_that_grow(spark):
     assert [r.shift for r in out.orderBy("k").collect()] == [0, 2, 4, 6, 8, 6.5, 5, 0]
     # a frame up to the group's end is read anew for each row, the square of the group in all
     assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_not_broadcast(spark):
+    """The pixels' table is small enough to broadcast, its 24 neighbours a pixel are not; Spark takes the one for the other."""
+    text = plan(QUERIES["f10_delta_or_majority"](spark, SF))
+    assert "SortMergeJoin [row" in text and "Broadcast" not in text
