@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import pytest
+
 from tests.test_oracles import SF, TABLES, rows
 from tremor.operators import relocate
 from tremor.plans.registry import ORACLES, QUERIES
@@ -67,3 +69,10 @@ def test_neighbours_are_not_broadcast(spark):
     """The pixels' table is small enough to broadcast, its 24 neighbours a pixel are not; Spark takes the one for the other."""
     text = plan(QUERIES["f10_delta_or_majority"](spark, SF))
     assert "SortMergeJoin [row" in text and "Broadcast" not in text
+
+
+@pytest.mark.parametrize("name", ["b10_near_trace"])
+def test_cells_of_segments_are_not_broadcast(spark, name):
+    """A segment becomes a row for each cell that it can reach."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "SortMergeJoin [_cx" in text and "BroadcastHashJoin [_cx" not in text

@@ -45,7 +45,7 @@ def bucketed_join(points: DataFrame, shapes: DataFrame, size: float, bounds: tup
     x0, x1, y0, y1 = bounds
     s = shapes.withColumn("_cx", F.explode(F.sequence(cell_of(x0, size), cell_of(x1, size)))).withColumn("_cy", F.explode(F.sequence(cell_of(y0, size), cell_of(y1, size))))
     p = points.withColumns({"_cx": cell_of(F.col("x"), size), "_cy": cell_of(F.col("y"), size)})
-    return p.join(s, ["_cx", "_cy"]).where(condition).drop("_cx", "_cy")
+    return unspread(p).join(s, ["_cx", "_cy"]).where(condition).drop("_cx", "_cy")
 
 
 def along_segment() -> tuple[Column, Column, Column]:
