@@ -71,7 +71,7 @@ def test_neighbours_are_not_broadcast(spark):
     assert "SortMergeJoin [row" in text and "Broadcast" not in text
 
 
-@pytest.mark.parametrize("name", ["b10_near_trace", "c12_corridor"])
+@pytest.mark.parametrize("name", ["b10_near_trace", "c12_corridor", "f4_corridor_strain"])
 def test_cells_of_segments_are_not_broadcast(spark, name):
     """A segment becomes a row for each cell that it can reach."""
     text = plan(QUERIES[name](spark, SF))
