@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tests.test_oracles import SF, TABLES, rows
-from tremor.operators import relocate
+from tremor.operators import picked, relocate
 from tremor.plans.registry import ORACLES, QUERIES
 
 
@@ -76,3 +76,10 @@ def test_cells_of_segments_are_not_broadcast(spark, name):
     """A segment becomes a row for each cell that it can reach."""
     text = plan(QUERIES[name](spark, SF))
     assert "SortMergeJoin [_cx" in text and "BroadcastHashJoin [_cx" not in text
+
+
+def test_picks_at_one_place_are_worked_out_once(spark):
+    rows_ = [(7, 0.0, 1.0, 2.0, -9.0, 9.0), (3, 0.0, 1.0, 2.0, -9.0, 9.0), (4, 0.0, 1.0, 182.0, -9.0, 9.0), (5, 0.0, 1.0, 2.0, -9.0, None), (6, 0.0, 1.0, 2.0, -9.0, None)]
+    one, alike = picked._one_of_alike(spark.createDataFrame(rows_, "pick_id int, x double, y double, strike double, lo double, hi double"))
+    assert sorted(r.pick_id for r in one.collect()) == [3, 4, 5]
+    assert sorted(map(tuple, alike.collect())) == [(3, 3), (4, 4), (5, 5), (6, 5), (7, 3)]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators import polyline as pl
@@ -101,6 +101,14 @@ def frame_distance(swathe: DataFrame, line: DataFrame, strip: float, half_length
     return left.cogroup(every.groupBy("profile_id", "_strip")).applyInPandas(one, schema).where(~F.isnan("d"))
 
 
+def _one_of_alike(picks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``picks`` alike in all but their pick_id the first; and (pick_id, _of), the one that stands for each. What follows hangs on a pick's place
+    alone, so it is done once for all that share it."""
+    first = F.min("pick_id").over(Window.partitionBy("x", "y", "strike", "lo", "hi"))
+    marked = staged(picks.select("pick_id", "x", "y", "strike", "lo", "hi").withColumn("_of", first), "picks")
+    return marked.where("pick_id = _of").drop("_of"), marked.select("pick_id", "_of")
+
+
 def picked_profiles(px: DataFrame, trace: DataFrame, picks: DataFrame, raster: Raster, edges: list[float], half_length: float, half_width: float = 50.0,
                     strike_half: float = 100.0, refine_half: float = 400.0, step_search: float | None = 350.0, step_stack: float = 150.0, branch: int = 150, smooth: float = 15.0,
                     stages: Sequence[tuple[float, float, float]] = ((100.0, 10.0, 0.5), (20.0, 5.0, 0.5)), strain_sigma: float = 1.5, dn: float = 0.5,
@@ -118,7 +126,8 @@ def picked_profiles(px: DataFrame, trace: DataFrame, picks: DataFrame, raster: R
       [lo, hi] of the pick less its total shift; bins without pixels are absent;
     * near: pick_id, d, par, nrm, along of the pixels within ``near`` of the trace.
 
-    A pick without a strand within ``radius`` is in none of them; one whose swathe has no pixels is in the first only."""
+    Picks at one place share its rows. A pick without a strand within ``radius`` is in none of them; one whose swathe has no pixels is in the first only."""
+    picks, alike = _one_of_alike(picks)
     spacing = abs(raster.pixel[0])
     samples = max(refine_half, step_stack if step_search else 0.0) + smooth + 50.0
     drawn = staged(drawn_segments(picks.select("pick_id", "x", "y", "strike"), trace, samples, spacing, max(0, round(smooth / spacing / 2)), radius), "segments")
@@ -153,6 +162,6 @@ def picked_profiles(px: DataFrame, trace: DataFrame, picks: DataFrame, raster: R
                                   st.shear_along(F.col("strike")).alias("shear"), F.col("t").alias("along")), "swathe")
     bins = sw.robust_stack(swathe, edges, "d", ["par", "nrm", "shear"], least, ["profile_id"]).withColumnRenamed("x", "xs")
     spans = facts.select("profile_id", (F.col("lo") - F.col("total_shift")).alias("lo"), (F.col("hi") - F.col("total_shift")).alias("hi"))
-    named = lambda df: df.withColumnRenamed("profile_id", "pick_id")
+    named = lambda df: alike.join(df.withColumnRenamed("profile_id", "_of"), "_of").drop("_of")
     profiles = facts.select("profile_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "strike", "step_shift", "total_shift", "support", "quality", "localised")
     return named(profiles), named(sw.crop(bins, spans)), named(swathe.where(F.abs("d") <= near).select("profile_id", "d", "par", "nrm", "along"))
